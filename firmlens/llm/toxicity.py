@@ -13,17 +13,19 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: At most about so many labelled documents are fitted, taken by a hash of doc_id.
-MAX_TRAIN_DOCS = 12_000
+MAX_TRAIN_DOCS = 8_000
 MAX_FEATURES = 4_000
+#: Features are hashed to so many bits.
+FEATURE_BITS = 22
 THRESHOLD = 0.3
 _PREFIXES = (4, 5, 6)
 _MEMO = 300_000
@@ -31,41 +33,48 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 _EDGES = "\"'()[]{}<>.,;:!?-|*#$%&"
 
 
-def features(word: str) -> list[str]:
-    """A word and its beginnings; `word` is lower-cased and without marks at its ends."""
-    return [word, *(f"{word[:n]}~" for n in _PREFIXES if len(word) > n)] if word else []
+def features(word: str) -> list[int]:
+    """Hashes of a word and of its beginnings; `word` is lower-cased and without marks at its ends."""
+    parts = [word, *(f"{word[:n]}~" for n in _PREFIXES if len(word) > n)] if word else []
+    return [xxhash.xxh32_intdigest(x.encode()) >> (32 - FEATURE_BITS) for x in parts]
 
 
-def sentence_features(sentence: str) -> set[str]:
+def sentence_features(sentence: str) -> set[int]:
     return {f for w in sentence.lower().split() for f in features(w.strip(_EDGES))}
 
 
+def select(texts: list[str | None], y: np.ndarray) -> dict[int, float]:
+    """The features whose documents' labels differ most from chance, with first weights."""
+    n, ones = len(y), float(y.sum())
+    seen, bad = np.zeros(1 << FEATURE_BITS, np.int32), np.zeros(1 << FEATURE_BITS, np.int32)
+    for text, label in zip(texts, y, strict=True):
+        have = np.fromiter(set().union(*map(features, {w.strip(_EDGES) for w in (text or "").lower().split()})), np.int64)
+        seen[have] += 1
+        if label:
+            bad[have] += 1
+    rate = ones / n
+    at = np.flatnonzero((bad >= 3) & (bad > 2 * seen * rate))
+    z = (bad[at] - seen[at] * rate) / np.sqrt(seen[at] * rate * (1 - rate))
+    at = at[np.argsort(-z, kind="stable")][: min(MAX_FEATURES, int((z > 4).sum()))]
+    first = 0.5 * np.log((bad[at] + 0.1) / ones / ((seen[at] - bad[at] + 0.5) / (n - ones)))
+    return dict(zip(at.tolist(), first.tolist(), strict=True))
+
+
 def fit(texts: list[str | None], labels: list[int], epochs: int = 300) -> dict:
     """Weights of sentence features for documents and their 0/1 labels.
 
-    Features are those whose documents' labels differ most from chance; no toxic or no
-    clean documents give a model that scores the share of toxic ones throughout.
+    No toxic or no clean documents give a model that scores the share of toxic ones throughout.
     """
     y = np.array(labels, float)
     n, ones = len(y), float(y.sum())
     if not n or not ones or ones == n:
-        share = ones / n if n else 0.0
-        return {"bias": -30.0, "weights": {}, "share": share}
-    bags = [[sentence_features(s) for s in SENTENCE.findall(t or "")] for t in texts]
-    seen, bad = Counter(), Counter()
-    for bag, label in zip(bags, labels, strict=True):
-        have = set().union(*bag) if bag else set()
-        seen.update(have)
-        if label:
-            bad.update(have)
-    rate = ones / n
-    surprise = {f: (b - seen[f] * rate) / math.sqrt(seen[f] * rate * (1 - rate)) for f, b in bad.items() if b >= 3 and b > 2 * seen[f] * rate}
-    names = sorted((f for f, z in surprise.items() if z > 4), key=lambda f: (-surprise[f], f))[:MAX_FEATURES]
-    index = {f: i for i, f in enumerate(names)}
+        return {"bias": -30.0, "weights": {}, "share": ones / n if n else 0.0}
+    first = select(texts, y)
+    index = {f: i for i, f in enumerate(first)}
     doc_of, rows, cols, plain, at = [], [], [], np.zeros(n), 0
-    for d, bag in enumerate(bags):
-        for s in bag:
-            if hits := [index[f] for f in s if f in index]:
+    for d, text in enumerate(texts):
+        for sentence in SENTENCE.findall(text or ""):
+            if hits := [index[f] for f in sentence_features(sentence) if f in index]:
                 doc_of.append(d)
                 rows += [at] * len(hits)
                 cols += hits
@@ -73,8 +82,7 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 300) -> dict:
             else:
                 plain[d] += 1
     doc_of, rows, cols = np.array(doc_of, int), np.array(rows, int), np.array(cols, int)
-    clean = n - ones
-    w = np.array([0.5 * math.log((bad[f] + 0.1) / ones / ((seen[f] - bad[f] + 0.5) / clean)) for f in names])
+    w = np.array(list(first.values()))
     b, m, v = -6.0, np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, epochs + 1):
         z = np.bincount(rows, w[cols], at) + b if at else np.zeros(0)
@@ -87,7 +95,7 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 300) -> dict:
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], min(b - step[-1], -3.0)
-    return {"bias": float(b), "weights": {f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, "share": rate}
+    return {"bias": float(b), "weights": {f: float(x) for f, x in zip(first, w, strict=True) if abs(x) > 1e-3}, "share": ones / n}
 
 
 class Scorer:
