@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlens.llm import bpe, embed, html, quality, toxicity, urls, warc
+from firmlens.llm import bpe, embed, html, ngram_join, quality, toxicity, urls, warc
 from firmlens.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_counts(counts).drop("source")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
@@ -70,7 +74,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op5_embedding_near_dedup, op6_warc, op7_toxicity, op8_url_filters, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op4_ngram_jaccard, op5_embedding_near_dedup, op6_warc, op7_toxicity, op8_url_filters, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
