@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlens.llm import bpe, embed, html, ngram_join, quality, toxicity, urls, warc
+from firmlens.llm import bpe, embed, html, lines, ngram_join, packing, quality, toxicity, urls, warc
 from firmlens.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_counts(counts).drop("source")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -68,13 +72,17 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html.extract(table(spark, sf_dir, "pages"))
     return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op4_ngram_jaccard, op5_embedding_near_dedup, op6_warc, op7_toxicity, op8_url_filters, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_line_dedup, op4_ngram_jaccard, op5_embedding_near_dedup, op6_warc, op7_toxicity, op8_url_filters, op9_packing, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
