@@ -2,96 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from firmlens.operators.components import connected_components
+from firmlens.sources.shared import shared_dir, stored
+
+__all__ = ["WORD_PATTERN", "connected_components", "shared_dir", "stored", "table"]
 
 #: Word separators of every word rule here: space and U+0009..U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is `spark.checkpoint.dir` of the session. Only where that is unset (tests on
-    one machine) a temporary folder takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back.
-
-    The lineage ends there, lost executors lose nothing, and the size that the
-    planner sees is that of real files.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/firmlens/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def in_slices(rows: int, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
-    """A mapInArrow function that calls `fn` on at most `rows` rows at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                yield fn(batch.slice(start, rows))
-
-    return run
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Distributed union-find: (node, component) for each node of an edge, component = smallest node.
-
-    Alternating large-star and small-star rounds; each is an aggregation with
-    map-side combining and an equi-join that AQE may split, and each round's edges
-    go to the shared folder. Rounds grow with the logarithm of the nodes. Null ends
-    and loops are ignored; an empty table gives an empty table.
-    """
-    x, y = F.col(a).cast("long"), F.col(b).cast("long")
-    now = stored(
-        edges.where(x.isNotNull() & y.isNotNull() & (x != y))
-        .select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(),
-        "edges",
-    )
-    seal = F.struct(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)))
-    before = now.agg(seal).first()[0]
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.where("v > u").join(least.hint("shuffle_merge"), "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.hint("shuffle_merge"), "u").select(
-            F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-        ).select("e.*")
-        now = stored(small.where("u != v").distinct(), "edges")
-        after = now.agg(seal).first()[0]
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    roots = now.select(F.col("v").alias("node")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        roots.select("node", F.col("node").alias("component"))
-    )
