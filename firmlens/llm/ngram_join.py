@@ -15,9 +15,10 @@ signature. Two sets that link then share a signature; no link is lost.
    below: pairs that it rules out are never shipped. What remains is checked exactly on
    the texts.
 3. First, members are checked against their list's first member. Distributed union-find
-   joins what links. Then every pair of a list that is still in two components goes
-   through the sketch, and what remains through the exact check. So all components are
-   complete, and pairs inside a component are never made.
+   joins what links. A second round checks, list by list, a forest of the closest pairs
+   between its components. In the last round every pair of a list that is still in two
+   components goes through the sketch, and what remains through the exact check. So all
+   components are complete, and pairs inside a component are never made.
 
 Equal sets have one id, so copies meet once per batch and never as pairs.
 """
@@ -163,8 +164,8 @@ def folded(sketch_: bytes, size: int) -> np.ndarray:
     return x
 
 
-def may_link(n: np.ndarray, sketches: list[bytes], component: np.ndarray, bound: tuple[int, int]) -> list[tuple[int, int]]:
-    """Index pairs of different components that sizes and sketches don't rule out."""
+def may_link(n: np.ndarray, sketches: list[bytes], component: np.ndarray, bound: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of different components that sizes and sketches don't rule out, and how far apart they seem."""
     size = min(map(len, sketches))
     x = np.stack([folded(s, size) for s in sketches]).view(np.uint64)
     out, order = [], np.arange(len(n))
@@ -174,7 +175,27 @@ def may_link(n: np.ndarray, sketches: list[bytes], component: np.ndarray, bound:
         j = j[a * bound[1] >= b * bound[0]]
         if len(j):
             apart = np.bitwise_count(x[j] ^ x[i]).sum(axis=1, dtype=np.int64)
-            out += [(i, int(k)) for k in j[apart <= differ(n[j] + n[i], *bound)]]
+            good = apart <= differ(n[j] + n[i], *bound)
+            out.append((np.full(good.sum(), i), j[good], apart[good]))
+    empty = np.zeros(0, np.int64)
+    return tuple(np.concatenate(p) for p in zip(*out, strict=True)) if out else (empty, empty, empty)
+
+
+def closest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, component: np.ndarray) -> list[int]:
+    """Positions of a spanning forest of components over the pairs, the closest pairs first."""
+    root: dict[int, int] = {}
+
+    def find(z: int) -> int:
+        while root.setdefault(z, z) != z:
+            root[z] = z = root[root[z]]
+        return z
+
+    out = []
+    for k in np.argsort(apart, kind="stable").tolist():
+        a, b = find(int(component[i[k]])), find(int(component[j[k]]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append(k)
     return out
 
 
@@ -258,8 +279,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
-def _candidates(bound: tuple[int, int]):
-    """Rows (cell, set, n, sketch, component), cells together, to pairs that may link."""
+def _candidates(bound: tuple[int, int], forest: bool):
+    """Rows (cell, set, n, sketch, component), cells together, to pairs that may link; or to a forest of the closest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -270,13 +291,17 @@ def _candidates(bound: tuple[int, int]):
             ends = (np.flatnonzero(np.diff(now["cell"].to_numpy())) + 1).tolist()
             cuts = [0, *ends, *([len(now)] if df is None else [])]
             sets, n, component, sketches = now["set"].to_numpy(), now["n"].to_numpy(), now["component"].to_numpy(), now["sketch"].tolist()
-            out = []
+            out = set()
             for s, e in zip(cuts, cuts[1:], strict=False):
                 if e - s > 1 and (component[s:e] != component[s]).any():
-                    out += [(min(a, b), max(a, b)) for i, j in may_link(n[s:e], sketches[s:e], component[s:e], bound) for a, b in [(sets[s + i], sets[s + j])]]
+                    i, j, apart = may_link(n[s:e], sketches[s:e], component[s:e], bound)
+                    if forest and len(i):
+                        keep = closest(i, j, apart, component[s:e])
+                        i, j = i[keep], j[keep]
+                    out.update(zip(np.minimum(sets[s + i], sets[s + j]).tolist(), np.maximum(sets[s + i], sets[s + j]).tolist(), strict=True))
             rest = now.iloc[cuts[-1] :] if df is not None else None
             if out:
-                yield pd.DataFrame(sorted(set(out)), columns=["a", "b"])
+                yield pd.DataFrame(sorted(out), columns=["a", "b"])
 
     return run
 
@@ -360,13 +385,13 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     star = star.join(mine.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")).hint("shuffle_merge"), "a")
     star = star.join(mine.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")).hint("shuffle_merge"), "b")
     near = checked(stored(star.mapInArrow(_stars(bound), "a long, b long"), "stars"))
-    parts_ = connected_components(near)
-
-    at = mine.join(parts_.withColumnRenamed("node", "set").hint("shuffle_merge"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    spread = cells.select("cell", F.explode("members").alias("set")).join(stored(at, "at").hint("shuffle_merge"), "set").select("cell", "set", "n", "sketch", "component")
-    rest = spread.repartition("cell").sortWithinPartitions("cell").mapInPandas(_candidates(bound), "a long, b long")
-    far = checked(stored(rest.distinct(), "rest"))
-    final = connected_components(near.unionByName(far)).withColumnRenamed("node", "set")
+    final = connected_components(near).withColumnRenamed("node", "set")
+    for forest in (True, False):
+        at = mine.join(final.hint("shuffle_merge"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+        spread = cells.select("cell", F.explode("members").alias("set")).join(stored(at, "at").hint("shuffle_merge"), "set").select("cell", "set", "n", "sketch", "component")
+        rest = spread.repartition("cell").sortWithinPartitions("cell").mapInPandas(_candidates(bound, forest), "a long, b long")
+        near = near.unionByName(checked(stored(rest.distinct(), "rest")))
+        final = connected_components(near).withColumnRenamed("node", "set")
 
     named = stored(own.select("set", "rep").join(final.hint("shuffle_merge"), "set", "left").withColumn("component", F.coalesce("component", "set")), "named")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
