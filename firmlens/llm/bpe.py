@@ -175,10 +175,8 @@ def encode(df: DataFrame, vocab: str, text: str = "text", ids: str = "ids") -> D
 
     `vocab` is the path of a byte-level BPE tokenizer file that executors can read. Null
     and empty texts have no ids. A special token's string in a text becomes its id. Rows,
-    order and other columns stay; ties do not arise. `ids` must be a new name.
+    order and other columns stay; ties do not arise. A column named `ids` is replaced.
     """
-    if ids in df.columns:
-        raise ValueError(f"column {ids} exists")
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
@@ -194,9 +192,7 @@ def encode(df: DataFrame, vocab: str, text: str = "text", ids: str = "ids") -> D
 
 
 def decode(df: DataFrame, vocab: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Every row of `df` with the text of `ids` in a new column; null ids give an empty text."""
-    if text in df.columns:
-        raise ValueError(f"column {text} exists")
+    """Every row of `df` with the text of `ids` in a new column; null ids give an empty text, and a column of that name is replaced."""
 
     @F.arrow_udf("string")
     def run(lists: pa.Array) -> pa.Array:

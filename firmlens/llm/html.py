@@ -166,7 +166,7 @@ def score(order: list[Node]) -> None:
         text = own_text(n).strip()
         if not text:
             continue
-        points = min(len(text) / 100, 3.0) + text.count(",") + (1.0 if len(text) >= MIN_LINK_DENSITY_TEXT else 0.0)
+        points = (min(len(text) / 100, 3.0) + text.count(",") + (1.0 if len(text) >= MIN_LINK_DENSITY_TEXT else 0.0)) * (1 - density(n))
         up, depth = n.parent or n, 0
         while up is not None and depth < 5:
             up.points += points / (1, 2, 6, 9, 12)[depth]
@@ -224,10 +224,9 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html: str = "html", out: str = "main_text") -> DataFrame:
     """Every row of `pages` with its main text in a new column; null and empty pages have an empty one.
 
-    Rows stay as they are, repeated ones too; tags that are open, crossed or cut off are mended.
+    Rows stay as they are, repeated ones too, and a column named `out` is replaced; tags that
+    are open, crossed or cut off are mended.
     """
-    if out in pages.columns:
-        raise ValueError(f"column {out} exists")
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -29,36 +29,37 @@ BROADCAST_HOSTS = 50_000
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long).
 
-    Null and empty texts count as no words. New names that exist already are replaced.
+    Null and empty texts count as no words. New names that exist already are replaced;
+    names that begin with `_fl_` are this library's own.
     Repeats: 3-word windows are compared by a 64-bit hash; sorted by hash and place, equal
     ones are neighbours, and each place covers at most three words that the one before
     it did not.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_words", F.regexp_extract_all(t, F.lit(f"({WORD_PATTERN})"), 1))
-    df = df.withColumn("n_words", F.size("_words").cast("long"))
+    df = docs.withColumn("_fl_words", F.regexp_extract_all(t, F.lit(f"({WORD_PATTERN})"), 1))
+    df = df.withColumn("n_words", F.size("_fl_words").cast("long"))
     df = df.withColumn(
-        "_windows",
+        "_fl_windows",
         F.expr(
             "if(n_words < 4, array(), sort_array(transform(sequence(0, cast(n_words as int) - 3), "
-            "i -> struct(xxhash64(_words[i], _words[i + 1], _words[i + 2]) as h, i as p))))"
+            "i -> struct(xxhash64(_fl_words[i], _fl_words[i + 1], _fl_words[i + 2]) as h, i as p))))"
         ),
     )
     df = df.withColumn(
-        "_places",
+        "_fl_places",
         F.expr(
-            "sort_array(transform(filter(_windows, (x, k) -> (k > 0 and _windows[k - 1].h = x.h) or "
-            "(k < size(_windows) - 1 and _windows[k + 1].h = x.h)), x -> x.p))"
+            "sort_array(transform(filter(_fl_windows, (x, k) -> (k > 0 and _fl_windows[k - 1].h = x.h) or "
+            "(k < size(_fl_windows) - 1 and _fl_windows[k + 1].h = x.h)), x -> x.p))"
         ),
     )
     kept_lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD_PATTERN))
     return (
-        df.withColumn("n_repeat_words", F.expr("aggregate(transform(_places, (p, k) -> if(k = 0, 3, least(3, p - _places[k - 1]))), 0, (s, x) -> s + x)").cast("long"))
+        df.withColumn("n_repeat_words", F.expr("aggregate(transform(_fl_places, (p, k) -> if(k = 0, 3, least(3, p - _fl_places[k - 1]))), 0, (s, x) -> s + x)").cast("long"))
         .withColumn("word_chars", F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long"))
         .withColumn("n_symbols", F.length(F.regexp_replace(t, SYMBOLS, "")).cast("long"))
-        .withColumn("_lines", kept_lines)
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .drop("_words", "_windows", "_places", "_lines")
+        .withColumn("_fl_lines", kept_lines)
+        .withColumn("n_dup_lines", (F.size("_fl_lines") - F.size(F.array_distinct("_fl_lines"))).cast("long"))
+        .drop("_fl_words", "_fl_windows", "_fl_places", "_fl_lines")
     )
 
 
@@ -98,15 +99,15 @@ def judge_counts(counted: DataFrame, host: str = "source", max_host_rate: float
     The rows are written once to the shared folder and read twice from there.
     """
     judged = stored(counted.withColumn("base_failed", base_failed()), "quality")
-    bad = stored(host_rates(judged, host).where(F.col("rate") > max_host_rate).select(F.col("host").alias("_host"), F.lit(True).alias("_bad")), "hosts")
+    bad = stored(host_rates(judged, host).where(F.col("rate") > max_host_rate).select(F.col("host").alias("_fl_host"), F.lit(True).alias("_fl_bad")), "hosts")
     n = bad.count()
     if not n:
         return judged.withColumn("kept", ~F.col("base_failed"))
     side = F.broadcast(bad) if n <= BROADCAST_HOSTS else bad.hint("shuffle_merge")
     return (
-        judged.join(side, F.col(host).eqNullSafe(F.col("_host")), "left")
-        .withColumn("kept", ~F.col("base_failed") & F.col("_bad").isNull())
-        .drop("_host", "_bad")
+        judged.join(side, F.col(host).eqNullSafe(F.col("_fl_host")), "left")
+        .withColumn("kept", ~F.col("base_failed") & F.col("_fl_bad").isNull())
+        .drop("_fl_host", "_fl_bad")
     )
 
 

@@ -75,7 +75,7 @@ def blocked_hosts(pages: DataFrame, rules: list[Rule], max_distrust: float = MAX
         return edges.select(F.col("src").alias("host"), F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
     per = stored(
         pages.where("host != ''").groupBy("host").agg(
-            F.count_if(F.col("_rule_verdict") == "allow").alias("good"), F.count_if(F.col("_rule_verdict") == "block").alias("bad")
+            F.count_if(F.col("_fl_rule_verdict") == "allow").alias("good"), F.count_if(F.col("_fl_rule_verdict") == "block").alias("bad")
         ), "hosts"
     )
     good, bad = (per.where(f"{x} > 0 and {y} = 0").select("host") for x, y in (("good", "bad"), ("bad", "good")))
@@ -95,17 +95,17 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", html: str
 
     A url that a rule fits has the rule's verdict. The others are blocked where links
     condemn their host, else allowed; so are null urls, whose host and path are empty.
-    One row per row. Condemned hosts are broadcast up to a checked count, beyond it
+    One row per row, and columns with the new names are replaced. Condemned hosts are broadcast up to a checked count, beyond it
     they are joined by a shuffle that AQE splits.
     """
     df = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     rule, verdict = matched(rules, F.col("host"), F.col("path"))
-    df = df.withColumn("rule", rule).withColumn("_rule_verdict", verdict)
-    bad = stored(blocked_hosts(df, rules, max_distrust, html).select(F.col("host").alias("_host"), F.lit("block").alias("_by_links")), "condemned")
+    df = df.withColumn("rule", rule).withColumn("_fl_rule_verdict", verdict)
+    bad = stored(blocked_hosts(df, rules, max_distrust, html).select(F.col("host").alias("_fl_host"), F.lit("block").alias("_fl_by_links")), "condemned")
     n = bad.count()
     side = F.broadcast(bad) if n <= BROADCAST_HOSTS else bad.hint("shuffle_merge")
     return (
-        df.join(side, F.col("host") == F.col("_host"), "left")
-        .withColumn("verdict", F.coalesce("_rule_verdict", "_by_links", F.lit("allow")))
-        .drop("_host", "_by_links", "_rule_verdict")
+        df.join(side, F.col("host") == F.col("_fl_host"), "left")
+        .withColumn("verdict", F.coalesce("_fl_rule_verdict", "_fl_by_links", F.lit("allow")))
+        .drop("_fl_host", "_fl_by_links", "_fl_rule_verdict")
     )
