@@ -215,3 +215,18 @@ def enrich_websites(companies: DataFrame, rows: DataFrame, payloads: DataFrame)
     one = info.groupBy("name_norm").agg(F.min_by("website", "row_id").alias("_site"))
     j = companies.join(one, "name_norm", "left")
     return j.withColumns({"website": F.coalesce("website", "_site"), "domain": F.coalesce("domain", T.registrable_domain(T.url_host(F.col("_site"))))}).select(*companies.columns)
+
+
+def upsert_counters(resolved: DataFrame, state: DataFrame) -> DataFrame:
+    """(source_key, listed, new, updated, with_site): what a source's listings add to `state` (domain, name_norm).
+
+    An entity is known where any of its members has a known domain, or a known name.
+    """
+    by_domain = state.where("domain is not null").select("domain", F.lit(True).alias("_d")).distinct()
+    by_name = state.where(F.length("name_norm") >= 4).select("name_norm", F.lit(True).alias("_n")).distinct()
+    seen = resolved.join(by_domain, "domain", "left").join(by_name, "name_norm", "left").withColumn("_known", F.coalesce("_d", "_n", F.lit(False)))
+    known = seen.groupBy("entity").agg(F.max("_known").alias("_known"))
+    per = resolved.where("source_key is not null").groupBy("source_key", "entity").agg(F.count("*").alias("listed"), F.max(F.col("website").isNotNull()).alias("_site")).join(known, "entity")
+    return per.groupBy("source_key").agg(
+        F.sum("listed").alias("listed"), F.count_if(~F.col("_known")).alias("new"), F.count_if("_known").alias("updated"), F.count_if("_site").alias("with_site")
+    )

@@ -102,3 +102,14 @@ def assemble_pages(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     text = F.col("text") if max_chars is None else F.substring("text", 1, max_chars)
     some = pages.where(F.trim("text") != "").select("company_id", F.struct("pos", F.concat(F.lit("=== "), "url", F.lit(" ===\n"), text).alias("part")).alias("p"))
     return some.groupBy("company_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "\n\n").alias("body"))
+
+
+def label_companies(results: DataFrame, state: DataFrame, companies: DataFrame, run_ts: Column, second: DataFrame | None = None, taxonomy: dict[str, Iterable[str]] = TAXONOMY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(labels, companies, rejected): result lines validated, tiers merged, labels upserted, sizes and sectors filled.
+
+    results and second: (company_id, seq, domain, size_bucket, sector, stack, confidence, page_url, model).
+    """
+    first = validate_labels(last_wins(results), taxonomy)
+    best = first if second is None else merge_tiers(first, validate_labels(last_wins(second), taxonomy), needs_second_tier(first))
+    rejected = best.where(F.size("rejected") > 0).select("company_id", F.explode("rejected").alias("label"))
+    return add_labels(state, label_rows(best), run_ts), save_classification(companies, best, run_ts), rejected

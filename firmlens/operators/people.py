@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.functions.text import fold
+from firmlens.operators.contacts import save_contacts
+from firmlens.operators.labels import last_wins
 
 MIN_QUOTE = 8
 SECOND_TIER_BELOW = 0.7
@@ -41,3 +43,17 @@ def needs_second_tier(checked: DataFrame, below: float = SECOND_TIER_BELOW) -> D
 def contact_records(checked: DataFrame) -> DataFrame:
     """Verified people as contact records; those without evidence never become one."""
     return checked.where("reason is null").select("company_id", "name", "role", "email", "contact_type", "source_url", F.lit("llm").alias("extraction_method"), "confidence")
+
+
+def verify_people(results: DataFrame, pages: DataFrame, contacts: DataFrame, second: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(contacts, rejected): people of result lines (company_id, seq, people) whose evidence holds, saved as contacts.
+
+    Companies with a weak or failed record take the second tier's people where it has a line for them.
+    """
+    checked = verify_evidence(explode_people(last_wins(results)), pages)
+    if second is not None:
+        asked = needs_second_tier(checked).join(second.select("company_id").distinct(), "company_id", "left_semi")
+        again = verify_evidence(explode_people(last_wins(second.join(asked, "company_id", "left_semi"))), pages)
+        checked = checked.join(asked, "company_id", "left_anti").unionByName(again)
+    rejected = checked.where("reason is not null").select("company_id", "person_no", "name", "reason")
+    return save_contacts(contacts, contact_records(checked).withColumn("phone", F.lit(None).cast("string"))), rejected

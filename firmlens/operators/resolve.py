@@ -113,17 +113,19 @@ def company_links(resolved: DataFrame) -> DataFrame:
 
 
 def upsert_companies(state: DataFrame, new: DataFrame, run_ts: Column) -> DataFrame:
-    """State and new rows by domain: only empty fields fill, first_seen stays, last_seen moves.
+    """State and new rows: only empty fields fill, first_seen stays, last_seen moves.
 
-    Rows of `new` without a domain must already carry the id of the company they belong to.
+    A new row (one per company) belongs to the company with its domain, else to that with
+    its id, else it is inserted. Both steps are equi-joins.
     """
+    known = state.where("domain is not null").select(F.col("domain").alias("_domain"), F.col("id").alias("_known"))
     n = new.select(F.col("id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in ("name", "name_norm", "domain", "city", "website")))
-    joined = state.join(n, (F.col("domain") == F.col("_domain")) | (F.col("domain").isNull() & (F.col("id") == F.col("_id"))), "full")
-    seen = F.col("_id").isNotNull()
+    n = n.join(known, "_domain", "left").withColumn("_id", F.coalesce("_known", "_id"))
+    joined = state.join(n, F.col("id") == F.col("_id"), "full")
     return joined.select(
         F.coalesce("id", "_id").alias("id"),
         *(F.coalesce(c, f"_{c}").alias(c) for c in ("name", "name_norm", "domain", "city", "website")),
-        F.coalesce("first_seen", run_ts).alias("first_seen"), F.when(seen, run_ts).otherwise(F.col("last_seen")).alias("last_seen"),
+        F.coalesce("first_seen", run_ts).alias("first_seen"), F.when(F.col("_id").isNotNull(), run_ts).otherwise(F.col("last_seen")).alias("last_seen"),
     )
 
 

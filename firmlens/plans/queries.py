@@ -550,3 +550,108 @@ def parsed_payloads(spark: SparkSession, d: str) -> DataFrame:
     )
     p = e.select(F.col("event_id").alias("company_id"), F.lit("greenhouse").alias("provider"), F.lit("s").alias("slug"), body.alias("body"))
     return J.parse_job_payloads(p, "greenhouse").select(F.col("company_id").alias("event_id"), "external_id", "title", "valid")
+
+
+# --- state transitions ------------------------------------------------------------------------------
+
+AT = "2024-05-01"
+
+
+def _at():
+    return F.to_timestamp(F.lit(AT))
+
+
+@query(f"""WITH p AS (SELECT *, {BARE} AS host FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id DESC) AS rn FROM p WHERE page_id * 40000 + 1700000000 >= 1702000000 - 86400)
+SELECT host, page_id FROM r WHERE rn = 1""")
+def latest_copies(spark: SparkSession, d: str) -> DataFrame:
+    """F8: the newest page of each host within the time to live."""
+    log = _log(spark, d).withColumn("url", T.url_host(F.col("url")))
+    return R.latest_copies(log, F.timestamp_seconds(F.lit(1702000000)), 1).select(F.col("url").alias("host"), "page_id")
+
+
+@query(r"""SELECT page_id FROM pages WHERE NOT (regexp_matches(url, '^[a-z]+://[^/?#]*/en/') AND url LIKE 'https://%')""")
+def robots_open_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that no disallow rule of their origin begins."""
+    p = table(spark, d, "pages")
+    rules = p.where("url like 'https://%'").select(R.origin(F.col("url")).alias("origin"), F.lit("/en/").alias("path")).distinct()
+    return R.robots_gate(p.select("page_id", "url"), rules).select("page_id")
+
+
+@query(WITH + """, n AS (SELECT company_id, label FROM company_labels WHERE dimension = 'domain' AND company_id % 2 = 0), o AS (SELECT company_id, label FROM company_labels WHERE dimension = 'domain' AND company_id % 3 = 0)
+SELECT COALESCE(n.company_id, o.company_id) AS company_id, COALESCE(n.label, o.label) AS label, CASE WHEN n.label IS NOT NULL THEN 0.7 ELSE 0.4 END::DOUBLE AS confidence, CASE WHEN o.label IS NOT NULL THEN 'old' ELSE 'new' END AS model
+FROM n FULL JOIN o ON n.company_id = o.company_id AND n.label = o.label""")
+def upserted_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels inserted or refreshed; the first model stays."""
+    rows = S.labels(spark, d).where("dimension = 'domain'")
+    make = lambda df, c, m: df.select("*", F.lit(c).alias("confidence"), F.lit("u").alias("evidence_url"), F.lit(m).alias("model"))
+    state = make(rows.where("company_id % 3 = 0"), 0.4, "old").withColumn("as_of", _at())
+    return B.add_labels(state, make(rows.where("company_id % 2 = 0"), 0.7, "new"), _at()).select("company_id", "label", "confidence", "model")
+
+
+@query(WITH + """SELECT id, CASE WHEN id % 2 = 0 THEN COALESCE(CASE WHEN id % 3 = 0 THEN 'mikro' END, 'orta') ELSE CASE WHEN id % 3 = 0 THEN 'mikro' END END AS size_bucket,
+  CASE WHEN id % 2 = 0 THEN 'kamu' END AS sector, id % 2 = 0 AS checked FROM companies""")
+def saved_classification(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes fill only where empty, and the checkpoint moves."""
+    c = S.companies(spark, d).select("id", F.when(F.col("id") % 3 == 0, "mikro").alias("size_bucket"), F.lit(None).cast("string").alias("sector"), F.lit(None).cast("timestamp").alias("classify_checked_at"))
+    r = c.where("id % 2 = 0").select(F.col("id").alias("company_id"), F.lit("orta").alias("size_bucket"), F.lit("kamu").alias("sector"))
+    return B.save_classification(c, r, _at()).select("id", "size_bucket", "sector", F.col("classify_checked_at").isNotNull().alias("checked"))
+
+
+@query(WITH + "SELECT key, CASE WHEN key IN ('s3', 's4') THEN 'new' ELSE kind END AS kind, enabled FROM sources UNION ALL SELECT 's9', 'new', false")
+def upserted_sources(spark: SparkSession, d: str) -> DataFrame:
+    """A source's fields are replaced; enabled only on insert."""
+    s = S.sources(spark, d).select("key", "kind", "name", F.lit("u").alias("url"), F.lit("p").alias("parser"), "enabled")
+    fresh = s.where("key in ('s3', 's4')").unionByName(s.where("key = 's0'").withColumn("key", F.lit("s9"))).withColumns({"kind": F.lit("new"), "enabled": F.lit(False)})
+    return E.upsert_sources(s, fresh).select("key", "kind", "enabled")
+
+
+@query(WITH + """SELECT id, name, domain, CASE WHEN id % 2 = 0 THEN city ELSE COALESCE(NULL, 'Ankara') END AS city, CASE WHEN id % 2 = 0 THEN '2024-01-01' ELSE '2024-05-01' END AS first_seen,
+  CASE WHEN id % 4 < 2 OR id % 2 = 1 THEN '2024-05-01' ELSE '2024-01-01' END AS last_seen FROM companies WHERE domain IS NOT NULL""")
+def upserted_companies(spark: SparkSession, d: str) -> DataFrame:
+    """Known domains keep what they have, others are inserted."""
+    c = S.companies(spark, d).where("domain is not null").select("id", "name", "name_norm", "domain", "city", "website")
+    old = F.to_timestamp(F.lit("2024-01-01"))
+    state = c.where("id % 2 = 0").withColumns({"first_seen": old, "last_seen": old})
+    new = c.where("id % 4 < 2 or id % 2 = 1").withColumns({"city": F.lit("Ankara"), "id": F.when(F.col("id") % 2 == 0, -F.col("id")).otherwise(F.col("id"))})
+    day = lambda n: F.date_format(n, "yyyy-MM-dd").alias(n)
+    return E.upsert_companies(state, new, _at()).select("id", "name", "domain", "city", day("first_seen"), day("last_seen"))
+
+
+@query(WITH + """SELECT company_id, source_key, min(CASE WHEN company_id % 2 = 0 THEN '2024-01-01' ELSE '2024-05-01' END) AS first_seen FROM links GROUP BY ALL""")
+def linked_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Insert-ignore of source links."""
+    rows = S.links(spark, d).select("company_id", "source_key", "listed_url")
+    state = rows.where("company_id % 2 = 0").withColumn("first_seen", F.lit("2024-01-01"))
+    return E.link_sources(state, rows.withColumn("first_seen", F.lit(AT))).select("company_id", "source_key", "first_seen")
+
+
+@query(f"""WITH p AS (SELECT page_id, {BARE} AS h, regexp_extract(url, '://[^/]*/([a-z]+)/', 1) AS source_key FROM pages), k AS (SELECT *, {DOMAIN} AS domain FROM p),
+  e AS (SELECT source_key, domain, count(*) AS listed, bool_or(k.domain IN (SELECT domain FROM k WHERE page_id % 5 = 0)) AS known FROM k GROUP BY source_key, domain)
+SELECT source_key, sum(listed)::BIGINT AS listed, count(*) FILTER (WHERE NOT known) AS new, count(*) FILTER (WHERE known) AS updated, count(*) AS with_site FROM e GROUP BY source_key""")
+def source_counters(spark: SparkSession, d: str) -> DataFrame:
+    """What each language section's listings add to the companies known from every fifth page."""
+    site = T.registrable_domain(T.url_host(F.col("url")), SUFFIXES)
+    p = table(spark, d, "pages").select(F.col("page_id").alias("seq"), site.alias("name"), F.col("url").alias("website"), F.lit(None).cast("string").alias("city"), F.regexp_extract("url", "://[^/]*/([a-z]+)/", 1).alias("source_key"), F.col("url").alias("listed_url"))
+    resolved = E.resolve_entities(p, threshold=100, suffixes=SUFFIXES)
+    return D.upsert_counters(resolved, resolved.where("seq % 5 = 0").select("domain", "name_norm"))
+
+
+@query(f"""WITH e AS (SELECT {BARE} AS source_key, page_id, {CUTS} AS status FROM pages)
+SELECT source_key, count(*) FILTER (WHERE page_id % 3 = 0) AS entries, count(*) FILTER (WHERE page_id % 6 = 0) AS with_site,
+  CASE WHEN NOT bool_or(status = 200) THEN 'error' WHEN count(*) FILTER (WHERE page_id % 3 = 0) = 0 THEN 'empty' ELSE 'ok' END AS health FROM e GROUP BY source_key""")
+def source_health(spark: SparkSession, d: str) -> DataFrame:
+    """Entries, sites and health per host."""
+    log = _log(spark, d).withColumn("source_key", T.url_host(F.col("url")))
+    entries = log.where("page_id % 3 = 0").select("source_key", F.when(F.col("page_id") % 6 == 0, F.col("url")).alias("website"))
+    return D.run_summary(entries, log)
+
+
+@query(f"""WITH {ANCHORS}, h AS (SELECT page_id, min(pos) AS pos, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href AS url FROM anchors WHERE page_id % 2 = 0 GROUP BY page_id, url, href)
+SELECT page_id, url, pos FROM h UNION ALL SELECT page_id, url || '#sitemap', 0 FROM pages WHERE page_id NOT IN (SELECT page_id FROM h)""")
+def links_or_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Pages without links of their own take the fallback's rows."""
+    p = table(spark, d, "pages")
+    a = L.anchors(p.where("page_id % 2 = 0"), "html").withColumn("link", T.resolve_url(F.col("url"), F.col("href")))
+    hits = a.groupBy(F.col("page_id").alias("company_id"), F.col("link").alias("url")).agg(F.min("pos").alias("pos"))
+    fallback = p.select(F.col("page_id").alias("company_id"), F.concat("url", F.lit("#sitemap")).alias("url"), F.lit(0).alias("pos"))
+    return L.with_fallback(hits, fallback).withColumnRenamed("company_id", "page_id")

@@ -17,9 +17,26 @@ LABELS = (
     "company_id long, seq long, tier int, model string, page_url string, "
     "classification struct<domain: array<string>, size_bucket: string, sector: string, stack: array<string>, reasoning: string, confidence: double>"
 )
+SOURCES = (
+    "key string, kind string, name string, list_url string, city string, mode string, item_selector string, name_selector string, name_attr string, "
+    "website_selector string, sector_selector string, sector_attr string, detail_selector string, page_param string, max_pages int, enabled boolean, note string"
+)
+#: What a source's configuration leaves out.
+SOURCE_DEFAULTS = {"mode": "structured", "website_selector": "a", "detail_selector": "a", "max_pages": 40, "enabled": True}
 BOM = "﻿"
 
 
+def source_config_df(spark: SparkSession, configs: list[dict]) -> DataFrame:
+    """Directory configurations, one dict each, as a table; what they leave out takes its default."""
+    names = [c.split()[0] for c in SOURCES.split(", ")]
+    return spark.createDataFrame([tuple((SOURCE_DEFAULTS | c).get(n) for n in names) for c in configs], SOURCES)
+
+
+def run_ts(spark: SparkSession):
+    """One UTC time of second precision per run, as a literal."""
+    return F.lit(spark.range(1).select(F.date_trunc("second", F.current_timestamp())).first()[0])
+
+
 def read_pages(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     return spark.read.schema(PAGES).format(format).load(path)
 

@@ -261,3 +261,24 @@ def test_upserts(spark):
     f = spark.createDataFrame([(1, None, None, None, "none", None)], "company_id long, careers_url string, ats_provider string, ats_slug string, detect_status string, detect_note string")
     r = J.save_detection(d, f, ts()).first()
     assert (r.careers_url, r.ats_provider, r.detect_status) == ("old", None, "none") and r.detect_checked_at
+
+
+def test_label_and_people_jobs(spark):
+    schema = "company_id long, seq long, domain array<string>, size_bucket string, sector string, stack array<string>, confidence double, page_url string, model string"
+    first = spark.createDataFrame([(1, 1, ["nope"], None, None, [], 0.9, "u", "a"), (1, 2, ["oyun"], "orta", None, [], 0.5, "u", "a"), (2, 1, ["fintech", "bad"], None, "kamu", ["go"], 0.8, "v", "a")], schema)
+    second = spark.createDataFrame([(1, 1, ["ai_ml"], "buyuk", None, [], 0.9, "u", "b"), (2, 1, ["oyun"], None, None, [], 0.9, "v", "b")], schema)
+    state = spark.createDataFrame([], "company_id long, dimension string, label string, confidence double, evidence_url string, model string, as_of timestamp")
+    companies = spark.createDataFrame([(1, "mikro", None, None), (2, None, None, None), (3, None, None, None)], "id long, size_bucket string, sector string, classify_checked_at timestamp")
+    labels, saved, rejected = B.label_companies(first, state, companies, ts(), second)
+    assert {(r.company_id, r.label) for r in labels.collect()} == {(1, "ai_ml"), (2, "fintech"), (2, "go")}
+    assert {r.id: (r.size_bucket, r.sector, r.classify_checked_at is not None) for r in saved.collect()} == {1: ("mikro", None, True), 2: (None, "kamu", True), 3: (None, None, False)}
+    assert [(r.company_id, r.label) for r in rejected.collect()] == [(2, "bad")]
+    person = "company_id long, seq long, people array<struct<name: string, role: string, email: string, contact_type: string, evidence_quote: string, confidence: double>>"
+    one = spark.createDataFrame([(1, 1, [("Ad Soyad", "CEO", None, "executive", "Ad Soyad, CEO", 0.9), ("X", "Y", None, "executive", "invented quote", 0.9)]), (2, 1, [("B C", "IK", "ik@b.com", "hr", "B C ik@b.com", 0.8)])], person)
+    two = spark.createDataFrame([(1, 1, [("Ad Soyad", "CEO", "ceo@a.com", "executive", "ad soyad, ceo", 0.95)])], person)
+    pages = spark.createDataFrame([(1, 0, "https://a.com/t", "Ekip: AD SOYAD, CEO"), (2, 0, "https://b.com/t", "B C ik@b.com")], "company_id long, pos int, url string, text string")
+    empty = spark.createDataFrame([], K.CONTACT_COLUMNS)
+    got, bad = P.verify_people(one, pages, empty)
+    assert {(r.company_id, r.name, r.email) for r in got.collect()} == {(1, "Ad Soyad", None), (2, "B C", "ik@b.com")} and [r.name for r in bad.collect()] == ["X"]
+    got, bad = P.verify_people(one, pages, empty, two)
+    assert {(r.company_id, r.email) for r in got.collect()} == {(1, "ceo@a.com"), (2, "ik@b.com")} and bad.count() == 0
