@@ -9,7 +9,12 @@
    in five or more of nine bins always meet in one.
 4. In a bucket each line is paired with the first line and with the one before it, if
    five bins agree; a pair counts after an exact Jaccard check of the full shingle sets.
-5. Distributed union-find joins the pairs; one line per component stays, the first.
+   Distributed union-find joins the pairs.
+5. Where a bucket of three or more still holds several components, no pair with five
+   agreeing bins is left unchecked: up to SMALL_BUCKET lines meet each other; the lines of
+   larger buckets, which one template's lines fill, go through an exact join by their
+   rarest shingles (prefix filter).
+6. One line per component stays, the first.
 
 Only DataFrame functions; the hot loops (hashing, minima, buckets) run in generated code.
 A bucket is streamed by a window, never collected.
@@ -31,6 +36,8 @@ MIN_CHARS = 20
 BINS, VALUES = 36, 9
 #: Bins that a pair must agree in: what the bands are sure to find.
 AGREE = 5
+#: In buckets up to this many lines all pairs are compared.
+SMALL_BUCKET = 256
 #: Keys are broadcast up to this many.
 BROADCAST_KEYS = 1_000_000
 #: The lines that documents lose are broadcast up to so many places.
@@ -62,10 +69,18 @@ def signatures(lines: DataFrame) -> DataFrame:
     return hashed.where(F.col("b") < VALUES).groupBy("id").agg(*(F.coalesce(F.min(F.when(F.col("b") == i, F.col("h"))), F.lit(0)).alias(f"v{i}") for i in range(VALUES)))
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """(a, b): pairs that share a band and agree in AGREE bins; bands whose bins are all empty count for nothing.
+def agree(s: str, t: str) -> str:
+    """Whether two sketches agree in AGREE bins, as SQL."""
+    return " + ".join(f"if(shiftrightunsigned({s} ^ {t}, {7 * i}) & 127 = 0, 1, 0)" for i in range(VALUES)) + f" >= {AGREE}"
 
-    Buckets carry a sketch of seven bits a bin, so agreement needs no second look at the signatures.
+
+def met(signed: DataFrame) -> DataFrame:
+    """(id, others, bucket, s, first): each line of a bucket but the first, by bucket.
+
+    `others` are the bucket's first line and the line before where AGREE bins agree. Only
+    buckets of three lines and more carry bucket, sketch and first line (else null). A
+    bucket is a band's bins; bands whose bins are all empty count for nothing. Sketches have
+    seven bits a bin, so agreement needs no second look at the signatures.
     """
     bands = [
         F.when(F.expr(" or ".join(f"v{i} != 0" for i in band)), F.xxhash64(F.lit(n), *(F.col(f"v{i}") for i in band))) for n, band in enumerate(BANDS)
@@ -73,10 +88,52 @@ def candidates(signed: DataFrame) -> DataFrame:
     sketch = F.expr(" | ".join(f"shiftleft(v{i} & 127, {7 * i})" for i in range(VALUES)))
     rows = signed.select("id", sketch.alias("s"), F.explode(F.array(*bands)).alias("bucket")).where("bucket is not null")
     w = Window.partitionBy("bucket").orderBy("id")
-    met = rows.select("id", "s", F.first(F.struct("id", "s")).over(w).alias("first"), F.lag(F.struct("id", "s")).over(w).alias("before")).where("before is not null")
-    pairs = met.select("id", "s", F.explode(F.array("first", "before")).alias("o"))
-    agree = " + ".join(f"if(shiftrightunsigned(s ^ o.s, {7 * i}) & 127 = 0, 1, 0)" for i in range(VALUES))
-    return pairs.where(f"{agree} >= {AGREE}").select(F.col("id").alias("a"), F.col("o.id").alias("b")).distinct()
+    each = rows.select(
+        "bucket", "id", "s", F.first(F.struct("id", "s")).over(w).alias("first"), F.lag(F.struct("id", "s")).over(w).alias("before"), F.lead("id").over(w).alias("next")
+    ).where("before is not null")
+    near = [F.when(F.expr(agree("s", f"{o}.s")), F.col(f"{o}.id")) for o in ("first", "before")]
+    crowded = F.expr("first.id != before.id or next is not null")
+    kept = [F.when(crowded, F.col(c)).alias(c) for c in ("bucket", "s", "first")]
+    return each.select("id", F.array_compact(F.array_distinct(F.array(*near))).alias("others"), *kept).where("bucket is not null or size(others) > 0")
+
+
+def crowds(met_: DataFrame, same: DataFrame) -> DataFrame:
+    """(bucket, id, s, c, n): the lines of buckets of three and more that hold several components; c the line's, n the bucket's lines."""
+    lines = met_.where("bucket is not null").select("bucket", F.explode(F.array(F.struct("id", "s"), "first")).alias("o")).select("bucket", "o.*").distinct()
+    of = stored(lines.join(same.hint("shuffle_merge"), "id", "left").select("bucket", "id", "s", F.coalesce("component", "id").alias("c")), "crowds")
+    mixed = of.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("n")).where("x != y").select("bucket", "n")
+    return of.join(mixed.hint("shuffle_merge"), "bucket")
+
+
+def all_pairs(crowd: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different components in a bucket that agree in AGREE bins."""
+    x, y = (crowd.select("bucket", *(F.col(k).alias(k + v) for k in ("id", "s", "c"))) for v in "xy")
+    fits = (x["bucket"] == y["bucket"]) & F.expr("idx > idy and cx != cy") & F.expr(agree("sx", "sy"))
+    return x.hint("shuffle_merge").join(y, fits).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
+
+
+def rare_pairs(open_: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of `open_` lines (id, c) of different components, all that can have this similarity.
+
+    Shingles are ordered from rare to common. The first common one of two similar sets is
+    among the first n - t n + 1 of the larger, and among the first n - 2t / (1 + t) n + 1 of
+    the smaller: what all lines of a template share comes later, unless it is nearly all of
+    them. Only shingles of several components are joined.
+    """
+    texts = lines.select("id", "line").join(open_.hint("shuffle_merge"), "id")
+    sets = texts.select("id", "c", F.transform(F.array_distinct(_shingles("line")), lambda x: F.xxhash64(x)).alias("hs"))
+    rows = stored(sets.select("id", "c", F.size("hs").alias("n"), F.explode("hs").alias("h")), "shingles")
+    often = rows.groupBy("h").agg(F.count("*").alias("often"), F.min("c").alias("x"), F.max("c").alias("y"))
+    ranked = rows.join(often.hint("shuffle_merge"), "h").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("often", "h")))
+    first = lambda t: F.col("at") <= F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1
+    front = stored(ranked.where(first(threshold)).where("x != y").select("h", "id", "c", "n", "at"), "front")
+    x, y = (df.select("h", *(F.col(k).alias(k + v) for k in ("id", "c", "n", "at"))) for v, df in (("x", front.where(first(2 * threshold / (1 + threshold)))), ("y", front)))
+    fits = (
+        (x["h"] == y["h"]) & (F.col("cx") != F.col("cy")) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("idx") < F.col("idy"))))
+        & (F.col("nx") >= threshold * F.col("ny") - 1e-9)
+        & ((1 + F.least(F.expr("nx - atx"), F.expr("ny - aty"))) * (1 + threshold) >= threshold * (F.col("nx") + F.col("ny")) - 1e-9)
+    )
+    return x.hint("shuffle_merge").join(y, fits).select(F.greatest("idx", "idy").alias("a"), F.least("idx", "idy").alias("b")).distinct()
 
 
 def _shingles(line: str) -> Column:
@@ -108,8 +165,17 @@ def dropped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     """(doc_id, places): for each document that loses lines, their places from 0."""
     found = occurrences(docs, doc_id, text, min_chars)
     lines = stored(found.groupBy("line").agg(F.min("at").alias("id"), F.count("*").alias("n")), "lines")
-    pairs = stored(candidates(signatures(lines)), "pairs")
-    same = connected_components(stored(similar(pairs, lines, threshold), "same")).withColumnRenamed("node", "id")
+    met_ = stored(met(signatures(lines)), "met")
+    pairs = stored(met_.select(F.col("id").alias("a"), F.explode("others").alias("b")).distinct(), "pairs")
+    links = stored(similar(pairs, lines, threshold), "same")
+    same = connected_components(links).withColumnRenamed("node", "id")
+    crowd = stored(crowds(met_, same), "crowd")
+    if not crowd.isEmpty():
+        large = stored(crowd.where(F.col("n") > SMALL_BUCKET).select("id", "c").distinct(), "open")
+        more = all_pairs(crowd.where(F.col("n") <= SMALL_BUCKET))
+        more = more if large.isEmpty() else more.unionByName(rare_pairs(large, lines, threshold)).distinct()
+        more = stored(similar(stored(more, "pairs"), lines, threshold), "same")
+        same = connected_components(links.unionByName(more)).withColumnRenamed("node", "id")
     # Lines that occur once and resemble none lose nothing; the others, by key.
     named = lines.select("id", "n", *key(F.col("line"))).join(same.hint("shuffle_merge"), "id", "left")
     repeated = stored(named.where("n > 1 or component is not null").select("h1", "h2", F.coalesce("component", "id").alias("keep")), "repeated")

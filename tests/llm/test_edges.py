@@ -95,6 +95,30 @@ def test_lines_recall(spark):
     assert not any(got[i] for i in range(0, 240, 2)) and not any(got[i + 1] for i in range(0, 240, 2) if i not in same)
 
 
+def template(r, n, shared, own):
+    """`n` lines of `shared` words in common and `own` words each, in fixed places."""
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(4, 9))) for _ in range(3000)]
+    common, places = [r.choice(words) for _ in range(shared + own)], r.sample(range(shared + own), own)
+    return [[r.choice(words) if k in places else w for k, w in enumerate(common)] for _ in range(n)], places, words
+
+
+def test_lines_of_one_template(spark):
+    """Near copies are found where lines of the same boilerplate fill their buckets."""
+    r = random.Random(3)
+    base, places, words = template(r, 1500, 30, 9)
+    copies = [list(w) for w in base[:150]]
+    for w in copies:
+        w[r.choice(places)] = r.choice(words)
+    rows = [" ".join(w) for w in base + copies]
+
+    def grams(s):
+        return {s[k : k + lines.SHINGLE] for k in range(len(s) - lines.SHINGLE + 1)}
+
+    same = [i for i in range(150) if len(grams(rows[i]) & grams(rows[1500 + i])) >= 0.8 * len(grams(rows[i]) | grams(rows[1500 + i]))]
+    got = {x.doc_id: x.n_removed for x in lines.dedup(docs(spark, rows)).collect()}
+    assert len(same) > 100 and sum(got[1500 + i] for i in same) >= 0.99 * len(same)
+
+
 def test_jaccard_edges(spark):
     base = prose(21, 300).split()
     texts = [*EDGES, "ONE", "one two", "One  two"]
