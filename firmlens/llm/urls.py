@@ -1,8 +1,12 @@
 """URL filters: host and path rules, and for the rest trust carried along links.
 
 Trust is a personalised PageRank from hosts that allow rules fit, over host edges;
-distrust runs over the reversed edges from hosts that block rules fit. A host is blocked
-where its distrust outweighs its trust by the threshold. Only DataFrame functions; one
+distrust runs over the reversed edges from hosts that block rules fit. There each link
+counts by its share of the linking host's own links, so that others who link to the same
+host change nothing. Both are judged as a share of the PageRank that links bring the host
+from anywhere, so both are from 0 to 1, and a host is blocked where its distrust outweighs
+its trust by the threshold. A block rule is about paths: a host that one fits is a seed,
+but its other pages are blocked only if its own links condemn it. Only DataFrame functions; one
 row per host and per host edge after pre-aggregation, so a page's many links and a host's
 many pages never meet in one task.
 """
@@ -18,7 +22,9 @@ from firmlens.llm.common import stored
 Rule = tuple[str, str, str]
 DAMPING = 0.85
 ROUNDS = 10
-#: A host is blocked when distrust - trust, each scaled to its seeds' mean, is above this.
+#: A PageRank is done when no host's score grows by more than this part of it in a round.
+TOLERANCE = 1e-3
+#: A host is blocked when distrust - trust, each a share of what links bring it, is above this.
 MAX_DISTRUST = 0.1
 BROADCAST_HOSTS = 50_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,39 +60,59 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     )
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, score): personalised PageRank from `seeds` (host, seed), whose seeds sum to 1."""
-    out = edges.groupBy("src").agg(F.sum("w").alias("total"))
-    step = stored(edges.join(out.hint("shuffle_merge"), "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")), "steps")
-    base = seeds.select("host", ((1 - damping) * F.col("seed")).alias("score"))
-    now = seeds.select("host", F.col("seed").alias("score"))
-    for _ in range(rounds):
+def spread(
+    edges: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS, damping: float = DAMPING, by: str = "src", tolerance: float = TOLERANCE
+) -> DataFrame:
+    """(host, score): personalised PageRank from `seeds` (host, seed); more columns of seeds are spread likewise.
+
+    After `rounds` rounds from the seeds; or, with None, from what they keep until the last
+    column of no host grows by more than `tolerance` of itself. A link's share is of all
+    links of its `by` host.
+    """
+    name = {c: "score" if c == "seed" else c for c in seeds.columns if c != "host"}
+    last = list(name.values())[-1]
+    out = edges.groupBy(by).agg(F.sum("w").alias("total"))
+    step = stored(edges.join(out.hint("shuffle_merge"), by).select("src", "dst", (F.col("w") / F.col("total")).alias("share")), "steps")
+    base = seeds.select("host", *(((1 - damping) * F.col(c)).alias(n) for c, n in name.items()), F.lit(0.0).alias("_fl_was"))
+    now = base if rounds is None else seeds.select("host", *(F.col(c).alias(n) for c, n in name.items()))
+    done = 0
+    while done != rounds:
         moved = step.join(now.hint("shuffle_merge"), step["src"] == now["host"]).select(
-            F.col("dst").alias("host"), (damping * F.col("share") * F.col("score")).alias("score")
+            F.col("dst").alias("host"), *((damping * F.col("share") * F.col(n)).alias(n) for n in name.values()), F.lit(0.0).alias("_fl_was")
         )
-        now = stored(base.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score")), "rank")
-    return now
+        before = now.select("host", *(F.lit(0.0).alias(n) for n in name.values()), F.col(last).alias("_fl_was"))
+        parts = base.unionByName(moved).unionByName(before)
+        now = stored(parts.groupBy("host").agg(*(F.sum(c).alias(c) for c in (*name.values(), "_fl_was"))), "rank")
+        done += 1
+        if rounds is None and (now.agg(F.max((F.col(last) - F.col("_fl_was")) / F.col(last))).first()[0] or 0.0) <= tolerance:
+            break
+    return now.select("host", *name.values())
+
+
+def linked_share(edges: DataFrame, hosts: DataFrame, seed: str, by: str) -> DataFrame:
+    """(host, share): of the PageRank that links bring each of `hosts` from anywhere, the part that comes from `seed` hosts; 0 without links."""
+    seeds = hosts.select("host", F.col(seed).cast("double").alias("seed"), F.lit(1.0).alias("whole"))
+    got = spread(edges, seeds, None, by=by).join(hosts.select("host", seed).hint("shuffle_merge"), "host")
+    part, whole = F.col("score") - (1 - DAMPING) * F.col(seed).cast("double"), F.col("whole") - (1 - DAMPING)
+    return got.select("host", F.when(whole > 1e-9, part / whole).otherwise(0.0).alias("share"))
 
 
 def blocked_hosts(pages: DataFrame, rules: list[Rule], max_distrust: float = MAX_DISTRUST, html: str = "html") -> DataFrame:
     """(host, trust, distrust) of the hosts that links condemn; `pages` has host, rule verdict and html."""
     edges = stored(host_edges(pages, html), "links")
-    if edges.isEmpty():
-        return edges.select(F.col("src").alias("host"), F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
-    per = stored(
-        pages.where("host != ''").groupBy("host").agg(
-            F.count_if(F.col("_fl_rule_verdict") == "allow").alias("good"), F.count_if(F.col("_fl_rule_verdict") == "block").alias("bad")
-        ), "hosts"
+    per = pages.where("host != ''").groupBy("host").agg(
+        F.count_if(F.col("_fl_rule_verdict") == "allow").alias("good"), F.count_if(F.col("_fl_rule_verdict") == "block").alias("bad")
     )
-    good, bad = (per.where(f"{x} > 0 and {y} = 0").select("host") for x, y in (("good", "bad"), ("bad", "good")))
-    n_good, n_bad = good.count(), bad.count()
-    trust = spread(edges, good.withColumn("seed", F.lit(1.0 / max(n_good, 1))))
+    linked = edges.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0).alias("good"), F.lit(0).alias("bad"))
+    seeds = per.unionByName(linked).groupBy("host").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    hosts = stored(seeds.select("host", F.expr("good > 0 and bad = 0").alias("good"), F.expr("bad > 0 and good = 0").alias("bad")), "hosts")
+    trust = linked_share(edges, hosts, "good", "src").select("host", F.col("share").alias("_fl_trust"))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    distrust = spread(back, bad.withColumn("seed", F.lit(1.0 / max(n_bad, 1))))
+    distrust = linked_share(back, hosts, "bad", "dst").select("host", F.col("share").alias("distrust"))
     return (
-        trust.select("host", (F.col("score") * n_good).alias("trust"))
-        .join(distrust.select("host", (F.col("score") * n_bad).alias("distrust")), "host", "full")
-        .na.fill(0.0, ["trust", "distrust"]).where(F.col("distrust") - F.col("trust") > max_distrust)
+        hosts.join(trust.hint("shuffle_merge"), "host").join(distrust.hint("shuffle_merge"), "host")
+        .select("host", F.when(F.col("good"), 1.0).otherwise(F.col("_fl_trust")).alias("trust"), "distrust")
+        .where(F.col("distrust") - F.col("trust") > max_distrust)
     )
 
 

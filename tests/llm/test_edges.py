@@ -280,6 +280,15 @@ def test_pagerank_equals_power_iteration(spark):
     assert got.keys() == now.keys() and all(abs(got[h] - now[h]) < 1e-12 for h in now)
 
 
+def test_one_link_does_not_condemn_seeds(spark):
+    """A seed's pages that no rule fits have the same verdict whether or not there are links elsewhere."""
+    rows = [(1, "http://bad.net/es/a", ""), (2, "http://bad.net/en/a", ""), (3, "http://a.io/", ""), (4, "http://b.io/", "")]
+    for link in ("", '<a href="http://b.io/">x</a>'):
+        df = spark.createDataFrame([(i, u, link if i == 3 else h) for i, u, h in rows], "page_id long, url string, html string")
+        got = {r.page_id: r.verdict for r in urls.filter_urls(df, [("block", "net", "/es/")]).collect()}
+        assert got == {1: "block", 2: "allow", 3: "allow", 4: "allow"}
+
+
 def test_packing(spark):
     out = packing.pack(docs(spark, EDGES), vocabulary(), keep_ids=True).collect()
     assert sorted({r.doc_id for r in out}) == list(range(8))
