@@ -280,6 +280,11 @@ def test_pagerank_equals_power_iteration(spark):
     assert got.keys() == now.keys() and all(abs(got[h] - now[h]) < 1e-12 for h in now)
 
 
+def verdicts(spark, graph, rules):
+    rows = [(h, f"http://{h}/x", "".join(f'<a href="http://{g}/">x</a>' for g in to)) for h, to in graph.items()]
+    return {r.page_id: r.verdict for r in urls.filter_urls(spark.createDataFrame(rows, "page_id string, url string, html string"), rules).collect()}
+
+
 def test_one_link_does_not_condemn_seeds(spark):
     """A seed's pages that no rule fits have the same verdict whether or not there are links elsewhere."""
     rows = [(1, "http://bad.net/es/a", ""), (2, "http://bad.net/en/a", ""), (3, "http://a.io/", ""), (4, "http://b.io/", "")]
@@ -289,6 +294,21 @@ def test_one_link_does_not_condemn_seeds(spark):
         assert got == {1: "block", 2: "allow", 3: "allow", 4: "allow"}
 
 
+def test_equal_linkers_are_all_condemned(spark):
+    for n in (1, 2, 100):
+        graph = {f"f{i}.io": ["bad.net"] for i in range(n)} | {"bad.net": [], "fine.io": ["good.com"], "good.com": []}
+        got = verdicts(spark, graph, [("block", "net", "/"), ("allow", "com", "/")])
+        assert all((v == "block") == (h == "bad.net" or h[0] == "f" and h != "fine.io") for h, v in got.items())
+
+
+def test_distrust_falls_along_a_chain(spark):
+    chain = {"bad.net": []} | {f"h{i}.io": [f"h{i - 1}.io" if i > 1 else "bad.net"] for i in range(1, 15)}
+    got = verdicts(spark, chain, [("block", "net", "/")])
+    order = [got[f"h{i}.io"] for i in range(1, 15)]
+    far = order.count("block")
+    assert order == ["block"] * far + ["allow"] * (14 - far) and 1 < far < 10
+
+
 def test_packing(spark):
     out = packing.pack(docs(spark, EDGES), vocabulary(), keep_ids=True).collect()
     assert sorted({r.doc_id for r in out}) == list(range(8))
