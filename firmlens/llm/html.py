@@ -3,7 +3,8 @@
 A page becomes a small tree. Each paragraph gives points for its length and commas to its
 ancestors, fewer the farther up; an element's points are discounted by the share of its
 text that stands in links. The best container is kept, with siblings that read like it.
-What is never article text (menus, forms, scripts, adverts, comments ...) is cut before.
+What is never article text (menus, forms, scripts, adverts, comments ...) is cut before;
+by its class or id only where the page's article does not stand inside it.
 
 Pages are independent: one Arrow pass, no shuffle.
 """
@@ -36,6 +37,8 @@ CUT_WORDS = frozenset(
     "sidebar side aside nav navbar navigation menu breadcrumb breadcrumbs footer header masthead comment comments disqus respond reply replies "
     "share sharing social related recommended recommendations newsletter subscribe signup widget pagination pager toolbar skip".split()
 )
+#: In a class or id, what follows these tells of the layout around, not of the element.
+LAYOUT_WORDS = frozenset("no has with without".split())
 GOOD = re.compile(r"article|body|content|entry|main|post|story|text", re.I)
 MIN_LINK_DENSITY_TEXT = 25
 
@@ -45,12 +48,13 @@ _NAME = re.compile(r"[A-Za-z]+|\d+")
 
 
 class Node:
-    __slots__ = ("kids", "links", "parent", "points", "size", "tag", "text", "weight")
+    __slots__ = ("doubt", "kids", "links", "parent", "points", "size", "tag", "text", "weight")
 
     def __init__(self, tag: str, parent: Node | None, weight: float = 0.0):
         self.tag, self.parent, self.weight = tag, parent, weight
         self.kids: list = []  # nodes and strings, in page order
         self.points, self.size, self.links, self.text = 0.0, 0, 0, None
+        self.doubt = 0  # what its class or id says: see named()
 
 
 def cut(tag: str, attrs: str) -> bool:
@@ -62,11 +66,57 @@ def cut(tag: str, attrs: str) -> bool:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role" and value.lower() in CUT_ROLES or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name in ("class", "id") and any(x.lower() in CUT_WORDS for x in _NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value))):
-            return True
     return name_is_hidden(attrs)
 
 
+def named(tag: str, attrs: str) -> int:
+    """2 where a class or id consists of CUT_WORDS, 1 where one has such a word among others, else 0."""
+    most = 0
+    if not attrs or tag in ("body", "html", "article", "main"):
+        return most
+    for m in _ATTR.finditer(attrs):
+        if m[1].lower() not in ("class", "id"):
+            continue
+        for value in (m[2] or m[3] or m[4] or "").split():
+            words = [x.lower() for x in _NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value))]
+            known = words[: next((i for i, x in enumerate(words) if x in LAYOUT_WORDS), len(words))]
+            hits = [x in CUT_WORDS for x in known]
+            most = max(most, 2 if hits and len(known) == len(words) and all(hits) else 1 if any(hits) else 0)
+    return most
+
+
+def contents(root: Node) -> dict[int, tuple[int, int]]:
+    """By id() of a node: the characters of paragraphs and the count of article and main elements in it."""
+    order, todo, found = [], [(root, False)], {}
+    while todo:
+        n, inside = todo.pop()
+        inside = inside or n.tag in ("p", "pre", "blockquote")
+        order.append((n, inside))
+        todo += [(k, inside) for k in n.kids if isinstance(k, Node)]
+    for n, inside in reversed(order):
+        chars, bodies = 0, int(n.tag in ("article", "main"))
+        for k in n.kids:
+            if isinstance(k, Node):
+                chars, bodies = chars + found[id(k)][0], bodies + found[id(k)][1]
+            elif inside:
+                chars += len("".join(k.split()))
+        found[id(n)] = chars, bodies
+    return found
+
+
+def prune(root: Node, doubtful: list[Node]) -> None:
+    """Cut elements by class or id, unless all article and main elements stand in them or, for names of mixed words, most paragraph text."""
+    for level in (2, 1):
+        nodes = [n for n in doubtful if n.doubt == level]
+        found = contents(root) if nodes else {}
+        for n in nodes:
+            if id(n) not in found:  # went with another
+                continue
+            (chars, bodies), (all_chars, all_bodies) = found[id(n)], found[id(root)]
+            if not (bodies and bodies == all_bodies or level == 1 and 2 * chars > all_chars):
+                n.parent.kids = [k for k in n.parent.kids if k is not n]
+
+
 def name_is_hidden(attrs: str) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", attrs, re.I))
 
@@ -74,6 +124,7 @@ def name_is_hidden(attrs: str) -> bool:
 def tree(page: str) -> Node:
     """The page's elements without those that are cut; end tags that fit nothing are ignored."""
     root = Node("html", None)
+    doubtful: list[Node] = []
     stack, at, skip = [root], 0, 0  # skip: how deep the stack is inside an element that is cut
     pos, end = 0, len(page)
     while pos < end:
@@ -119,17 +170,21 @@ def tree(page: str) -> Node:
             pos = max(close.end(), pos)
             continue
         if tag in VOID:
-            if not gone and tag in ("br", "hr"):
+            if not gone and tag in ("br", "hr") and not named(tag, attrs):
                 stack[-1].kids.append(Node(tag, stack[-1]))
             continue
         weight = 25.0 if tag in ("article", "main") or re.search(r"articleBody", attrs) else 10.0 if attrs and any(GOOD.search(x[2] or x[3] or x[4] or "") for x in _ATTR.finditer(attrs) if x[1].lower() in ("class", "id")) else 0.0
         node = Node(tag, stack[-1], weight)
         if not gone:
             stack[-1].kids.append(node)
+            node.doubt = named(tag, attrs)
+            if node.doubt:
+                doubtful.append(node)
         if not attrs.rstrip().endswith("/") or tag in BLOCKS:
             stack.append(node)
             if gone and not skip:
                 skip = len(stack)
+    prune(root, doubtful)
     return root
 
 

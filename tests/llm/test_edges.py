@@ -349,6 +349,14 @@ def test_html(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize("name", ["content no-sidebar", "layout has-sidebar", "post with-comments", "page-header-fixed", "left-sidebar", "site without-nav"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_html_layout_classes(name, tag):
+    """A layout's class around the article cuts nothing; what is named so itself goes."""
+    page = f"<body><div class='{name}'><{tag}><p>the story, as told, at some length, goes on and on</p></{tag}><div class='sidebar'><p>menu, of, many, words</p></div></div><div class='comments'><p>no, no, no</p></div></body>"
+    assert html.main_text(page) == "the story, as told, at some length, goes on and on"
+
+
 def test_html_edges(spark):
     rows = [(1, None), (1, None), (2, "<div>" * 5000 + "deep"), (3, "<p>" + "x, " * 100_000)]
     got = html.extract(spark.createDataFrame([(i, h, "x") for i, h in rows], "page_id long, html string, main_text string")).collect()
