@@ -3,21 +3,24 @@
 1. Equal lines collapse by an aggregation with map-side combining; a line's id is its
    first occurrence, document and place in one long.
 2. Each distinct line's character shingles are hashed once; the hash space has BINS bins,
-   and VALUES of them keep their smallest hash (one-permutation MinHash).
-3. Banding: the bins are the points of an affine plane of order 3, and each of its 12
-   lines of three points is a band. Any two points share a band, so two lines that agree
-   in five or more of nine bins always meet in one.
+   and each keeps its smallest hash (one-permutation MinHash). Hashes too large to be a
+   bin's smallest are passed over before the minima; a bin is left empty by this with a
+   probability of exp(-PER_BIN).
+3. Banding: the bins are the edges of a cube, and the three at each corner are a band. Two
+   lines of similarity 0.8 share a band and AGREE bins with a probability of 0.98, nearer
+   ones with more.
 4. In a bucket each line is paired with the first line and with the one before it, if
-   five bins agree; a pair counts after an exact Jaccard check of the full shingle sets.
+   AGREE bins agree; a pair counts after an exact Jaccard check of the full shingle sets.
    Distributed union-find joins the pairs.
-5. Where a bucket of three or more still holds several components, no pair with five
-   agreeing bins is left unchecked: up to SMALL_BUCKET lines meet each other; the lines of
-   larger buckets, which one template's lines fill, go through an exact join by their
-   rarest shingles (prefix filter).
+5. Where a bucket of three or more still holds several components, no pair with AGREE
+   bins is left unchecked: up to SMALL_BUCKET lines meet each other; the lines of larger
+   buckets, which one template's lines fill, go through an exact join by their rarest
+   shingles (prefix filter). What links is added to the components.
 6. One line per component stays, the first.
 
 Only DataFrame functions; the hot loops (hashing, minima, buckets) run in generated code.
-A bucket is streamed by a window, never collected.
+A bucket is streamed by a window, never collected. Shingles are runs of SHINGLE UTF-16
+units, whose fixed width makes each a slice of bytes.
 """
 
 from __future__ import annotations
@@ -25,32 +28,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmlens.llm.common import connected_components, stored
+from firmlens.llm.common import connected_components, extended, stored
 
 #: Characters of a shingle.
 SHINGLE = 8
 #: Lines that share this part of their shingles are the same.
 THRESHOLD = 0.8
-#: Shorter lines (headings, marks) are no passages and always stay.
-MIN_CHARS = 20
-BINS, VALUES = 36, 9
-#: Bins that a pair must agree in: what the bands are sure to find.
-AGREE = 5
+#: Lines of fewer UTF-8 bytes (headings, marks) are no passages and always stay.
+MIN_BYTES = 20
+BINS = 12
+#: Hashes a bin that are looked at, on average.
+PER_BIN = 6
+#: The edges at each corner of a cube.
+BANDS = [(0, 1, 2), (0, 3, 4), (1, 5, 6), (3, 5, 7), (2, 8, 9), (4, 8, 10), (6, 9, 11), (7, 10, 11)]
+#: Bins that a pair must agree in before it is checked.
+AGREE = 6
+#: Bits a bin in a sketch.
+_BITS = 5
 #: In buckets up to this many lines all pairs are compared.
 SMALL_BUCKET = 256
 #: Keys are broadcast up to this many.
 BROADCAST_KEYS = 1_000_000
 #: The lines that documents lose are broadcast up to so many places.
 BROADCAST_PLACES = 4_000_000
-#: The lines of the affine plane over {0, 1, 2}: y = m x + c for each slope m, and x = c.
-BANDS = [tuple(3 * x + (m * x + c) % 3 for x in range(3)) for m in range(3) for c in range(3)] + [tuple(3 * c + y for y in range(3)) for c in range(3)]
 _PLACE_BITS = 24
 
 
-def occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
+def occurrences(docs: DataFrame, doc_id: str, text: str, min_bytes: int) -> DataFrame:
     """(at, line): the lines of all documents that take part; `at` holds document and place."""
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("p", "line"))
-    return rows.where(F.length("line") >= min_chars).select((F.col("d") * (1 << _PLACE_BITS) + F.col("p")).alias("at"), "line")
+    return rows.where(F.octet_length("line") >= min_bytes).select((F.col("d") * (1 << _PLACE_BITS) + F.col("p")).alias("at"), "line")
 
 
 def key(line: Column) -> list[Column]:
@@ -59,19 +66,19 @@ def key(line: Column) -> list[Column]:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(id, v0..v8): the smallest shingle hash of each bin in use; 0 where a bin is empty.
-
-    Shingles are runs of SHINGLE UTF-16 units, whose fixed width makes each a slice of bytes.
-    """
-    units = lines.select("id", F.encode("line", "UTF-16BE").alias("u"))
-    runs = units.select("id", "u", F.explode(F.expr(f"sequence(0, greatest(0, cast(octet_length(u) / 2 as int) - {SHINGLE}))")).alias("i"))
-    hashed = runs.select("id", F.expr(f"xxhash64(substring(u, 2 * i + 1, {2 * SHINGLE}))").alias("h")).withColumn("b", F.pmod(F.shiftright("h", 8), F.lit(BINS)))
-    return hashed.where(F.col("b") < VALUES).groupBy("id").agg(*(F.coalesce(F.min(F.when(F.col("b") == i, F.col("h"))), F.lit(0)).alias(f"v{i}") for i in range(VALUES)))
+    """(id, v0, v1 ...): the smallest shingle hash of each bin, by 31 bits and 1; 0 where a bin is empty."""
+    units = lines.select("id", F.encode("line", "UTF-16BE").alias("u")).select("id", "u", F.expr(f"greatest(0, cast(octet_length(u) / 2 as int) - {SHINGLE})").alias("last"))
+    runs = units.select("id", "u", F.expr(f"{BINS * PER_BIN} * {1 << 31}D / (last + 1)").alias("cut"), F.explode(F.expr("sequence(0, last)")).alias("i"))
+    hashed = runs.select("id", "cut", F.expr(f"xxhash64(substring(u, 2 * i + 1, {2 * SHINGLE}))").alias("h")).select("id", "cut", "h", F.shiftrightunsigned("h", 33).alias("v"))
+    low = hashed.where("v < cut").select("id", F.expr(f"(h & 65535) % {BINS}").alias("b"), (F.col("v") + 1).alias("v"))
+    return low.groupBy("id").agg(*(F.coalesce(F.min(F.when(F.col("b") == i, F.col("v"))), F.lit(0)).alias(f"v{i}") for i in range(BINS)))
 
 
 def agree(s: str, t: str) -> str:
-    """Whether two sketches agree in AGREE bins, as SQL."""
-    return " + ".join(f"if(shiftrightunsigned({s} ^ {t}, {7 * i}) & 127 = 0, 1, 0)" for i in range(VALUES)) + f" >= {AGREE}"
+    """Whether two sketches may agree in AGREE bins, as SQL."""
+    ones = sum(1 << _BITS * i for i in range(BINS))
+    differ = " | ".join(f"shiftrightunsigned({s} ^ {t}, {i})" for i in range(_BITS))
+    return f"bit_count(({differ}) & {ones}L) <= {BINS - AGREE}"
 
 
 def met(signed: DataFrame) -> DataFrame:
@@ -79,14 +86,12 @@ def met(signed: DataFrame) -> DataFrame:
 
     `others` are the bucket's first line and the line before where AGREE bins agree. Only
     buckets of three lines and more carry bucket, sketch and first line (else null). A
-    bucket is a band's bins; bands whose bins are all empty count for nothing. Sketches have
-    seven bits a bin, so agreement needs no second look at the signatures.
+    bucket is a band's bins; bands whose bins are all empty count for nothing. Sketches
+    keep a few bits a bin, so no pair is missed and no second look at the signatures is due.
     """
-    bands = [
-        F.when(F.expr(" or ".join(f"v{i} != 0" for i in band)), F.xxhash64(F.lit(n), *(F.col(f"v{i}") for i in band))) for n, band in enumerate(BANDS)
-    ]
-    sketch = F.expr(" | ".join(f"shiftleft(v{i} & 127, {7 * i})" for i in range(VALUES)))
-    rows = signed.select("id", sketch.alias("s"), F.explode(F.array(*bands)).alias("bucket")).where("bucket is not null")
+    keys = [F.when(F.expr(" or ".join(f"v{i} != 0" for i in band)), F.xxhash64(F.lit(n), *(F.col(f"v{i}") for i in band))) for n, band in enumerate(BANDS)]
+    sketch = F.expr(" | ".join(f"shiftleft(v{i} & {(1 << _BITS) - 1}, {_BITS * i})" for i in range(BINS)))
+    rows = signed.select("id", sketch.alias("s"), F.explode(F.array(*keys)).alias("bucket")).where("bucket is not null")
     w = Window.partitionBy("bucket").orderBy("id")
     each = rows.select(
         "bucket", "id", "s", F.first(F.struct("id", "s")).over(w).alias("first"), F.lag(F.struct("id", "s")).over(w).alias("before"), F.lead("id").over(w).alias("next")
@@ -121,7 +126,7 @@ def rare_pairs(open_: DataFrame, lines: DataFrame, threshold: float) -> DataFram
     them. Only shingles of several components are joined.
     """
     texts = lines.select("id", "line").join(open_.hint("shuffle_merge"), "id")
-    sets = texts.select("id", "c", F.transform(F.array_distinct(_shingles("line")), lambda x: F.xxhash64(x)).alias("hs"))
+    sets = texts.select("id", "c", F.array_distinct(_hashes("line")).alias("hs"))
     rows = stored(sets.select("id", "c", F.size("hs").alias("n"), F.explode("hs").alias("h")), "shingles")
     often = rows.groupBy("h").agg(F.count("*").alias("often"), F.min("c").alias("x"), F.max("c").alias("y"))
     ranked = rows.join(often.hint("shuffle_merge"), "h").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("often", "h")))
@@ -136,10 +141,15 @@ def rare_pairs(open_: DataFrame, lines: DataFrame, threshold: float) -> DataFram
     return x.hint("shuffle_merge").join(y, fits).select(F.greatest("idx", "idy").alias("a"), F.least("idx", "idy").alias("b")).distinct()
 
 
-def _shingles(line: str) -> Column:
-    """All shingles of a line in characters, by one call; a shorter line is its own."""
-    found = F.regexp_extract_all(F.col(line), F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), 1)
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.col(line)))
+def _hashes(line: str) -> Column:
+    """The hashes of all shingles of a line; a shorter line is its own.
+
+    The bytes are bound by an outer lambda once, so that the inner one does not copy them for each shingle.
+    """
+    return F.expr(
+        f"transform(array(encode({line}, 'UTF-16BE')), u -> transform(sequence(0, greatest(0, cast(octet_length(u) / 2 as int) - {SHINGLE})), "
+        f"i -> xxhash64(substring(u, 2 * i + 1, {2 * SHINGLE}))))[0]"
+    )
 
 
 def some_of(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -151,31 +161,31 @@ def some_of(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def similar(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """The pairs (stored) whose shingle sets have at least this Jaccard similarity."""
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    units = some_of(lines.select("id", F.col("line").alias("u")), ids, "id")
-    units = stored(units.withColumn("n", F.size(F.array_distinct(_shingles("u")))), "units")
-    x, y = (units.select(F.col("id").alias(k), F.col("u").alias(f"u{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
-    both = pairs.join(x.hint("shuffle_hash"), "a").join(y.hint("shuffle_hash"), "b")
-    close = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
-    # |A and B| >= t |A or B| if and only if |A| + |B| >= (1 + t) |A or B|: one distinct count a pair.
-    union = F.size(F.array_distinct(F.concat(_shingles("ua"), _shingles("ub"))))
-    return both.where(close).where(F.col("na") + F.col("nb") >= (1 + threshold) * union).select("a", "b")
+    texts = stored(some_of(lines.select("id", "line"), ids, "id"), "texts")
+    x, y = (texts.select(F.col("id").alias(k), F.col("line").alias(f"t{k}")) for k in "ab")
+    both = pairs.join(y.hint("shuffle_merge"), "b").join(x.hint("shuffle_merge"), "a")
+    sets = both.select("a", "b", F.array_distinct(_hashes("ta")).alias("ha"), F.array_distinct(_hashes("tb")).alias("hb"))
+    # |A and B| >= t |A or B| if and only if |A| + |B| >= (1 + t) |A or B|: one union a pair.
+    # A generator's rows, since Spark would else move the condition below and make each set anew for each mention.
+    sizes = sets.select("a", "b", F.inline(F.array(F.struct((F.size("ha") + F.size("hb")).alias("n"), F.size(F.array_union("ha", "hb")).alias("union")))))
+    return sizes.where(F.col("n") >= (1 + threshold) * F.col("union") - 1e-9).select("a", "b")
 
 
-def dropped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def dropped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(doc_id, places): for each document that loses lines, their places from 0."""
-    found = occurrences(docs, doc_id, text, min_chars)
+    found = occurrences(docs, doc_id, text, min_bytes)
     lines = stored(found.groupBy("line").agg(F.min("at").alias("id"), F.count("*").alias("n")), "lines")
     met_ = stored(met(signatures(lines)), "met")
     pairs = stored(met_.select(F.col("id").alias("a"), F.explode("others").alias("b")).distinct(), "pairs")
     links = stored(similar(pairs, lines, threshold), "same")
-    same = connected_components(links).withColumnRenamed("node", "id")
+    same = stored(connected_components(links), "components").withColumnRenamed("node", "id")
     crowd = stored(crowds(met_, same), "crowd")
     if not crowd.isEmpty():
         large = stored(crowd.where(F.col("n") > SMALL_BUCKET).select("id", "c").distinct(), "open")
         more = all_pairs(crowd.where(F.col("n") <= SMALL_BUCKET))
         more = more if large.isEmpty() else more.unionByName(rare_pairs(large, lines, threshold)).distinct()
         more = stored(similar(stored(more, "pairs"), lines, threshold), "same")
-        same = connected_components(links.unionByName(more)).withColumnRenamed("node", "id")
+        same = extended(same.withColumnRenamed("id", "node"), more).withColumnRenamed("node", "id")
     # Lines that occur once and resemble none lose nothing; the others, by key.
     named = lines.select("id", "n", *key(F.col("line"))).join(same.hint("shuffle_merge"), "id", "left")
     repeated = stored(named.where("n > 1 or component is not null").select("h1", "h2", F.coalesce("component", "id").alias("keep")), "repeated")
@@ -185,16 +195,16 @@ def dropped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     )
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
     """`docs` with `text` less the lines that stay elsewhere, and n_lines and n_removed (long).
 
     Of each component of similar lines the occurrence with the smallest doc_id, then
-    place, stays. Lines shorter than `min_chars` code points always stay; null texts stay
+    place, stays. Lines of fewer than `min_bytes` bytes of UTF-8 always stay; null texts stay
     null, empty ones empty, and a text may become empty. Repeated rows with one doc_id
     count as one document; a null id is a document that keeps its lines. Columns with the
     new names are replaced. Ids must be in +-2**38, and a text may have 2**24 lines.
     """
-    gone = stored(dropped(docs, doc_id, text, threshold, min_chars), "gone")
+    gone = stored(dropped(docs, doc_id, text, threshold, min_bytes), "gone")
     all_ = F.split(F.col(text), "\n")
     kept = F.when(F.col("_fl_places").isNull(), F.col(text)).otherwise(
         F.array_join(F.filter(all_, lambda line, i: ~F.array_contains("_fl_places", i)), "\n")

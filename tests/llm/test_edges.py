@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from firmlens.llm import bpe, embed, html, lines, ngram_join, packing, quality, toxicity, urls, warc
-from firmlens.llm.common import connected_components
+from firmlens.llm.common import connected_components, extended
 from firmlens.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, source string, ids string, n_words string, kept string, toxicity string, n_lines string"
@@ -73,8 +73,8 @@ def test_lines(spark):
     assert got[0] == (texts[0], 3, 0) and got[1] == ("x y z 1\nshort", 3, 1) and got[2] == ("", 1, 1)
     assert got[3] == (None, 0, 0) and got[4] == ("", 1, 0) and got[5] == (prose(4, 25), 2, 1) and got[6][2] == 0
     assert lines.dedup(docs(spark, [])).count() == 0
-    points = {frozenset(b) for b in lines.BANDS}
-    assert len(points) == 12 and all(sum({x, y} <= b for b in points) == 1 for x in range(9) for y in range(x))
+    corners = [set(b) for b in lines.BANDS]
+    assert all(sum(x in b for b in corners) == 2 for x in range(lines.BINS)) and all(len(a & b) <= 1 for a in corners for b in corners if a is not b)
 
 
 def test_lines_recall(spark):
@@ -119,6 +119,46 @@ def test_lines_of_one_template(spark):
     assert len(same) > 100 and sum(got[1500 + i] for i in same) >= 0.99 * len(same)
 
 
+def kept_lines(rows, threshold=0.8):
+    """Brute force: the first line of each component of rows whose shingle sets are similar enough."""
+    from tests.llm.test_contracts import groups
+
+    sets = [{s[k : k + lines.SHINGLE] for k in range(max(1, len(s) - lines.SHINGLE + 1))} for s in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) * (1 + threshold) >= threshold * (len(sets[i]) + len(sets[j])) - 1e-9]
+    at = groups(range(len(rows)), pairs)
+    return {i for i, c in at.items() if i == c}
+
+
+def test_lines_of_families(spark):
+    """Clusters of near copies and templated lines that share their buckets: against all pairs."""
+    r, rows = random.Random(7), []
+    for _ in range(12):
+        base, places, words = template(r, 40, 24, 9)
+        rows += [" ".join(w) for w in base]
+        chain = list(base[0])
+        for _ in range(15):
+            chain[r.choice(places)] = r.choice(words)
+            rows.append(" ".join(chain))
+    for _ in range(20):
+        line = prose(r.randrange(1 << 30), 30).split()
+        for _ in range(25):
+            line[r.randrange(30)] = "x" + str(r.randrange(100))
+            rows.append(" ".join(line))
+    r.shuffle(rows)
+    want = kept_lines(rows)
+    got = {x.doc_id for x in lines.dedup(docs(spark, rows)).collect() if not x.n_removed}
+    assert len(rows) - len(want) > 300 and want <= got and len(got - want) <= 0.05 * (len(rows) - len(want))
+
+
+def test_hot_line_and_bucket(spark):
+    """One line with a third of all places, and near copies of it."""
+    base = prose(77, 30)
+    near = [base + " " + "abcdefghij"[: k % 10] for k in range(400)]
+    rows = [base] * 400 + near + [prose(5000 + k, 20) for k in range(400)]
+    got = {x.doc_id: x.n_removed for x in lines.dedup(docs(spark, rows)).collect()}
+    assert {i for i, n in got.items() if not n} == {0, *range(800, 1200)}
+
+
 def test_jaccard_edges(spark):
     base = prose(21, 300).split()
     texts = [*EDGES, "ONE", "one two", "One  two"]
@@ -364,6 +404,19 @@ def test_html_edges(spark):
     assert html.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_extended_components(spark):
+    r = random.Random(9)
+    from tests.llm.test_contracts import groups
+
+    first = [(r.randrange(80), r.randrange(80)) for _ in range(40)]
+    more = [(r.randrange(120), r.randrange(120)) for _ in range(40)] + [(50, 50 + k) for k in range(1, 20)]
+    plain = [e for e in first + more if e[0] != e[1]]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = {x.node: x.component for x in extended(connected_components(frame(first)), frame(more)).collect()}
+    assert got == groups({x for e in plain for x in e}, plain)
+    assert extended(connected_components(frame([])), frame([])).count() == 0
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(None, 1), (5, 5)]
