@@ -66,12 +66,18 @@ def key(line: Column) -> list[Column]:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(id, v0, v1 ...): the smallest shingle hash of each bin, by 31 bits and 1; 0 where a bin is empty."""
+    """(id, v0, v1 ...): the smallest shingle hash of each bin, by 31 bits and 1.
+
+    A bin without a shingle is 0. One that is empty since hashes were passed over (long lines
+    that repeat themselves) is negative and differs from line to line, so that it agrees with none.
+    """
     units = lines.select("id", F.encode("line", "UTF-16BE").alias("u")).select("id", "u", F.expr(f"greatest(0, cast(octet_length(u) / 2 as int) - {SHINGLE})").alias("last"))
-    runs = units.select("id", "u", F.expr(f"{BINS * PER_BIN} * {1 << 31}D / (last + 1)").alias("cut"), F.explode(F.expr("sequence(0, last)")).alias("i"))
-    hashed = runs.select("id", "cut", F.expr(f"xxhash64(substring(u, 2 * i + 1, {2 * SHINGLE}))").alias("h")).select("id", "cut", "h", F.shiftrightunsigned("h", 33).alias("v"))
-    low = hashed.where("v < cut").select("id", F.expr(f"(h & 65535) % {BINS}").alias("b"), (F.col("v") + 1).alias("v"))
-    return low.groupBy("id").agg(*(F.coalesce(F.min(F.when(F.col("b") == i, F.col("v"))), F.lit(0)).alias(f"v{i}") for i in range(BINS)))
+    runs = units.select("id", "u", "last", F.explode(F.expr("sequence(0, last)")).alias("i"))
+    hashed = runs.select("id", "last", F.expr(f"xxhash64(substring(u, 2 * i + 1, {2 * SHINGLE}))").alias("h")).select("id", "last", "h", F.shiftrightunsigned("h", 33).alias("v"))
+    low = hashed.where(f"v * (last + 1) < {BINS * PER_BIN << 31}L").select("id", "last", F.expr(f"(h & 65535) % {BINS}").alias("b"), (F.col("v") + 1).alias("v"))
+    least = low.groupBy("id", "last").agg(*(F.min(F.when(F.col("b") == i, F.col("v"))).alias(f"v{i}") for i in range(BINS)))
+    empty = lambda i: F.when(F.col("last") < BINS * PER_BIN, 0).otherwise(-F.shiftrightunsigned(F.xxhash64("id", F.lit(i)), 1) - 1)
+    return least.select("id", *(F.coalesce(f"v{i}", empty(i)).alias(f"v{i}") for i in range(BINS)))
 
 
 def agree(s: str, t: str) -> str:
@@ -86,10 +92,10 @@ def met(signed: DataFrame) -> DataFrame:
 
     `others` are the bucket's first line and the line before where AGREE bins agree. Only
     buckets of three lines and more carry bucket, sketch and first line (else null). A
-    bucket is a band's bins; bands whose bins are all empty count for nothing. Sketches
+    bucket is a band's bins; bands that are empty or could meet no other count for nothing. Sketches
     keep a few bits a bin, so no pair is missed and no second look at the signatures is due.
     """
-    keys = [F.when(F.expr(" or ".join(f"v{i} != 0" for i in band)), F.xxhash64(F.lit(n), *(F.col(f"v{i}") for i in band))) for n, band in enumerate(BANDS)]
+    keys = [F.when(F.expr("least({0}) >= 0 and greatest({0}) > 0".format(", ".join(f"v{i}" for i in band))), F.xxhash64(F.lit(n), *(F.col(f"v{i}") for i in band))) for n, band in enumerate(BANDS)]
     sketch = F.expr(" | ".join(f"shiftleft(v{i} & {(1 << _BITS) - 1}, {_BITS * i})" for i in range(BINS)))
     rows = signed.select("id", sketch.alias("s"), F.explode(F.array(*keys)).alias("bucket")).where("bucket is not null")
     w = Window.partitionBy("bucket").orderBy("id")
@@ -125,9 +131,10 @@ def rare_pairs(open_: DataFrame, lines: DataFrame, threshold: float) -> DataFram
     the smaller: what all lines of a template share comes later, unless it is nearly all of
     them. Only shingles of several components are joined.
     """
-    texts = lines.select("id", "line").join(open_.hint("shuffle_merge"), "id")
+    texts = stored(lines.select("id", "line").join(open_.hint("shuffle_merge"), "id"), "texts")
     sets = texts.select("id", "c", F.array_distinct(_hashes("line")).alias("hs"))
-    rows = stored(sets.select("id", "c", F.size("hs").alias("n"), F.explode("hs").alias("h")), "shingles")
+    # explode_outer, since Spark would make each set anew to test that it is not empty.
+    rows = stored(sets.select("id", "c", F.size("hs").alias("n"), F.explode_outer("hs").alias("h")), "shingles")
     often = rows.groupBy("h").agg(F.count("*").alias("often"), F.min("c").alias("x"), F.max("c").alias("y"))
     ranked = rows.join(often.hint("shuffle_merge"), "h").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("often", "h")))
     first = lambda t: F.col("at") <= F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1
