@@ -42,8 +42,11 @@ LAYOUT_WORDS = frozenset("no has with without".split())
 GOOD = re.compile(r"article|body|content|entry|main|post|story|text", re.I)
 MIN_LINK_DENSITY_TEXT = 25
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: The next thing in a tag that matters: its end, or a quoted value after an equals sign.
+_STEP = re.compile(r">|=\s*[\"']")
+_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)")
 _NAME = re.compile(r"[A-Za-z]+|\d+")
 
 
@@ -63,10 +66,12 @@ def cut(tag: str, attrs: str) -> bool:
     if not attrs or tag in ("body", "html", "article", "main"):
         return False
     for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "role" and value.lower() in CUT_ROLES or name == "aria-hidden" and value.lower() == "true":
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "role" and value in CUT_ROLES or name == "aria-hidden" and value == "true" or name == "style" and _NO_DISPLAY.search(value):
             return True
-    return name_is_hidden(attrs)
+        if name == "hidden" and value != "until-found":
+            return True
+    return False
 
 
 def named(tag: str, attrs: str) -> int:
@@ -117,57 +122,91 @@ def prune(root: Node, doubtful: list[Node]) -> None:
                 n.parent.kids = [k for k in n.parent.kids if k is not n]
 
 
-def name_is_hidden(attrs: str) -> bool:
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", attrs, re.I))
+def tokens(page: str) -> Iterator[tuple[str, str, str, str, int]]:
+    """(text before, slash, tag, attributes, place after) of each start and end tag; at last the rest, with no tag.
+
+    One pass: comments and declarations are left out, a `<` that begins nothing is text, and
+    a tag that never ends is dropped with what follows it.
+    """
+    pos, end, text, unpaired = 0, len(page), [], set()
+    while (at := page.find("<", pos)) >= 0:
+        text.append(page[pos:at])
+        if page.startswith("<!--", at):
+            pos = page.find("-->", at + 4) + 3
+            pos = pos if pos > 2 else end
+        elif page.startswith(("<!", "<?"), at):
+            pos = page.find(">", at) + 1 or end
+        elif m := _TAG.match(page, at):
+            pos = m.end()
+            while (step := _STEP.search(page, pos)) and step[0] != ">":
+                quote = step[0][-1]
+                closed = -1 if quote in unpaired else page.find(quote, step.end())
+                if closed < 0:
+                    unpaired.add(quote)
+                pos = closed + 1 if closed >= 0 else step.end()
+            if not step:
+                pos = end
+                break
+            pos = (yield "".join(text), m[1], m[2].lower(), page[m.end() : step.start()], step.end()) or step.end()
+            text = []
+        else:
+            text.append("<")
+            pos = at + 1
+    yield "".join([*text, page[pos:]]), "", "", "", end
 
 
 def tree(page: str) -> Node:
     """The page's elements without those that are cut; end tags that fit nothing are ignored."""
     root = Node("html", None)
     doubtful: list[Node] = []
-    stack, at, skip = [root], 0, 0  # skip: how deep the stack is inside an element that is cut
-    pos, end = 0, len(page)
-    while pos < end:
-        m = _TOKEN.search(page, pos)
-        if not m:
-            text, pos, m = page[pos:], end, None
-        else:
-            text, pos = page[pos : m.start()], m.end()
+    stack, skip = [root], 0  # skip: how deep the stack is inside an element that is cut
+    names: dict[str, int] = {}  # how many elements of each name are open
+    found, resume = tokens(page), None
+
+    def close(depth: int) -> None:
+        for n in stack[depth:]:
+            names[n.tag] -= 1
+        del stack[depth:]
+
+    while True:
+        try:
+            text, slash, tag, attrs, pos = found.send(resume)
+        except StopIteration:
+            break
+        resume = None
         if text and not skip:
             stack[-1].kids.append(entities.unescape(text) if "&" in text else text)
-        if not m or not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+        if not tag:
+            break
+        if slash:
+            for i in range(len(stack) - 1, 0, -1) if names.get(tag) else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in SCOPES and tag not in SCOPES:
                     break
             skip = skip if skip and len(stack) > skip - 1 and len(stack) >= skip else 0
             continue
         if tag in BLOCKS and tag != "br":
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph, whatever is open in it
+            for i in range(len(stack) - 1, 0, -1) if names.get("p") else ():  # a block ends an open paragraph, whatever is open in it
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in SCOPES:
                     break
         if tag in ENDS:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(names.get(x) for x in ENDS[tag]) else ():
                 if stack[i].tag in ENDS[tag]:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in SCOPES and stack[i].tag not in ("td", "th"):
                     break
         if skip and len(stack) < skip:
             skip = 0
-        attrs = m[3]
         gone = bool(skip) or cut(tag, attrs)
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|$", re.I).search(page, pos)
-            pos = max(close.end(), pos)
+            ended = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, pos)
+            resume = page.find(">", ended.end()) + 1 or len(page) if ended else len(page)
             continue
         if tag in VOID:
             if not gone and tag in ("br", "hr") and not named(tag, attrs):
@@ -182,6 +221,7 @@ def tree(page: str) -> Node:
                 doubtful.append(node)
         if not attrs.rstrip().endswith("/") or tag in BLOCKS:
             stack.append(node)
+            names[tag] = names.get(tag, 0) + 1
             if gone and not skip:
                 skip = len(stack)
     prune(root, doubtful)
@@ -211,7 +251,15 @@ def density(n: Node) -> float:
 
 
 def own_text(n: Node) -> str:
-    return "".join(k if isinstance(k, str) else "" if k.tag in BLOCKS else own_text(k) for k in n.kids)
+    """The text of a node outside the blocks in it."""
+    out, todo = [], list(reversed(n.kids))
+    while todo:
+        k = todo.pop()
+        if isinstance(k, str):
+            out.append(k)
+        elif k.tag not in BLOCKS:
+            todo += reversed(k.kids)
+    return "".join(out)
 
 
 def score(order: list[Node]) -> None:
@@ -271,7 +319,8 @@ def main_text(page: str | None) -> str:
             kept.append(k)
         elif isinstance(k, Node) and best.tag not in ("article", "main", "body", "html"):
             text = own_text(k).strip()
-            if k.points >= max(10.0, 0.2 * best.points) or k.tag == "p" and density(k) < 0.25 and len(text) > 80 or k.tag in ("h1", "h2") and text:
+            reads = k.tag in BLOCKS and density(k) < 0.25 and k.size > 80  # as long as a paragraph, and not a list of links
+            if k.points >= max(10.0, 0.2 * best.points) or reads or k.tag in ("h1", "h2") and text:
                 kept.append(k)
     return " ".join(blocks(kept))
 

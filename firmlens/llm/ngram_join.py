@@ -36,13 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.llm.common import connected_components, stored
+from firmlens.llm.common import connected_components, extended, stored
 
 WORDS = 4
 #: The similarity bound as a fraction.
 BOUND = (85, 100)
 #: Second-level parts of a partition, and how many of them a subset leaves out.
-PARTS, SPARE = 1, 0
+PARTS, SPARE = 3, 1
 BLOCK = 1_024
 SKETCH_BYTES = 1 << 13
 _MEMO = 300_000
@@ -385,15 +385,14 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     star = star.join(mine.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")).hint("shuffle_merge"), "a")
     star = star.join(mine.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")).hint("shuffle_merge"), "b")
     near = checked(stored(star.mapInArrow(_stars(bound), "a long, b long"), "stars"))
-    final = connected_components(near).withColumnRenamed("node", "set")
+    final = stored(connected_components(near), "components")
     for forest in (True, False):
-        at = mine.join(final.hint("shuffle_merge"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+        at = mine.join(final.withColumnRenamed("node", "set").hint("shuffle_merge"), "set", "left").withColumn("component", F.coalesce("component", "set"))
         spread = cells.select("cell", F.explode("members").alias("set")).join(stored(at, "at").hint("shuffle_merge"), "set").select("cell", "set", "n", "sketch", "component")
         rest = spread.repartition("cell").sortWithinPartitions("cell").mapInPandas(_candidates(bound, forest), "a long, b long")
-        near = near.unionByName(checked(stored(rest.distinct(), "rest")))
-        final = connected_components(near).withColumnRenamed("node", "set")
+        final = extended(final, checked(stored(rest.distinct(), "rest")))
 
-    named = stored(own.select("set", "rep").join(final.hint("shuffle_merge"), "set", "left").withColumn("component", F.coalesce("component", "set")), "named")
+    named = stored(own.select("set", "rep").join(final.withColumnRenamed("node", "set").hint("shuffle_merge"), "set", "left").withColumn("component", F.coalesce("component", "set")), "named")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = stored(named.join(least.hint("shuffle_merge"), "component").select("set", "component_id"), "components")
     return sets.join(named.hint("shuffle_merge"), "set", "left").select(

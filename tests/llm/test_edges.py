@@ -397,6 +397,35 @@ def test_html_layout_classes(name, tag):
     assert html.main_text(page) == "the story, as told, at some length, goes on and on"
 
 
+ARTICLE = "<p>the story, as told, at some length, goes on and on</p>"
+TOLD = "the story, as told, at some length, goes on and on"
+
+
+@pytest.mark.parametrize("attrs", ["class='content has-sidebar'", "class='post with-comments'", 'title="a hidden gem"', 'style="overflow: hidden ; x"', 'data-x="hidden"', "data-note='display: none'"])
+def test_html_wrappers(attrs):
+    """A wrapper whose attributes only mention what is cut keeps the article."""
+    assert html.main_text(f"<body><div {attrs}>{ARTICLE}</div></body>") == TOLD
+    assert html.main_text(f"<body><div hidden>no</div><div style='color: red; display:none'>no</div><div aria-hidden=true>no</div>{ARTICLE}</body>") == TOLD
+
+
+def test_html_split_article():
+    one, two = "first part, of the story, with some words " * 8, "second part, of the same, with other words " * 4
+    page = f"<body><nav><a href=/>menu, of, words</a></nav><div id=a><p>{one}</p></div><div id=b><p>{two}</p></div><div><a href=/1>{'link, ' * 30}</a></div></body>"
+    assert html.main_text(page) == " ".join((one + two).split())
+
+
+def test_html_deep_and_broken():
+    """Deep nesting and tags that never end take time in proportion, and no recursion."""
+    import time
+
+    for tag in ("b", "span", "div"):
+        assert html.main_text("<p>" * (tag == "b") + f"<{tag}>" * 5000 + "deep, and, so on" + f"</{tag}>" * 2500 + "</i>" * 5000) == "deep, and, so on"
+    began = time.process_time()
+    for junk in ("<a ", "<a b='", '<a b="', "<", "<!-- ", "<script>", "</script ", "<script></script "):
+        assert html.main_text(ARTICLE + junk * (1_000_000 // len(junk))).startswith(TOLD)
+    assert time.process_time() - began < 30
+
+
 def test_html_edges(spark):
     rows = [(1, None), (1, None), (2, "<div>" * 5000 + "deep"), (3, "<p>" + "x, " * 100_000)]
     got = html.extract(spark.createDataFrame([(i, h, "x") for i, h in rows], "page_id long, html string, main_text string")).collect()
