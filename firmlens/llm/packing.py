@@ -4,16 +4,17 @@ Documents become token pieces of at most `size` ids; only longer documents are c
 the short piece first. Only the histogram of piece lengths, at most `size` numbers, comes
 to the driver. There the program "few sequences, every length covered" is solved by
 multiplicative weights: each round prices a best configuration by a knapsack dynamic
-program and lowers the weights of the lengths it covers. The solution is rounded down to
-whole sequences, and best fit, longest first, places the rest, also length by length.
+program and lowers the weights of the lengths it covers. Its configurations around long pieces
+are kept as whole sequences, and best fit, longest first, places the rest.
 Plan and work on the driver don't grow with the number of documents.
 
 Pieces then find their place by their rank among pieces of equal length. Ranks come from
-groups of (length, salt), so that a length that a third of all pieces has is split.
+groups of (length, salt), with more salts the more pieces the commonest length has.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,9 +30,13 @@ from firmlens.llm.common import stored
 
 SIZE = 1_024
 END_ID = 2
-ROUNDS = 400
+#: Rounds that mix; after them each round ends a length.
+MIXING = 200
 RATE = 0.3
-SALTS = 64
+#: Pieces that one group of (length, salt) is to hold, and the groups a length has at most.
+PER_GROUP, SALTS = 5_000, 1_024
+#: Places and bases are broadcast up to so many rows.
+BROADCAST_ROWS = 200_000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times), longest first
 
@@ -57,27 +62,32 @@ def price(weights: np.ndarray, lengths: np.ndarray, size: int) -> dict[int, int]
     return out
 
 
-def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS) -> list[tuple[Pattern, float]]:
-    """Configurations and how often each is used, fractionally: a covering program by multiplicative weights."""
+def solve(histogram: dict[int, int], size: int = SIZE, mixing: int = MIXING) -> list[tuple[Pattern, int]]:
+    """Configurations and how often each is used, so that all pieces are covered: a covering program by multiplicative weights.
+
+    A round's best configuration is used in whole steps and the lengths in it lose weight by
+    the share of their need that it covers. The first `mixing` rounds go half the way to the
+    end of the scarcest length, so that others can mix it otherwise; later ones go all the
+    way, which ends a length each time, so the rounds are bounded by the lengths.
+    """
     lengths = np.array(sorted(x for x in histogram if x < size), np.int64)
     if not len(lengths):
         return []
-    need = np.array([histogram[int(x)] for x in lengths], float)
-    left, weights, use = need.copy(), lengths / size, {}
-    for _ in range(rounds):
-        open_ = np.flatnonzero(left > 1e-9)
-        if not len(open_):
-            break
+    left = np.array([histogram[int(x)] for x in lengths], np.int64)
+    need, weights, use = left.astype(float), lengths / size, {}
+    done = 0
+    while len(open_ := np.flatnonzero(left)):
         found = price(weights[open_], lengths[open_], size)
         at = open_[np.array(list(found))]
-        times = np.array(list(found.values()), float)
-        step = float((left[at] / times).min())
-        if len(open_) > 8:  # a part of the scarcest length, so that later rounds can mix it otherwise
-            step = max(min(step, 1.0), 0.5 * step)
+        times = np.minimum(np.array(list(found.values()), np.int64), left[at])
+        step = int((left[at] // times).min())
+        if done < mixing:
+            step = max(1, step // 2)
         pattern = tuple(sorted(((int(lengths[i]), int(t)) for i, t in zip(at, times, strict=True)), reverse=True))
-        use[pattern] = use.get(pattern, 0.0) + step
-        left[at] = np.maximum(left[at] - step * times, 0)
-        weights[at] *= 1 - RATE * step * times / need[at]
+        use[pattern] = use.get(pattern, 0) + step
+        left[at] -= step * times
+        weights[at] *= np.exp(-RATE * step * times / need[at])
+        done += 1
     return list(use.items())
 
 
@@ -111,30 +121,35 @@ def best_fit(histogram: dict[int, int], size: int = SIZE) -> list[tuple[Pattern,
     return [(p, c) for g in groups.values() for p, c in g.items()]
 
 
-def rounded(solution: list[tuple[Pattern, float]], histogram: dict[int, int], size: int, waste: int, part: float) -> list[tuple[Pattern, int]]:
-    """Whole sequences: `part` of each configuration that wastes at most `waste`, rounded down; the rest by best fit."""
+def rounded(solution: list[tuple[Pattern, int]], histogram: dict[int, int], size: int, waste: int, longest: int) -> tuple[list, list]:
+    """Whole sequences from configurations that waste at most `waste` and hold a piece of `longest` or more; and the rest by best fit.
+
+    Long pieces are what needs the program; short ones that best fit has left fill its gaps.
+    """
     left, out = dict(histogram), []
     for pattern, times in solution:
-        if size - sum(a * b for a, b in pattern) > waste:
-            continue
-        n = min(int(times * part), *(left[x] // t for x, t in pattern))
-        if n > 0:
-            out.append((pattern, n))
+        if pattern[0][0] >= longest and size - sum(a * b for a, b in pattern) <= waste:
+            out.append((pattern, times))
             for x, t in pattern:
-                left[x] -= n * t
-    return out + best_fit({k: v for k, v in left.items() if v}, size)
+                left[x] -= times * t
+    return out, best_fit({k: v for k, v in left.items() if v}, size)
 
 
-def plan(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS) -> list[tuple[Pattern, int]]:
-    """Patterns of whole sequences that hold every piece of the histogram exactly once.
+def plan(histogram: dict[int, int], size: int = SIZE, mixing: int = MIXING) -> tuple[list[tuple[Pattern, int]], list[tuple[Pattern, int]]]:
+    """Patterns of whole sequences that hold every piece of the histogram exactly once: from configurations, and by best fit.
 
-    The program's solution is rounded in several ways, and the fewest sequences win.
+    The program's solution is rounded in several ways. The fewest sequences win, and among
+    ways within 0.01 % of them (none apart below 10,000 sequences) that with the most from
+    configurations.
     """
     left = {k: v for k, v in histogram.items() if v > 0}
     full = [(((size, 1),), left.pop(size))] if left.get(size) else []
-    solution = sorted(solve(left, size, rounds), key=lambda x: (sum(a * b for a, b in x[0]), x[1]), reverse=True)
-    ways = [rounded(solution, left, size, waste, part) for waste in (0, 1, size) for part in (1.0, 0.9, 0.7, 0.4)]
-    return full + min(ways, key=lambda way: sum(n for _, n in way))
+    solution = solve(left, size, mixing)
+    count = lambda way: sum(n for _, n in way)
+    ways = [rounded(solution, left, size, waste, longest) for waste in (size, 2, 1, 0) for longest in (0, size // 4, size // 2, 3 * size // 4)] + [([], best_fit(left, size))]
+    most = min(count(a) + count(b) for a, b in ways) * 10_001 // 10_000
+    chosen, rest = max((way for way in ways if count(way[0]) + count(way[1]) <= most), key=lambda way: count(way[0]))
+    return full + chosen, rest
 
 
 @lru_cache(maxsize=2)
@@ -176,11 +191,14 @@ def pack(docs: DataFrame, vocab: str, doc_id: str = "doc_id", text: str = "text"
     One row per piece; repeated documents are packed each. An empty table gives none.
     `keep_ids` adds the piece's ids.
     """
-    cut = stored(pieces(docs, vocab, doc_id, text, size, end_id, keep_ids).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")), "pieces")
+    cut = stored(pieces(docs, vocab, doc_id, text, size, end_id, keep_ids), "pieces")
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
+    # A length has as many groups as its pieces need, so no rank is counted over too many rows in one task.
+    salts = min(SALTS, max([1, *(n // PER_GROUP + 1 for n in histogram.values())]))
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     counts = stored(cut.groupBy("length", "salt").agg(F.count("*").alias("n")), "histogram")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     slots, sequence, used = [], 0, {}
-    for pattern, n in plan(histogram, size):
+    for pattern, n in itertools.chain(*plan(histogram, size)):
         offset = 0
         for length, times in pattern:
             first = used.get(length, 0)
@@ -192,10 +210,11 @@ def pack(docs: DataFrame, vocab: str, doc_id: str = "doc_id", text: str = "text"
     slot = spark.createDataFrame(slots, "length long, lo long, hi long, times long, sequence long, at long")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    # Slots and bases are bounded by the plan and by size * SALTS, whatever the number of documents.
+    base = stored(base, "base")
+    side = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("shuffle_merge")
     ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
-    ranked = ranked.join(F.broadcast(stored(base, "base")), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
-    placed = ranked.join(F.broadcast(slot), "length").where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    ranked = ranked.join(side(base, base.count()), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
+    placed = ranked.join(side(slot, len(slots)), "length").where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     nth = F.col("rank") - F.col("lo")
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else []),
