@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmlens.functions import text as T
+from firmlens.sources.shared import stored
 
 SIGNATURE_NAMES = 10
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -192,15 +193,20 @@ def run_summary(entries: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def row_ids(pages: DataFrame) -> DataFrame:
-    """(row_id, title, page_no, pos): cards `div.company-card` with data-row-id and title; pages count until one brings no new id."""
-    n = html_nodes(pages.where(F.col("status").between(200, 299)), wanted=("div",)).join(pages.select("page_id", "page_no"), "page_id")
-    cards = n.where("tag = 'div' and array_contains(classes, 'company-card')").select("page_no", F.col("node").alias("pos"), F.col("attrs")["data-row-id"].alias("row_id"), T.clean(F.col("attrs")["title"]).alias("title"))
+    """(row_id, title, page_no, pos): cards `div.company-card` with data-row-id and title; a source's pages count until one brings no new id.
+
+    `pages` may carry source_key; without it all pages are one source's.
+    """
+    own = "source_key" in pages.columns
+    pages = pages if own else pages.withColumn("source_key", F.lit(""))
+    n = html_nodes(pages.where(F.col("status").between(200, 299)), wanted=("div",)).join(pages.select("page_id", "page_no", "source_key").hint("shuffle_hash"), "page_id")
+    cards = n.where("tag = 'div' and array_contains(classes, 'company-card')").select("source_key", "page_no", F.col("node").alias("pos"), F.col("attrs")["data-row-id"].alias("row_id"), T.clean(F.col("attrs")["title"]).alias("title"))
     cards = cards.where("row_id is not null and row_id != '' and title is not null")
-    once = cards.withColumn("_rn", F.row_number().over(Window.partitionBy("row_id").orderBy("page_no", "pos"))).where("_rn = 1").drop("_rn")
-    fresh = once.groupBy("page_no").agg(F.lit(True).alias("_new"))
-    w = Window.partitionBy(F.lit(1)).orderBy("page_no")  # one row per listing page of one source
-    ok = pages.select("page_no").distinct().join(fresh, "page_no", "left").withColumn("_stop", F.max(F.col("_new").isNull().cast("int")).over(w)).where("_stop = 0")
-    return once.join(ok.select("page_no"), "page_no", "left_semi")
+    once = stored(cards.groupBy("source_key", "row_id").agg(F.min(F.struct("page_no", "pos", "title")).alias("c")).select("source_key", "row_id", "c.*"), "cards")
+    stale = pages.select("source_key", "page_no").distinct().join(once.select("source_key", "page_no").distinct().hint("shuffle_merge"), ["source_key", "page_no"], "left_anti")
+    stops = stale.groupBy("source_key").agg(F.min("page_no").alias("_stop"))
+    kept = once.join(stops.hint("shuffle_merge"), "source_key", "left").where("_stop is null or page_no < _stop")
+    return kept.select(*(["source_key"] if own else []), "row_id", "title", "page_no", "pos")
 
 
 def parse_company_info(payloads: DataFrame) -> DataFrame:

@@ -67,14 +67,21 @@ def merge_tiers(first: DataFrame, second: DataFrame, needs: DataFrame) -> DataFr
 def label_rows(results: DataFrame) -> DataFrame:
     """(company_id, dimension, label, confidence, evidence_url, model): domain and stack labels exploded; blanks go."""
     parts = F.concat(F.transform("domain", lambda x: F.struct(F.lit("domain").alias("dimension"), x.alias("label"))), F.transform(F.coalesce("stack", F.array().cast("array<string>")), lambda x: F.struct(F.lit("stack").alias("dimension"), x.alias("label"))))
-    rows = results.select("company_id", F.explode(parts).alias("p"), "confidence", F.col("page_url").alias("evidence_url"), "model")
-    return rows.select("company_id", "p.dimension", F.trim("p.label").alias("label"), "confidence", "evidence_url", "model").where("label != ''")
+    seq = ["seq"] if "seq" in results.columns else []
+    rows = results.select("company_id", F.explode(parts).alias("p"), "confidence", F.col("page_url").alias("evidence_url"), "model", *seq)
+    return rows.select("company_id", "p.dimension", F.trim("p.label").alias("label"), "confidence", "evidence_url", "model", *seq).where("label != ''")
 
 
 def add_labels(state: DataFrame, new: DataFrame, run_ts: Column) -> DataFrame:
-    """Insert, or refresh confidence and as_of; evidence_url and model of the first write stay."""
+    """Insert, or refresh confidence and as_of; evidence_url and model of the first write stay.
+
+    Rows of one label come in the order of `seq` where `new` has it; ties go by their values, so no result depends on the shuffle.
+    """
     keys = ["company_id", "dimension", "label"]
-    n = new.groupBy(*keys).agg(F.last("confidence").alias("_confidence"), F.first("evidence_url").alias("_url"), F.first("model").alias("_model"), F.lit(True).alias("_new"))
+    order = F.struct(*(["seq"] if "seq" in new.columns else []), "confidence", "evidence_url", "model")
+    n = new.groupBy(*keys).agg(
+        F.max_by("confidence", order).alias("_confidence"), F.min_by("evidence_url", order).alias("_url"), F.min_by("model", order).alias("_model"), F.lit(True).alias("_new")
+    )
     j = state.withColumn("_old", F.lit(True)).join(n, keys, "full")
     pick = lambda old, x: F.when(F.col("_old"), F.col(old)).otherwise(F.col(x)).alias(old)
     return j.select(

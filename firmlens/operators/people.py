@@ -2,17 +2,55 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.functions.text import fold
 from firmlens.operators.contacts import save_contacts
 from firmlens.operators.labels import last_wins
+from firmlens.sources.shared import stored
 
 MIN_QUOTE = 8
+KEY_WORDS = 5
+#: Passage keys are broadcast up to so many.
+BROADCAST_KEYS = 200_000
 SECOND_TIER_BELOW = 0.7
 
 
+def passages_held(passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id): which documents (doc_id, text) hold which passages (item_id, q) verbatim.
+
+    A passage finds its documents by the run of up to KEY_WORDS words that follows its first
+    word, which is cut by nothing; passages of one or two words by their first characters, as
+    many as all of these have. Then the passage is looked for in the whole text. Null and
+    empty passages are held by none.
+    """
+    words = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    known = stored(passages.where("q != ''").select("item_id", "q", words(F.col("q")).alias("w")).withColumn("k", F.least(F.size("w") - 2, F.lit(KEY_WORDS))), "passages")
+    sizes = [r["k"] for r in known.select("k").distinct().collect()]  # at most KEY_WORDS + 2
+    keys = known.where("k > 0").select("item_id", "k", F.expr("xxhash64(array_join(slice(w, 2, k), ' '))").alias("g"))
+    runs = [F.expr(f"transform(sequence(1, size(w) - {k} + 1), i -> struct({k} as k, xxhash64(array_join(slice(w, i, {k}), ' ')) as g))") for k in sizes if k > 0]
+    grams = docs.select("doc_id", words(F.col("text")).alias("w"))
+    found = [grams.where(f"size(w) >= {k}").select("doc_id", F.explode(F.array_distinct(run)).alias("x")).select("doc_id", "x.*") for k, run in zip([k for k in sizes if k > 0], runs, strict=True)]
+    short = known.where("k <= 0")
+    if any(k <= 0 for k in sizes):
+        n = short.agg(F.min(F.length("q"))).first()[0]
+        keys = keys.unionByName(short.select("item_id", F.lit(0).alias("k"), F.xxhash64(F.substring("q", 1, n)).alias("g")))
+        starts = F.expr(f"transform(sequence(1, length(text) - {n} + 1), i -> struct(0 as k, xxhash64(substring(text, i, {n})) as g))")
+        found.append(docs.where(f"length(text) >= {n}").select("doc_id", F.explode(F.array_distinct(starts)).alias("x")).select("doc_id", "x.*"))
+    if not found:
+        return known.select("item_id").limit(0).join(docs.select("doc_id").limit(0), F.lit(True))
+    keys = stored(keys, "keys")
+    few = keys.count() <= BROADCAST_KEYS
+    side = F.broadcast(keys) if few else keys.hint("shuffle_merge")
+    pairs = stored(reduce(DataFrame.unionByName, found).join(side, ["k", "g"]).select("doc_id", "item_id").distinct(), "pairs")
+    texts = docs.join(pairs.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text")
+    held = pairs.join(known.select("item_id", "q").hint("shuffle_hash"), "item_id").join(texts.hint("shuffle_merge"), "doc_id")
+    return held.where(F.col("text").contains(F.col("q"))).select("item_id", "doc_id")
+
+
 def verify_evidence(people: DataFrame, pages: DataFrame, min_quote: int = MIN_QUOTE) -> DataFrame:
     """`people` (company_id, person_no, evidence_quote, ...) with source_url and reason.
 

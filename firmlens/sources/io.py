@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,17 +75,32 @@ def write_batch(pages: DataFrame, names: DataFrame, path: str, instructions: str
     out.write.mode("overwrite").json(path)
 
 
+def versions(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(version, folder): the versions that a table's pointer names; none for a new table."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/_versions")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "version long, folder string")
+    return spark.read.schema("version long, folder string").json(str(path))
+
+
 def save_table(df: DataFrame, root: str, name: str, version: int) -> str:
-    """A new immutable version of a table; readers keep the old one until the pointer moves."""
-    path = f"{root}/{name}/v{version:06d}"
-    df.write.mode("errorifexists").parquet(path)
-    df.sparkSession.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").json(f"{root}/{name}/_versions")
-    return path
+    """A new immutable version of a table; readers keep the old one until the pointer moves.
+
+    Each attempt writes a folder of its own and the pointer comes last, so what a crash
+    leaves behind is never read and a repeat of the version works. A version that the
+    pointer has already is refused.
+    """
+    if not versions(df.sparkSession, root, name).where(F.col("version") == version).isEmpty():
+        raise ValueError(f"{name} has version {version} already")
+    folder = f"v{version:06d}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{name}/{folder}")
+    df.sparkSession.createDataFrame([(version, folder)], "version long, folder string").coalesce(1).write.mode("append").json(f"{root}/{name}/_versions")
+    return f"{root}/{name}/{folder}"
 
 
 def load_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = spark.read.schema("version long").json(f"{root}/{name}/_versions").agg(F.max("version")).first()[0]
-    return spark.read.option("mergeSchema", "true").parquet(f"{root}/{name}/v{version:06d}")
+    folder = versions(spark, root, name).agg(F.max_by("folder", F.struct("version", "folder"))).first()[0]
+    return spark.read.option("mergeSchema", "true").parquet(f"{root}/{name}/{folder}")
 
 
 def export_csv(rows: DataFrame, path: str) -> None:

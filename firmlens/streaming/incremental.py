@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from firmlens.functions import text as T
 from firmlens.operators.links import fetched
 from firmlens.operators.postings import sync_jobs
-from firmlens.sources.io import PAGES, load_table, save_table
+from firmlens.sources.io import PAGES, load_table, save_table, versions
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -24,16 +24,22 @@ def extract_new_pages(spark: SparkSession, source: str, out: str, checkpoint: st
 
 
 def sync_new_postings(spark: SparkSession, source: str, root: str, checkpoint: str, schema: str) -> None:
-    """Each new snapshot file updates the job table; the batch id names the version, so a repeated batch changes nothing."""
+    """Each new snapshot file updates the job table, once.
+
+    A row without fingerprint says that a company's board was read and is empty, so its
+    postings close; companies without any row were not read and keep theirs. The batch id
+    names the version: a repeated batch whose version the pointer has changes nothing, and one
+    that broke off before that is done again.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        version = batch_id + 2
+        if not versions(spark, root, "jobs").where(F.col("version") == version).isEmpty():
+            return
         state = load_table(spark, root, "jobs")
         at = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) if batch.isEmpty() else batch.agg(F.max("run_ts")).first()[0]
-        new = sync_jobs(state, batch.drop("run_ts"), batch.select("company_id"), F.lit(at))
-        version = batch_id + 2
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/jobs/v{version:06d}/_SUCCESS")
-        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            save_table(new, root, "jobs", version)
+        new = sync_jobs(state, batch.where("fingerprint is not null").drop("run_ts"), batch.select("company_id"), F.lit(at))
+        save_table(new, root, "jobs", version)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -1,5 +1,7 @@
 """Sources, sinks and incremental jobs."""
 
+import datetime
+
 import json
 
 import pytest
@@ -37,6 +39,9 @@ def test_batch_and_export(spark, tmp_path):
     assert text.startswith("﻿company_id;name\n1;A")
 
 
+F_NOW = datetime.datetime(2024, 1, 2)  # noqa: DTZ001
+
+
 def test_versions(spark, tmp_path):
     df = spark.range(3)
     io.save_table(df, str(tmp_path), "t", 1)
@@ -66,3 +71,11 @@ def test_new_postings(spark, tmp_path):
         part.coalesce(1).write.mode("append").parquet(src)
         S.sync_new_postings(spark, src, str(tmp_path), cp, part.schema)
     assert sorted((r.title, r.is_active) for r in io.load_table(spark, str(tmp_path), "jobs").collect()) == [("Dev", True), ("Ops", False)]
+    # A board that was read and is empty closes its postings; what a broken attempt left is not in the way.
+    (tmp_path / "jobs" / "v000004-broken").mkdir()
+    none = spark.createDataFrame([(1, F_NOW)], "company_id long, run_ts timestamp")
+    first.limit(0).unionByName(none, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(src)
+    S.sync_new_postings(spark, src, str(tmp_path), cp, first.schema)
+    assert sorted((r.title, r.is_active) for r in io.load_table(spark, str(tmp_path), "jobs").collect()) == [("Dev", False), ("Ops", False)]
+    with pytest.raises(ValueError, match="already"):
+        io.save_table(first, str(tmp_path), "jobs", 2)

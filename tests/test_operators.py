@@ -282,3 +282,26 @@ def test_label_and_people_jobs(spark):
     assert {(r.company_id, r.name, r.email) for r in got.collect()} == {(1, "Ad Soyad", None), (2, "B C", "ik@b.com")} and [r.name for r in bad.collect()] == ["X"]
     got, bad = P.verify_people(one, pages, empty, two)
     assert {(r.company_id, r.email) for r in got.collect()} == {(1, "ceo@a.com"), (2, "ik@b.com")} and bad.count() == 0
+
+
+def test_passages_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (2, "prequick brownish"), (3, None), (4, "")], "doc_id long, text string")
+    asked = [("a", "quick brown fox jumps over the lazy"), ("b", "brown fox jumps"), ("c", "quick brown"), ("d", "ick"), ("e", "jumps over a"), ("f", ""), ("g", None), ("h", "fox jumps over the")]
+    got = P.passages_held(spark.createDataFrame(asked, "item_id string, q string"), docs).collect()
+    assert sorted(map(tuple, got)) == [("a", 1), ("b", 1), ("c", 1), ("c", 2), ("d", 1), ("d", 2), ("h", 1)]
+
+
+def test_labels_do_not_depend_on_order(spark):
+    state = spark.createDataFrame([], "company_id long, dimension string, label string, confidence double, evidence_url string, model string, as_of timestamp")
+    rows = [(1, "domain", "x", 0.5 + k / 10, f"u{k}", f"m{k}", k) for k in range(4)]
+    for some in (rows, rows[::-1]):
+        new = spark.createDataFrame(some, "company_id long, dimension string, label string, confidence double, evidence_url string, model string, seq long").repartition(3)
+        (r,) = B.add_labels(state, new, ts()).collect()
+        assert (r.confidence, r.evidence_url, r.model) == (0.8, "u0", "m0")
+
+
+def test_row_ids_stop_by_source(spark):
+    card = lambda i: f"<div class='company-card' data-row-id='{i}' title='T{i}'></div>"
+    rows = [(1, "s", 1, 200, card(1)), (2, "s", 2, 200, card(1)), (3, "s", 3, 200, card(2)), (4, "t", 1, 200, card(5)), (5, "t", 2, 200, card(6)), (6, "t", 3, 200, card(1))]
+    got = D.row_ids(spark.createDataFrame(rows, "page_id long, source_key string, page_no int, status int, body string")).collect()
+    assert sorted((r.source_key, r.row_id) for r in got) == [("s", "1"), ("t", "1"), ("t", "5"), ("t", "6")]
