@@ -229,11 +229,19 @@ def test_embeddings(spark, monkeypatch):
 
 
 def test_estimates_are_unbiased_and_bounded():
+    """Bit counts estimate inner products without bias; bounds hold, and leave few pairs to recompute."""
     r = np.random.default_rng(1)
-    x = embed.unit(r.standard_normal((200, 64)))
-    y = embed.unit(x + 0.02 * r.standard_normal(x.shape))
-    exact = (x @ y.T) >= 0.98
-    assert (embed.linked(x, y, 0.98) == exact).all() and exact.sum() == 200
+    for dim in (64, 200):
+        x = embed.unit(r.standard_normal((300, dim)))
+        y = embed.unit(x + 0.16 / dim**0.5 * r.standard_normal(x.shape))
+        v = np.concatenate([x, y])
+        i, j = (z.ravel() for z in np.meshgrid(np.arange(600), np.arange(600), indexing="ij"))
+        i, j = i[i != j], j[i != j]
+        estimate, off = embed.estimates(*embed.sketches(v), dim, i, j)
+        exact = (v[i] * v[j]).sum(axis=1)
+        assert abs((estimate - exact).mean()) < 0.005 and (abs(estimate - exact) <= off).mean() > 0.999
+        open_, linked = estimate + off >= 0.98, exact >= 0.98
+        assert (open_ | ~linked).all() and linked.sum() == 600 and open_.sum() < 0.05 * len(i)
 
 
 PAGES = "page_id long, url string, html string, id string, key string"
