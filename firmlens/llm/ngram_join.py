@@ -42,7 +42,7 @@ WORDS = 4
 #: The similarity bound as a fraction.
 BOUND = (85, 100)
 #: Second-level parts of a partition, and how many of them a subset leaves out.
-PARTS, SPARE = 3, 1
+PARTS, SPARE = 2, 1
 BLOCK = 1_024
 SKETCH_BYTES = 1 << 13
 _MEMO = 300_000

@@ -172,7 +172,7 @@ def test_jaccard_edges(spark):
     for n, bound in ((4, (85, 100)), (5, (80, 100))):
         sets = shingle_sets(list(enumerate(texts)), n)
         want = groups(sets, similar(sets, *bound))
-        for parts, spare in ((1, 0), (3, 1)):
+        for parts, spare in ((2, 1), (1, 0), (3, 1)):
             got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs(spark, texts), words=n, bound=bound, parts=parts, spare=spare).collect()}
             assert got == {i: (len(s), want[i]) for i, s in sets.items()}
     assert ngram_join.join(docs(spark, [])).count() == 0
@@ -191,7 +191,7 @@ def test_signatures_lose_nothing():
         y = np.unique(np.concatenate([r.permutation(x)[out:], r.integers(0, 1 << 63, add).astype(np.uint64)]))
         both = len(np.intersect1d(x, y))
         if 100 * both >= 85 * (len(x) + len(y) - both):
-            for parts, spare in ((1, 0), (3, 1)):
+            for parts, spare in ((2, 1), (1, 0), (3, 1)):
                 assert np.intersect1d(*(ngram_join.signatures(s, (85, 100), parts, spare) for s in (x, y))).size
             i, j, _ = ngram_join.may_link(np.array([len(x), len(y)]), [ngram_join.sketch(x), ngram_join.sketch(y)], np.array([0, 1]), (85, 100))
             assert (i.tolist(), j.tolist()) == ([0], [1])
