@@ -126,7 +126,7 @@ class Scorer:
         if not text:
             return 0.0, []
         spans = self.sentences(text) if any(map(self.known, text.lower().split())) else []
-        plain = text.count(".") + text.count("\n") + 1
+        plain = len(SENTENCE.findall(text)) - len(spans)  # as in fit()
         return 1 - math.exp(plain * self.rest + sum(math.log1p(-min(p, 1 - 1e-9)) for _, _, p in spans)), spans
 
 
@@ -160,10 +160,14 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> dict:
     """Fit on about `max_train_docs` labelled rows outside the held-out fold, picked by a hash of doc_id.
 
-    Null labels and ids are left out. What reaches the driver is bounded by the sample.
+    Null labels and ids are left out; a document whose labels contradict each other counts as
+    toxic, and of repeated rows with one id the first text in order is taken. Rows are fitted
+    in the order of doc_id, so the model does not depend on the shuffle. What reaches the
+    driver is bounded by the sample.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic").where(~held_out())
     part = min(1.0, max_train_docs / max(known.count(), 1))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)).dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").toArrow()  # bounded by the sample
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toArrow().sort_by("doc_id")  # bounded by the sample
     return fit(rows["text"].to_pylist(), rows["toxic"].to_pylist())
