@@ -57,7 +57,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: SQL cannot express the fitted classifier, MinHash or the packing program; tests hold run() against brute force.
+#: SQL cannot express the fitted classifier, MinHash or the packing program. Tests hold the stages' operators against brute force or labels, and run() against the stages one by one.
 ORACLE_SQL = None
 
 
