@@ -45,7 +45,10 @@ BOUND = (85, 100)
 PARTS, SPARE = 2, 1
 BLOCK = 1_024
 SKETCH_BYTES = 1 << 13
-_MEMO = 300_000
+#: Characters of texts that are hashed at a time.
+_CHARS = 1 << 17
+#: Elements of sets that are signed at a time, but for larger sets.
+_ELEMENTS = 1 << 16
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -57,31 +60,78 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MEMO:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
+def _powers(base: int) -> np.ndarray:
+    return np.multiply.accumulate(np.full(_SLICE + _SHORT, base, _U)) * _U(pow(base, -1, 1 << 64))
 
 
-_hashes = _Hashes()
+#: Bytes that are hashed at a time, and bytes of the longest word that they may end in.
+_SLICE, _SHORT = 1 << 16, 64
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BYTES = mix(np.arange(1, 257, dtype=_U) * _ODD[1])
+_BYTES[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
+_BASE = 0x9E3779B97F4A7C13
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct hashes of a text's word shingles; fewer words make one, none none.
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first bytes) of the words, in order; A-Z count as a-z, words are cut at space and U+0009..U+000D.
 
-    A-Z count as a-z, words are cut at space and U+0009..U+000D.
+    A word's bytes are the digits of a number, modulo 2**64; words over _SHORT bytes are hashed one by one.
     """
-    w = (text or "").encode().lower().split()
-    if not w:
-        return np.zeros(0, _U)
-    h = np.fromiter(map(_hashes.__getitem__, w), _U, len(w))
-    n = max(1, len(w) - words + 1)
-    out = np.full(n, min(len(w), words), _U)
-    for i in range(min(len(w), words)):
-        out = mix(out + h[i : i + n] * _ODD[i % 5])
-    return np.unique(out)
+    x = np.frombuffer(text, np.uint8)
+    edges = np.flatnonzero(np.diff(_SPACE[x], prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    out = np.zeros(len(starts), _U)
+    cuts = np.searchsorted(starts, np.arange(0, len(x) + _SLICE, _SLICE))
+    for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if i < j:
+            at = k * _SLICE
+            part = x[at : at + _SLICE + _SHORT]
+            digits = np.zeros(len(part) + 1, _U)
+            np.multiply(_BYTES[part], _UP[: len(part)], out=digits[:-1])
+            first = starts[i:j] - at
+            ranges = np.column_stack([first, np.minimum(ends[i:j] - at, len(part))]).ravel()
+            out[i:j] = np.add.reduceat(digits, ranges)[::2] * _DOWN[first]
+    for i in np.flatnonzero(ends - starts > _SHORT).tolist():
+        out[i] = xxhash.xxh64_intdigest(text[starts[i] : ends[i]].lower())
+    return mix(out), starts
+
+
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
+    """Each text's sorted distinct hashes of word shingles; fewer words make one, none none."""
+    data = [(t or "").encode() for t in texts]
+    h, starts = word_hashes(b"\n".join(data))
+    ends = np.searchsorted(starts, np.cumsum([len(d) + 1 for d in data])).tolist()
+    factors = [_U(pow(_BASE, i + 1, 1 << 64)) for i in range(words)]
+    n = max(0, len(h) - words + 1)
+    windows = np.full(n, words, _U)
+    for i, f in enumerate(factors):
+        windows += h[i : i + n] * f
+    windows = mix(windows)
+    for start, end in zip([0, *ends], ends, strict=False):
+        if end - start >= words:
+            out = np.sort(windows[start : end - words + 1])
+            new = np.ones(len(out), bool)
+            np.not_equal(out[1:], out[:-1], out=new[1:])
+            yield out[new]
+        else:
+            short = h[start:end]
+            yield mix((short * np.array(factors[: len(short)], _U)).sum(keepdims=True) + _U(len(short))) if len(short) else short
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    return next(shingle_sets([text], words))
+
+
+def shingled(column: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The sets of a column's texts, about _CHARS characters hashed at a time, but for longer texts."""
+    texts, size = [], 0
+    for i, t in enumerate(column):
+        texts.append(t.as_py())
+        size += len(texts[-1] or "")
+        if size >= _CHARS or i == len(column) - 1:
+            yield from shingle_sets(texts, words)
+            texts, size = [], 0
 
 
 def set_id(s: np.ndarray) -> int:
@@ -122,29 +172,41 @@ def layout(band: int, num: int, den: int, parts: int, spare: int) -> tuple[int,
 layout = lru_cache(maxsize=4096)(layout)
 
 
-def signatures(s: np.ndarray, bound: tuple[int, int], parts: int = PARTS, spare: int = SPARE) -> np.ndarray:
-    """The signatures of one non-empty set, for its own band and the next.
+def signed(sets: list[np.ndarray], bound: tuple[int, int], parts: int = PARTS, spare: int = SPARE) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, places of their sets) of non-empty sets, each for its own band and the next.
 
     With `margin` partitions more than needed, two sets that link agree in more than
     `margin` signatures of partitions; so empty ones are left out, unless a set has more
     than `margin` of them.
     """
-    out, own = [], int(np.searchsorted(bands(*bound), len(s)))
+    out, owners = [], []
+    sizes = np.array(list(map(len, sets)))
+    elements = np.concatenate(sets)
+    own = np.searchsorted(bands(*bound), sizes)
     for band in (own, own + 1):
-        n, margin = layout(band, *bound, parts, spare)
-        h = mix(s ^ _U(band * 2654435761 + 97))
-        cell = ((h >> _U(32)) * _U(n * parts) >> _U(32)).astype(np.int64)
-        total = np.zeros(n * parts, _U)
+        n, margin = np.array([layout(b, *bound, parts, spare) for b in band.tolist()]).T
+        first = np.cumsum(n) - n
+        h = mix(elements ^ np.repeat(band.astype(_U) * _U(2654435761) + _U(97), sizes))
+        cell = ((h >> _U(32)) * np.repeat((n * parts).astype(_U), sizes) >> _U(32)).astype(np.int64) + np.repeat(first * parts, sizes)
+        total = np.zeros(n.sum() * parts, _U)
         np.add.at(total, cell, mix(h + _ODD[3]))
-        total = total.reshape(n, parts)
-        place = mix(np.arange(n, dtype=_U) * _ODD[1] + _U(band))
+        total = total.reshape(-1, parts)
+        owner = np.repeat(np.arange(len(sets)), n)
+        place = mix((np.arange(len(owner)) - first[owner]).astype(_U) * _ODD[1] + band[owner].astype(_U))
         for i, subset in enumerate(combinations(range(parts), parts - spare)):
-            v, full = np.full(n, i + 1, _U), np.zeros(n, bool)
+            v, full = np.full(len(owner), i + 1, _U), np.zeros(len(owner), bool)
             for p in subset:
                 v, full = mix(v * _ODD[2] + total[:, p]), full | (total[:, p] != 0)
-            v = mix(v + place)
-            out.append(v if n - full.sum() > margin else v[full])
-    return np.unique(np.concatenate(out))
+            many = n - np.add.reduceat(full, first, dtype=np.int64) > margin
+            keep = full | many[owner]
+            out.append(mix(v + place)[keep])
+            owners.append(owner[keep])
+    return np.concatenate(out), np.concatenate(owners)
+
+
+def signatures(s: np.ndarray, bound: tuple[int, int], parts: int = PARTS, spare: int = SPARE) -> np.ndarray:
+    """The distinct signatures of one non-empty set."""
+    return np.unique(signed([s], bound, parts, spare)[0])
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -208,7 +270,7 @@ def _sets(words: int):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                sets = [shingles(t, words) for t in part.column(1).to_pylist()]
+                sets = list(shingled(part.column(1), words))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
                     names=["_id", "n", "set", "sketch"],
@@ -221,16 +283,17 @@ def _signed(words: int, bound: tuple[int, int], parts: int, spare: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done: set[int] = set()  # equal sets of a batch sign once
-            for start in range(0, batch.num_rows, 256):
-                sigs, owners = [], []
-                for t in batch.column(1).slice(start, 256).to_pylist():
-                    s = shingles(t, words)
-                    if len(s) and (i := set_id(s)) not in done:
-                        done.add(i)
-                        sigs.append(signatures(s, bound, parts, spare).view(np.int64))
-                        owners.append(np.full(len(sigs[-1]), i, np.int64))
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(owners))], names=["sig", "set"])
+            sets, ids, size = [], [], 0
+            for row, s in enumerate(shingled(batch.column(1), words)):
+                if len(s) and (i := set_id(s)) not in done:
+                    done.add(i)
+                    sets.append(s)
+                    ids.append(i)
+                    size += len(s)
+                if sets and (row == batch.num_rows - 1 or size >= _ELEMENTS):
+                    sigs, at = signed(sets, bound, parts, spare)
+                    yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(np.array(ids)[at])], names=["sig", "set"])
+                    sets, ids, size = [], [], 0
 
     return run
 

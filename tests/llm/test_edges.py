@@ -178,6 +178,29 @@ def test_jaccard_edges(spark):
     assert ngram_join.join(docs(spark, [])).count() == 0
 
 
+def test_shingles():
+    """As many shingles as the distinct windows of words; long words, texts over several slices, all white space and case."""
+    long = ["x" * 100 + " b c d e " + "Y" * 200_000 + " q " * 70_000 + "z" * 70_000, "word " * 50_000, "a\x0bb\x0cc\x1fd A B C\x1fD\te\r\nf é É"]
+    texts = [*EDGES, "a b", "b a", "A B", "a b c d", " a  b\nC d ", *long, *(prose(i, i) for i in range(40))]
+    for words in (1, 4, 5, 7):
+        sets = list(ngram_join.shingled(ngram_join.pa.array(texts), words))
+        distinct = set()
+        for t, s in zip(texts, sets, strict=True):
+            w = (t or "").encode().lower().split()
+            windows = {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+            distinct |= windows
+            assert len(windows) == len(s) and (s == ngram_join.shingles(t, words)).all() and (s[1:] > s[:-1]).all()
+        assert len(np.unique(np.concatenate(sets))) == len(distinct)
+
+
+def test_signatures_together():
+    sets = [s for s in ngram_join.shingle_sets([prose(i, 3 * i) for i in range(60)] + [LONG]) if len(s)]
+    for parts, spare in ((2, 1), (1, 0), (3, 1)):
+        sigs, at = ngram_join.signed(sets, (85, 100), parts, spare)
+        for i, s in enumerate(sets):
+            assert (np.unique(sigs[at == i]) == ngram_join.signatures(s, (85, 100), parts, spare)).all()
+
+
 def test_signatures_lose_nothing():
     """Random pairs of sets that link always share a signature; sketches never rule one out."""
     r = np.random.default_rng(2)
