@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+from firmlens.llm import licenses
 from firmlens.llm import queries as Q
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -174,3 +175,90 @@ def test_op10(spark, small, rows):
         want = " ".join(entities.unescape(re.sub(r"</?b>", "", re.sub(r"</?(?:h1|p)>|<br>", " ", body))).split())
         g = got[p["page_id"]]
         assert (g.text, g.n_chars, g.url) == (want, len(want), p["url"])
+
+
+def test_op11(spark, small, rows):
+    kept = sorted((r["vec_id"], [math.floor(4096 * x) for x in r["embedding"]], r["label"]) for r in rows("embeddings") if r["embedding"] and all(x is not None and math.isfinite(x) for x in r["embedding"]))
+    v = np.array([x for _, x, _ in kept]).reshape(len(kept), 8, -1)
+    books = v[:16].transpose(1, 0, 2).copy()
+
+    def nearest():
+        d = np.stack([((v[:, p, None] - books[p][None]) ** 2).sum(2) for p in range(8)], 1)
+        return d.argmin(2), d.min(2).sum(1)
+
+    for _ in range(6):
+        at, _ = nearest()
+        for p in range(8):
+            for e in set(at[:, p].tolist()):
+                mine = v[at[:, p] == e, p]
+                books[p, e] = mine.sum(0) // len(mine)
+    at, error = nearest()
+    sums = collections.Counter()
+    for (_, _, label), e in zip(kept, error.tolist(), strict=True):
+        sums[label] += e
+    digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    got = result(spark, small, "op11_product_codes", "vec_id")
+    want = {i: ("".join(f"{x:02x}" for x in a), e, sums[label], digest) for (i, _, label), a, e in zip(kept, at.tolist(), error.tolist(), strict=True)}
+    assert {i: (g.code, g.error, g.label_error, g.codebooks_sha256) for i, g in got.items()} == want
+
+
+def runs_of(w):
+    """All runs of at least 6 words and 4 smallest periods, each period tried at each place."""
+    found, n = {}, len(w)
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and w[j] == w[j + q]:
+                j += 1
+            if j + q - i >= max(6, 4 * q):
+                found.setdefault((i, j + q - i), q)
+            i = j + 1
+    return sorted((s, length, q) for (s, length), q in found.items())
+
+
+def test_op12(spark, small, rows):
+    got, some = result(spark, small, "op12_runs", "doc_id"), 0
+    assert len(got) == len(rows("documents"))
+    for d in rows("documents"):
+        w = WORD.findall(d["text"] or "")
+        h, n = zlib.crc32(str(d["doc_id"]).encode()), len(w)
+        if n > 2_500:
+            continue  # the reference version is quadratic; longer texts are in test_edges
+        if h % 10 == 0 and n:
+            a = h // 10 % n
+            w = [w[i] if i < a else w[a + (i - a) % (1 + (n - a) // (3 + h // 10 % 8))] for i in range(n)]
+        found = runs_of(w)
+        some += len(found)
+        gone = {i for s, length, q in found for i in range(s + q, s + length)}
+        s, length, q = min(found, key=lambda r: (-r[1], r[0], r[2])) if found else (None, None, None)
+        want = (len(found), s, length, q, 1000 * length // q if found else None, hashlib.sha256("".join(f"{a},{b},{c}\n" for a, b, c in found).encode()).hexdigest())
+        collapsed = " ".join(x for i, x in enumerate(w) if i not in gone)
+        assert tuple(got[d["doc_id"]])[1:] == (*want, hashlib.sha256(collapsed.encode()).hexdigest())
+    assert some > 10
+
+
+def test_op13(spark, small, rows):
+    got, word = result(spark, small, "op13_licenses", "doc_id"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    for d in rows("documents"):
+        w = word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), d["text"] or ""))
+        at = [(i, label) for label, p in licenses.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        g = got[d["doc_id"]]
+        assert (g.n_words, g.n_base, g.first_word, g.last_word) == (len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None))
+        base = sorted({label for _, label in at})
+        assert g.base_labels == ",".join(base) and set(base) <= set(g.labels.split(",")) and 0 <= g.score <= 1
+    assert len(got) == len(rows("documents"))
+
+
+@pytest.mark.parametrize("name", Q.oracle_sql())
+def test_sql(spark, name):
+    import duckdb
+
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    cur, got = con.execute(Q.oracle_sql()[name]), Q.queries()[name](spark, d)
+    names = sorted(got.columns)
+    at = [[c[0] for c in cur.description].index(n) for n in names]
+    assert sorted((tuple(r[i] for i in at) for r in cur.fetchall()), key=repr) == sorted((tuple(r[n] for n in names) for r in got.collect()), key=repr)

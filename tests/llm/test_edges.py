@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from firmlens.llm import bpe, embed, html, lines, ngram_join, packing, quality, toxicity, urls, warc
+from firmlens.llm import bpe, embed, html, licenses, lines, ngram_join, packing, pq, quality, runs, toxicity, urls, warc
 from firmlens.llm.common import connected_components, extended
 from firmlens.llm.queries import vocabulary
 
@@ -522,3 +522,92 @@ def test_pipeline(spark, small):
     assert sorted(now.collect()) == sorted(C.run(spark, small).collect())
     ids = {d["doc_id"] for d in pq.read_table(f"{small}/documents.parquet").to_pylist()}
     assert {r.doc_id for r in now.collect()} <= ids
+
+
+def test_search_is_exact():
+    r = np.random.default_rng(0)
+    for m, entries, big in ((8, 16, 4096), (2, 16, 3), (1, 40, 9), (0, 16, 1), (3, 1, 9)):
+        x, book = r.integers(-big, big, (800, m)), r.integers(-big, big, (entries, m))
+        d = ((x[:, None] - book[None]) ** 2).sum(2)
+        at, best = pq.search(x, book)
+        assert (at == d.argmin(1)).all() and (best == d.min(1)).all()
+
+
+def test_pq_edges(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, None, 0), (2, [nan, 1.0], 0), (3, [inf, 1.0], 0), (4, [None, 1.0], 0), (5, [], 1), (None, [0.5, -0.00001], None), (6, [1e30, -1e30], None), (7, [0.0, 0.0], 2), (7, [0.0, 0.0], 2)]
+    df = spark.createDataFrame([(*r, "x", "x") for r in rows], "vec_id long, embedding array<double>, label int, code string, id string")
+    coded, books = pq.compress(df)
+    got = sorted(((r.vec_id, r.label, r.dim, r.code, r.error, r.label_error) for r in coded.collect()), key=repr)
+    assert sorted(books) == [0, 2] and books[2].shape == (8, 4, 1) and len(got) == 5
+    assert (5, 1, 0, "00" * 8, 0, 0) in got and sum(g[0] == 7 for g in got) == 2 and all(g[4] == g[5] == 0 for g in got)
+    assert {tuple(r.approx) for r in pq.decode(coded.where("vec_id is null"), books).collect()} == {(0.5, -1 / 4096)}
+    none, books = pq.compress(df.where("vec_id < 3"))
+    assert none.count() == 0 and books == {}
+    assert pq.compress(df.withColumn("embedding", F.col("embedding").cast("array<float>")), entries=2)[0].count() == 5
+
+
+def test_runs_of_random_texts():
+    from tests.llm.test_contracts import runs_of
+
+    r = random.Random(8)
+    for _ in range(60):
+        texts = []
+        for _ in range(r.randrange(1, 9)):
+            n = r.choice([0, 1, 5, 6, 30, 200, 700])
+            t = [r.randrange(r.choice([1, 2, 3, 50])) for _ in range(n)]
+            if n and r.random() < 0.5:
+                p = r.randrange(1, n // 3 + 2)
+                t = (t[:p] * n)[:n]
+                t[r.randrange(n)] = 99
+            texts.append(t)
+        got = runs.runs_of([np.array(t, np.int64) for t in texts])
+        assert [[tuple(x) for x in g.tolist()] for g in got] == [runs_of(t) for t in texts]
+
+
+def test_grammar_extends_exactly():
+    r = random.Random(4)
+    for _ in range(30):
+        t = np.array([r.randrange(2) for _ in range(400)] * 2 + [r.randrange(3) for _ in range(300)])
+        row = np.concatenate([[-1], t, [-2]])
+        g = runs.Grammar(row)
+        a = np.array([r.randrange(1, 600) for _ in range(50)])
+        b = np.array([r.randrange(x + 1, 1101) for x in a.tolist()])
+        for by in (1, -1):
+            for x, y, n in zip(a.tolist(), b.tolist(), g.extend(a, b, by).tolist(), strict=True):
+                k = 0
+                while row[x + by * k] == row[y + by * k]:
+                    k += 1
+                assert k == n
+    assert len(g.levels) > 8
+
+
+def test_runs_edges(spark):
+    texts = [None, "", " \n\t ", "one", "a b " * 3, "a b " * 4, "x " * 6, "a b " * 4, LONG, "la le " * 40_000 + "end", "a　b " * 8]
+    df = docs(spark, texts).withColumn("runs", F.lit("x")).withColumn("key", F.lit("x"))
+    got = {r.doc_id: (r.n_words, [tuple(x) for x in r.runs], r.collapsed) for r in runs.find(df).collect()}
+    assert got[0] == got[1] == got[2] == (0, [], "") and got[3] == (1, [], "one") and got[4] == (6, [], "a b a b a b")
+    assert got[5] == got[7] == (8, [(0, 8, 2)], "a b") and got[6] == (6, [(0, 6, 1)], "x") and got[8][1] == []
+    assert got[9] == (80_001, [(0, 80_000, 2)], "la le end") and got[10] == (8, [(0, 8, 1)], "a　b")
+    assert runs.find(docs(spark, [])).count() == 0
+    twice = df.withColumn("doc_id", F.lit(None).cast("long"))
+    assert runs.find(twice).count() == len(texts)
+
+
+def test_license_edges(spark):
+    mit = dict(licenses.NOTICES)["mit"]
+    words = mit.split()
+    changed = " ".join("thing" if k == 9 else w for k, w in enumerate(words))
+    longer = " ".join([*words[:8], "really", "any", *words[8:]])
+    texts = [None, "", " \n ", "cc", "CC-BY cc by,cc BY", f"x {mit} y", f"{changed} z", f"q r {longer}", " ".join(words[:10]), "The MIT License " * 9, LONG, f"x {mit} y"]
+    for listed in (licenses.MAX_LISTED, 0):
+        df = docs(spark, texts).withColumn("words", F.lit("x")).withColumn("row", F.lit("x")).withColumn("hits", F.lit("x"))
+        got = {r.doc_id: r for r in licenses.scan(df, max_listed=listed).withColumn("labels", licenses.labels_of()).collect()}
+        assert [got[i].n_words for i in range(5)] == [0, 0, 0, 1, 6] and all(not got[i].spans and got[i].labels == "" for i in (0, 1, 2, 3, 10))
+        assert [(s.start, s.end, s.label) for s in got[4].spans] == [(0, 2, "cc-by"), (2, 4, "cc-by"), (4, 6, "cc-by")]
+        assert [(s.start, s.end, s.label, s.share) for s in got[5].spans] == [(1, 1 + len(words), "mit", 1.0)] and got[11].spans == got[5].spans
+        assert got[6].labels == got[7].labels == "mit" and 0.9 < got[6].spans[0].share < 1 and got[7].spans[0].share > 0.9
+        assert got[8].labels == "" and 0 < got[8].spans[0].share < 0.8 and [s.start for s in got[9].spans] == list(range(1, 27, 3))
+    assert licenses.scan(docs(spark, [])).count() == 0
+    same = df.withColumn("doc_id", F.lit(None).cast("long"))
+    assert licenses.scan(same).count() == len(texts)
