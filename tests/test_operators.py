@@ -289,6 +289,21 @@ def test_passages_of_any_length(spark):
     asked = [("a", "quick brown fox jumps over the lazy"), ("b", "brown fox jumps"), ("c", "quick brown"), ("d", "ick"), ("e", "jumps over a"), ("f", ""), ("g", None), ("h", "fox jumps over the")]
     got = P.passages_held(spark.createDataFrame(asked, "item_id string, q string"), docs).collect()
     assert sorted(map(tuple, got)) == [("a", 1), ("b", 1), ("c", 1), ("c", 2), ("d", 1), ("d", 2), ("h", 1)]
+    assert P.passages_held(spark.createDataFrame([], "item_id string, q string"), docs).count() == 0
+
+
+def test_passages_against_all_pairs(spark, monkeypatch):
+    import random
+
+    r = random.Random(2)
+    texts = ["".join(r.choice("aab ç\n😀") for _ in range(r.randrange(60))) for _ in range(60)]
+    asked = [t[i : i + r.randrange(1, 30)] for t in texts[:40] if t for i in [r.randrange(len(t))]]
+    docs, items = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(asked)), "item_id long, q string")
+    want = sorted((i, d) for i, q in enumerate(asked) for d, t in enumerate(texts) if q in t)
+    for limit in (P.MAX_BITS, 64):  # a full bitmap lets all windows pass
+        monkeypatch.setattr(P, "MAX_BITS", limit)
+        monkeypatch.setattr(P, "BROADCAST_KEYS", limit - 64)
+        assert sorted(map(tuple, P.passages_held(items, docs).collect())) == want
 
 
 def test_labels_do_not_depend_on_order(spark):
