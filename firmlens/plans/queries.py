@@ -19,6 +19,7 @@ from firmlens.operators import postings as J
 from firmlens.operators import resolve as E
 from firmlens.plans import standin as S
 from firmlens.plans.standin import WITH, table
+from firmlens.sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -490,13 +491,76 @@ def resolved_pages(spark: SparkSession, d: str) -> DataFrame:
     return E.resolve_entities(p, threshold=100, suffixes=SUFFIXES).select("seq", "entity")
 
 
-@query()
+def _lcs(x: str, y: str) -> str:
+    """SQL of the length of the longest common subsequence: one row of the table at a time."""
+    cell = f"list_append(cells, CASE WHEN list_extract({y}, j[1] + 1) = c[1] THEN above[j[1] + 1] + 1 ELSE greatest(above[j[1] + 2], cells[-1]) END)"
+    row = f"list_reduce(list_prepend([0::BIGINT], list_transform(range(len({y})), lambda j: [j])), lambda cells, j: {cell})"
+    return f"list_reduce(list_prepend(list_transform(range(len({y}) + 1), lambda i: 0::BIGINT), list_transform({x}, lambda c: [c])), lambda above, c: {row})[-1]"
+
+
+CODES = "list_transform(string_split(t{0}, ''), lambda z: unicode(z)::BIGINT)"
+SORTED = "array_to_string(list_sort(string_split({0}, ' ')), ' ')"
+
+
+@query(f"""WITH n AS (SELECT p_name, min(p_partkey) AS key, {SORTED.format('p_name')} AS t FROM part GROUP BY p_name HAVING length(p_name) >= 4),
+  p AS (SELECT a.key AS a, b.key AS b, a.t AS t1, b.t AS t2 FROM n a JOIN n b ON a.key < b.key), c AS (SELECT a, b, {CODES.format(1)} AS x, {CODES.format(2)} AS y FROM p)
+SELECT * FROM (SELECT a, b, round(200.0::DOUBLE * {_lcs('x', 'y')} / (len(x) + len(y)), 6) AS score FROM c) WHERE score >= 75""")
 def fuzzy_part_names(spark: SparkSession, d: str) -> DataFrame:
     """Part names whose sorted-word score reaches 75."""
     names = table(spark, d, "part").groupBy(F.col("p_name").alias("name_norm")).agg(F.min("p_partkey").alias("key"))
     return E.fuzzy_name_edges(names.select("key", "name_norm"), threshold=75).withColumn("score", F.round("score", 6))
 
 
+#: Known firms: part names with brand, every third with a site. Listed ones: of each part, its firm by site, by equal name with a legal form, by a name with a slip, by a name too short to match, or a new one.
+FIRMS_SQL = f"""known AS (SELECT min(p_partkey) AS id, p_name || ' ' || lower(replace(p_brand, '#', ' ')) AS name_norm FROM part GROUP BY 2),
+  state AS (SELECT id, name_norm, CASE WHEN id % 3 = 0 THEN 'p' || id || '.com' END AS domain FROM known),
+  listed AS (SELECT p_partkey AS seq, k.id, p_partkey % 6 AS kind, CASE p_partkey % 6 WHEN 2 THEN substr(k.name_norm, 2) WHEN 3 THEN 'abc' WHEN 4 THEN reverse(k.name_norm) WHEN 5 THEN 'a' || k.name_norm ELSE k.name_norm END AS name_norm,
+    CASE WHEN p_partkey % 6 = 0 THEN 'p' || k.id || '.com' WHEN p_partkey % 6 = 4 THEN 'new' || p_partkey || '.com' END AS domain FROM part JOIN known k ON k.name_norm = p_name || ' ' || lower(replace(p_brand, '#', ' '))),
+  by_name AS (SELECT name_norm, min(id) AS id FROM state WHERE length(name_norm) >= 4 GROUP BY name_norm),
+  first AS (SELECT l.*, s.id AS by_domain, b.id AS by_name FROM listed l LEFT JOIN state s USING (domain) LEFT JOIN by_name b ON b.name_norm = l.name_norm),
+  open AS (SELECT DISTINCT name_norm, {SORTED.format('name_norm')} AS t1 FROM first WHERE by_domain IS NULL AND by_name IS NULL AND length(name_norm) >= 4),
+  near AS (SELECT o.name_norm, id, t1, t2 FROM open o JOIN (SELECT min(id) AS id, {SORTED.format('name_norm')} AS t2 FROM state WHERE domain IS NULL AND length(name_norm) >= 4 GROUP BY 2) k
+    ON abs(length(t1) - length(t2)) <= 0.07 * (length(t1) + length(t2)) AND levenshtein(t1, t2) <= 0.07 * (length(t1) + length(t2))),
+  codes AS (SELECT name_norm, id, {CODES.format(1)} AS x, {CODES.format(2)} AS y FROM near),
+  scored AS (SELECT name_norm, id, 200.0::DOUBLE * {_lcs('x', 'y')} / (len(x) + len(y)) AS score FROM codes),
+  best AS (SELECT name_norm, arg_min(id, (-score, id)) AS id FROM scored WHERE score >= 93 GROUP BY name_norm),
+  matched AS (SELECT f.seq, f.name_norm, f.domain, COALESCE(f.by_domain, f.by_name, b.id) AS known, CASE WHEN f.by_domain IS NOT NULL THEN 'domain' WHEN f.by_name IS NOT NULL THEN 'name' WHEN b.id IS NOT NULL THEN 'similar' END AS how
+    FROM first f LEFT JOIN best b ON b.name_norm = f.name_norm AND f.by_domain IS NULL AND f.by_name IS NULL)"""
+
+
+def _firms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("name"))
+    known = p.groupBy("name").agg(F.min("p_partkey").alias("id"))
+    state = known.select("id", "name", T.normalize_name(F.col("name")).alias("name_norm"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("p"), "id", F.lit(".com"))).alias("domain"))
+    k, n = F.col("p_partkey") % 6, F.col("name")
+    norm = T.normalize_name(n)
+    name = F.when(k == 1, F.concat(n, F.lit(" A.Ş."))).when(k == 2, F.substr(norm, F.lit(2))).when(k == 3, "abc").when(k == 4, F.reverse(norm)).when(k == 5, F.concat(F.lit("a"), norm)).otherwise(n)
+    site = F.when(k == 0, F.concat(F.lit("https://www.p"), "id", F.lit(".com/tr"))).when(k == 4, F.concat(F.lit("https://new"), "p_partkey", F.lit(".com")))
+    rows = p.join(known.hint("shuffle_merge"), "name").select(F.col("p_partkey").alias("seq"), name.alias("name"), site.alias("website"), F.lit("Ankara").alias("city"), F.lit("s").alias("source_key"), F.lit("u").alias("listed_url"))
+    return state, rows
+
+
+@query(f"WITH {FIRMS_SQL} SELECT seq, known, how FROM matched WHERE known IS NOT NULL")
+def matched_companies(spark: SparkSession, d: str) -> DataFrame:
+    """Listed rows and the known company of each, by domain, equal name or similar name, from a trigram index of names."""
+    state, rows = _firms(spark, d)
+    index = E.name_index(state.where("domain is null").select(F.col("id").alias("key"), "name_norm"))
+    return E.match_existing(E.keyed(rows), state, stored(index, "name_index"))
+
+
+@query(f"""WITH {FIRMS_SQL}
+SELECT s.id, s.domain, CASE WHEN m.id IS NOT NULL THEN 'Ankara' END AS city, CASE WHEN m.id IS NULL THEN '2024-01-01' ELSE '2024-05-01' END AS last_seen
+FROM state s LEFT JOIN (SELECT DISTINCT known AS id FROM matched WHERE known IS NOT NULL) m ON m.id = s.id""")
+def companies_after_batch(spark: SparkSession, d: str) -> DataFrame:
+    """J2 and I2 on known companies: a batch is matched to them and fills their empty fields."""
+    state, rows = _firms(spark, d)
+    old, null = F.to_timestamp(F.lit("2024-01-01")), F.lit(None).cast("string")
+    state = stored(state.withColumns({"city": null, "website": null, "first_seen": old, "last_seen": old}), "state")
+    matched = E.match_existing(E.keyed(rows), state)
+    new = E.keyed(rows).join(matched.hint("shuffle_merge"), "seq").select(F.col("known").alias("id"), "name", "name_norm", F.lit(None).cast("string").alias("domain"), "city", "website").dropDuplicates(["id"])
+    return E.upsert_companies(state, new, _at()).select("id", "domain", "city", F.date_format("last_seen", "yyyy-MM-dd").alias("last_seen"))
+
+
 # --- postings --------------------------------------------------------------------------------------
 
 SNAPSHOT_SQL = """WITH s AS (SELECT user_id AS company_id, event_type AS title, ts < TIMESTAMP '2024-01-16' AS old FROM events),

@@ -14,6 +14,7 @@ from firmlens.operators import links as L
 from firmlens.operators import people as P
 from firmlens.operators import postings as J
 from firmlens.operators import resolve as E
+from firmlens.sources import io
 
 LISTING = "seq long, name string, website string, city string, source_key string, listed_url string"
 
@@ -320,3 +321,85 @@ def test_row_ids_stop_by_source(spark):
     rows = [(1, "s", 1, 200, card(1)), (2, "s", 2, 200, card(1)), (3, "s", 3, 200, card(2)), (4, "t", 1, 200, card(5)), (5, "t", 2, 200, card(6)), (6, "t", 3, 200, card(1))]
     got = D.row_ids(spark.createDataFrame(rows, "page_id long, source_key string, page_no int, status int, body string")).collect()
     assert sorted((r.source_key, r.row_id) for r in got) == [("s", "1"), ("t", "1"), ("t", "5"), ("t", "6")]
+
+
+KNOWN = [(1, "ACME", "acme bilisim", "acme.com.tr"), (2, "Öztürk", "ozturk yazilim", None), (3, "Alfa", "alfa teknoloji", None), (4, "Alfa 2", "alfa teknoloji", "alfa.com"), (5, "abc", "abc", None), (6, "Robotik", "robotik sistemler ankara", None), (7, "Robotik", "robotik sistemler ankara x", "robotik.com")]
+
+
+def known(spark):
+    return spark.createDataFrame(KNOWN, "id long, name string, name_norm string, domain string")
+
+
+def test_match_existing(spark):
+    listed = [(1, "Anything", "https://kariyer.acme.com.tr/is"), (2, "OZTURK YAZILIM San. ve Tic. A.Ş.", None), (3, "Alfa Teknoloji", "https://beta.com"), (4, "ABC", None), (5, "Ankara Robotik Sistemlr", None), (6, "Brand New", "new.com"), (7, None, None), (8, "Robotik Sistemler Ankara X", None)]
+    rows = E.keyed(spark.createDataFrame(listed, "seq long, name string, website string"))
+    got = {r.seq: (r.known, r.how) for r in E.match_existing(rows, known(spark)).collect()}
+    assert got == {1: (1, "domain"), 2: (2, "name"), 3: (3, "name"), 5: (6, "similar"), 8: (7, "name")}
+    index = E.name_index(known(spark).select(F.col("id").alias("key"), "name_norm"))
+    assert {r.seq: r.known for r in E.match_existing(rows, known(spark), index).collect()} == {k: v for k, (v, _) in got.items()}  # entries of companies with a domain don't count
+    assert E.match_existing(rows.limit(0), known(spark)).count() == 0 and E.match_existing(rows, known(spark).limit(0)).count() == 0
+
+
+def test_stored_name_index(spark, tmp_path):
+    """Probes of an index that was kept and added to find what all pairs find."""
+    import random
+
+    r = random.Random(5)
+    words = "alfa beta gama delta teknoloji yazilim robotik sistem ankara savunma enerji bulut".split()
+    names = [" ".join(r.sample(words, r.randrange(1, 5))) + r.choice(["", "x", " 2"]) for _ in range(120)]
+    first, later = ([(i, n) for i, n in enumerate(names) if i % 3 < k and i % 3 >= j] for j, k in ((0, 2), (2, 3)))
+    make = lambda rows: spark.createDataFrame(rows, "key long, name_norm string")
+    io.save_table(E.name_index(make(first)), str(tmp_path), "index", 1)
+    old = io.load_table(spark, str(tmp_path), "index")
+    io.save_table(old.unionByName(E.name_index(make(later), old)), str(tmp_path), "index", 2)
+    asked = [n[: len(n) // 2] + r.choice("abc") + n[len(n) // 2 :] for n in names[:60]] + ["zz", "unheard of"]
+
+    def score(a, b):
+        a, b = (" ".join(sorted(x.split())) for x in (a, b))
+        p = [0] * (len(b) + 1)
+        for x in a:
+            q = [0]
+            for j, y in enumerate(b):
+                q.append(p[j] + 1 if x == y else max(p[j + 1], q[-1]))
+            p = q
+        return 200 * p[-1] / (len(a) + len(b))
+
+    want = {}
+    for a in asked:
+        s, i = min((-score(a, n), i) for i, n in enumerate(names) if len(n) >= 4)
+        if s <= -85 and len(a) >= 4:
+            want[a] = (i, round(-s, 6))
+    got = E.probe_names(spark.createDataFrame([(a,) for a in asked], "name_norm string"), io.load_table(spark, str(tmp_path), "index"), 85)
+    assert {g.name_norm: (g.known, round(g.score, 6)) for g in got.collect()} == want and len(want) > 30
+
+
+def test_entities_of_known_companies(spark):
+    """A component takes the known company of any of its rows, by domain first; others are new."""
+    listed = [(1, "Alfa Teknoloji", "https://acme.com.tr", None, "a", "u"), (2, "Alfa Teknoloji", None, "Ankara", "b", "u"), (3, "Yeni Firma", "yeni.com", None, "a", "u"), (4, "Yeni Firma A.Ş.", None, "Izmir", "b", "u"), (5, "Ozturk Yazilm", None, None, "a", "u")]
+    rows = spark.createDataFrame(listed, "seq long, name string, website string, city string, source_key string, listed_url string")
+    resolved = E.resolve_entities(rows, state=known(spark))
+    assert {r.seq: (r.entity, r.known) for r in resolved.collect()} == {1: (1, 1), 2: (1, 1), 3: (3, None), 4: (3, None), 5: (5, 2)}
+    state = known(spark).withColumns({"city": F.lit(None).cast("string"), "website": F.lit(None).cast("string"), "first_seen": ts(), "last_seen": ts()})
+    after = {r.id: r for r in E.upsert_companies(state, E.companies_of(resolved, ts()), ts()).collect()}
+    assert len(after) == len(KNOWN) + 1 and after[1].city == "Ankara" and after[1].name == "ACME" and after[2].domain is None
+    twice = E.upsert_companies(state, spark.createDataFrame([(90, "x", "ozturk yazilim", None, None, "w"), (91, "y", "ozturk yazilim", "o.com", "Van", "v")], "id long, name string, name_norm string, domain string, city string, website string"), ts())
+    assert {(r.id, r.domain, r.city, r.website) for r in twice.where("id = 2").collect()} == {(2, "o.com", "Van", "w")} and twice.count() == len(KNOWN)
+
+
+def test_subsequence_length(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [tuple("".join(r.choice("abcç ") for _ in range(r.choice([0, 1, 7, 61, 62, 63, 130]))) for _ in range(2)) for _ in range(80)]
+
+    def lcs(a, b):
+        p = [0] * (len(b) + 1)
+        for x in a:
+            q = [0]
+            for j, y in enumerate(b):
+                q.append(p[j] + 1 if x == y else max(p[j + 1], q[-1]))
+            p = q
+        return p[-1]
+
+    got = spark.createDataFrame(rows, "x string, y string").select("x", "y", E.lcs_length(F.col("x"), F.col("y")).alias("n")).collect()
+    assert all(g.n == lcs(g.x, g.y) for g in got)
