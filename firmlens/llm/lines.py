@@ -4,8 +4,9 @@
    first occurrence, document and place in one long.
 2. Each distinct line's character shingles are hashed once; the hash space has BINS bins,
    and each keeps its smallest hash (one-permutation MinHash). Hashes too large to be a
-   bin's smallest are passed over before the minima; a bin is left empty by this with a
-   probability of exp(-PER_BIN).
+   bin's smallest are passed over before the minima. Lines with a bin that this may have
+   emptied, which are those that repeat themselves and BINS * exp(-PER_BIN) of the others,
+   are hashed again without passing over any, so every bin holds its true minimum.
 3. Banding: the bins are the edges of a cube, and the three at each corner are a band. Two
    lines of similarity 0.8 share a band and AGREE bins with a probability of 0.98, nearer
    ones with more.
@@ -66,18 +67,23 @@ def key(line: Column) -> list[Column]:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(id, v0, v1 ...): the smallest shingle hash of each bin, by 31 bits and 1.
+    """(id, v0, v1 ...): the smallest shingle hash of each bin, by 31 bits and 1; 0 for a bin without a shingle. `lines` (id, line) must be stored."""
+    first = stored(_minima(lines, True), "minima")
+    open_ = F.expr(f"last >= {BINS * PER_BIN} and ({' or '.join(f'v{i} is null' for i in range(BINS))})")
+    again = stored(first.where(open_).select("id"), "open_lines")
+    found = first.where(~open_).unionByName(_minima(some_of(lines, again, "id"), False))
+    return found.select("id", *(F.coalesce(f"v{i}", F.lit(0)).alias(f"v{i}") for i in range(BINS)))
 
-    A bin without a shingle is 0. One that is empty since hashes were passed over (long lines
-    that repeat themselves) is negative and differs from line to line, so that it agrees with none.
-    """
+
+def _minima(lines: DataFrame, pass_over: bool) -> DataFrame:
+    """(id, last, v0, v1 ...): the minima of each line's bins, null for empty ones; `last` is its last shingle's place."""
     units = lines.select("id", F.encode("line", "UTF-16BE").alias("u")).select("id", "u", F.expr(f"greatest(0, cast(octet_length(u) / 2 as int) - {SHINGLE})").alias("last"))
     runs = units.select("id", "u", "last", F.explode(F.expr("sequence(0, last)")).alias("i"))
-    hashed = runs.select("id", "last", F.expr(f"xxhash64(substring(u, 2 * i + 1, {2 * SHINGLE}))").alias("h")).select("id", "last", "h", F.shiftrightunsigned("h", 33).alias("v"))
-    low = hashed.where(f"v * (last + 1) < {BINS * PER_BIN << 31}L").select("id", "last", F.expr(f"(h & 65535) % {BINS}").alias("b"), (F.col("v") + 1).alias("v"))
-    least = low.groupBy("id", "last").agg(*(F.min(F.when(F.col("b") == i, F.col("v"))).alias(f"v{i}") for i in range(BINS)))
-    empty = lambda i: F.when(F.col("last") < BINS * PER_BIN, 0).otherwise(-F.shiftrightunsigned(F.xxhash64("id", F.lit(i)), 1) - 1)
-    return least.select("id", *(F.coalesce(f"v{i}", empty(i)).alias(f"v{i}") for i in range(BINS)))
+    hashed = runs.select("id", "last", "i", F.expr(f"xxhash64(substring(u, 2 * i + 1, {2 * SHINGLE}))").alias("h")).select("id", "last", "i", "h", F.shiftrightunsigned("h", 33).alias("v"))
+    low = F.expr(f"v * (last + 1) < {BINS * PER_BIN << 31}L" if pass_over else "true")
+    # The first shingle's row stays, so that each line has one.
+    some = hashed.where(low | (F.col("i") == 0)).select("id", "last", F.expr(f"(h & 65535) % {BINS}").alias("b"), F.when(low, F.col("v") + 1).alias("v"))
+    return some.groupBy("id", "last").agg(*(F.min(F.when(F.col("b") == i, F.col("v"))).alias(f"v{i}") for i in range(BINS)))
 
 
 def agree(s: str, t: str) -> str:

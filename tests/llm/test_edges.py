@@ -95,6 +95,23 @@ def test_lines_recall(spark):
     assert not any(got[i] for i in range(0, 240, 2)) and not any(got[i + 1] for i in range(0, 240, 2) if i not in same)
 
 
+@pytest.mark.parametrize("times", [1, 8, 40, 200])
+def test_lines_that_repeat_themselves(spark, times):
+    """A unit repeated, and once more: equal or nearly equal shingle sets, and few of them for the lines' length."""
+    r, rows = random.Random(times), []
+    for i in range(100):
+        unit = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(5, 9))) for _ in range(5)) + " "
+        rows += [unit * times + unit[:1], unit * (times + 1) + unit[:1]] if i % 2 else [unit * times, unit * times + "end"]
+
+    def grams(s):
+        return {s[k : k + lines.SHINGLE] for k in range(len(s) - lines.SHINGLE + 1)}
+
+    same = [i for i in range(0, 200, 2) if len(grams(rows[i]) & grams(rows[i + 1])) >= 0.8 * len(grams(rows[i]) | grams(rows[i + 1]))]
+    got = {x.doc_id: x.n_removed for x in lines.dedup(docs(spark, rows)).collect()}
+    assert len(same) >= 50 and sum(got[i + 1] for i in same) >= 0.97 * len(same)
+    assert not any(got[i] for i in range(0, 200, 2)) and not any(got[i + 1] for i in range(0, 200, 2) if i not in same)
+
+
 def template(r, n, shared, own):
     """`n` lines of `shared` words in common and `own` words each, in fixed places."""
     words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(4, 9))) for _ in range(3000)]
