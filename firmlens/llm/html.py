@@ -28,9 +28,12 @@ BLOCKS = frozenset(
 )
 #: A start tag of the left ends open elements of the right, up to the scopes below.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+BODIES = frozenset("article main body html".split())
 SCOPES = frozenset("ul ol dl table article section main div body td th nav aside header footer form select".split())
 #: Never article text.
-CUT_TAGS = frozenset("head script style noscript template nav header footer aside form button select textarea input iframe object embed svg canvas audio video menu dialog title xmp noembed noframes".split())
+CUT_TAGS = frozenset("head script style noscript template button select textarea input iframe object embed svg canvas audio video menu dialog title xmp noembed noframes".split())
+#: Not article text either, unless the article stands in them.
+SOFT_TAGS = frozenset("nav header footer aside form".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
 CUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
@@ -41,6 +44,8 @@ CUT_WORDS = frozenset(
 LAYOUT_WORDS = frozenset("no has with without".split())
 GOOD = re.compile(r"article|body|content|entry|main|post|story|text", re.I)
 MIN_LINK_DENSITY_TEXT = 25
+#: The doubt about an element of SOFT_TAGS.
+SOFT = 3
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 #: The next thing in a tag that matters: its end, or a quoted value after an equals sign.
@@ -90,8 +95,8 @@ def named(tag: str, attrs: str) -> int:
     return most
 
 
-def contents(root: Node) -> dict[int, tuple[int, int]]:
-    """By id() of a node: the characters of paragraphs and the count of article and main elements in it."""
+def contents(root: Node) -> dict[int, tuple[int, int, int]]:
+    """By id() of a node: the characters of paragraphs, the count of article and main elements, and all characters in it."""
     order, todo, found = [], [(root, False)], {}
     while todo:
         n, inside = todo.pop()
@@ -99,27 +104,43 @@ def contents(root: Node) -> dict[int, tuple[int, int]]:
         order.append((n, inside))
         todo += [(k, inside) for k in n.kids if isinstance(k, Node)]
     for n, inside in reversed(order):
-        chars, bodies = 0, int(n.tag in ("article", "main"))
+        chars, bodies, every = 0, int(n.tag in ("article", "main")), 0
         for k in n.kids:
             if isinstance(k, Node):
-                chars, bodies = chars + found[id(k)][0], bodies + found[id(k)][1]
-            elif inside:
-                chars += len("".join(k.split()))
-        found[id(n)] = chars, bodies
+                c, b, e = found[id(k)]
+                chars, bodies, every = chars + c, bodies + b, every + e
+            else:
+                size = len("".join(k.split()))
+                chars, every = chars + size * inside, every + size
+        found[id(n)] = chars, bodies, every
     return found
 
 
 def prune(root: Node, doubtful: list[Node]) -> None:
-    """Cut elements by class or id, unless all article and main elements stand in them or, for names of mixed words, most paragraph text."""
-    for level in (2, 1):
+    """Cut elements by class, id or SOFT_TAGS, unless the article stands in them.
+
+    That is where all article and main elements do; or, for names of mixed words, most
+    paragraph text; or, on a page without article and main, most paragraph text for
+    SOFT_TAGS, and for a form around a page without paragraphs most text.
+    """
+    for level in (2, 1, SOFT):
         nodes = [n for n in doubtful if n.doubt == level]
         found = contents(root) if nodes else {}
+        all_chars, all_bodies, all_ = found.get(id(root), (0, 0, 0))
+        gone: set[int] = set()
         for n in nodes:
             if id(n) not in found:  # went with another
                 continue
-            (chars, bodies), (all_chars, all_bodies) = found[id(n)], found[id(root)]
-            if not (bodies and bodies == all_bodies or level == 1 and 2 * chars > all_chars):
-                n.parent.kids = [k for k in n.parent.kids if k is not n]
+            chars, bodies, every = found[id(n)]
+            keeps = bool(bodies) and bodies == all_bodies
+            if level == 1 or level == SOFT and not all_bodies:
+                keeps |= 2 * chars > all_chars
+            if level == SOFT and not all_bodies and not all_chars and n.tag == "form":
+                keeps |= 2 * every > all_
+            if not keeps:
+                gone.add(id(n))
+        for parent in {id(n.parent): n.parent for n in nodes if id(n) in gone}.values():
+            parent.kids = [k for k in parent.kids if id(k) not in gone]
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str, str, int]]:
@@ -216,7 +237,7 @@ def tree(page: str) -> Node:
         node = Node(tag, stack[-1], weight)
         if not gone:
             stack[-1].kids.append(node)
-            node.doubt = named(tag, attrs)
+            node.doubt = named(tag, attrs) or SOFT * (tag in SOFT_TAGS)
             if node.doubt:
                 doubtful.append(node)
         if not attrs.rstrip().endswith("/") or tag in BLOCKS:
@@ -313,12 +334,17 @@ def main_text(page: str | None) -> str:
     best = max((n for n in order if n.size and (n.tag in BLOCKS or n is root)), key=lambda n: n.points, default=None)
     if best is None or best.points <= 0:
         return " ".join(blocks([root]))
+    top = best  # with the wrappers that hold nothing else
+    while top.tag not in BODIES and top.parent and top.parent.tag not in BODIES and not any(k is not top and (k.size if isinstance(k, Node) else k.strip()) for k in top.parent.kids):
+        top = top.parent
     kept = []
-    for k in best.parent.kids if best.parent else [best]:
-        if k is best:
+    for k in top.parent.kids if top.parent else [top]:
+        if k is top:
             kept.append(k)
-        elif isinstance(k, Node) and best.tag not in ("article", "main", "body", "html"):
+        elif isinstance(k, Node) and best.tag not in BODIES:
             text = own_text(k).strip()
+            if top is not best and k.points < 0.2 * best.points:  # beside a wrapper, only what scores
+                continue
             reads = k.tag in BLOCKS and density(k) < 0.25 and k.size > 80  # as long as a paragraph, and not a list of links
             if k.points >= max(10.0, 0.2 * best.points) or reads or k.tag in ("h1", "h2") and text:
                 kept.append(k)
