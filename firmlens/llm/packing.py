@@ -138,17 +138,15 @@ def rounded(solution: list[tuple[Pattern, int]], histogram: dict[int, int], size
 def plan(histogram: dict[int, int], size: int = SIZE, mixing: int = MIXING) -> tuple[list[tuple[Pattern, int]], list[tuple[Pattern, int]]]:
     """Patterns of whole sequences that hold every piece of the histogram exactly once: from configurations, and by best fit.
 
-    The program's solution is rounded in several ways. The fewest sequences win, and among
-    ways within 0.01 % of them (none apart below 10,000 sequences) that with the most from
-    configurations.
+    The program's solution is rounded in several ways, of which one takes nothing from it.
+    The fewest sequences win, and of ways that need as many, that with the most from configurations.
     """
     left = {k: v for k, v in histogram.items() if v > 0}
     full = [(((size, 1),), left.pop(size))] if left.get(size) else []
     solution = solve(left, size, mixing)
     count = lambda way: sum(n for _, n in way)
     ways = [rounded(solution, left, size, waste, longest) for waste in (size, 2, 1, 0) for longest in (0, size // 4, size // 2, 3 * size // 4)] + [([], best_fit(left, size))]
-    most = min(count(a) + count(b) for a, b in ways) * 10_001 // 10_000
-    chosen, rest = max((way for way in ways if count(way[0]) + count(way[1]) <= most), key=lambda way: count(way[0]))
+    chosen, rest = min(ways, key=lambda way: (count(way[0]) + count(way[1]), -count(way[0])))
     return full + chosen, rest
 
 

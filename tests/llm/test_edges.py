@@ -479,6 +479,27 @@ def test_html_split_article():
     assert html.main_text(page) == " ".join((one + two).split())
 
 
+@pytest.mark.parametrize("tag", ["form", "header", "aside", "nav", "footer"])
+def test_html_article_inside_a_soft_tag(tag):
+    """A page that stands in one form, or another such element, keeps its article; beside it such elements go."""
+    body = "".join(f"<p>part {i}, of the story, with some more words to it</p>" for i in range(9))
+    told = " ".join(f"part {i}, of the story, with some more words to it" for i in range(9))
+    assert html.main_text(f"<body><{tag} id=f><input type=hidden><div>{body}</div><button>go</button></{tag}></body>") == told
+    assert html.main_text(f"<body><{tag}><p>a note, or two, of few words</p></{tag}><div>{body}</div></body>") == told
+    assert html.main_text(f"<body><{tag}>{body * 2}</{tag}><article>{body}</article></body>") == told
+
+
+def test_html_form_without_paragraphs():
+    text = "words, and more words, and yet more of them, for a whole page of text " * 6
+    assert html.main_text(f"<body><form><div>{text}</div></form></body>") == text.strip()
+
+
+def test_html_article_in_two_wrappers():
+    parts = [" ".join(f"the {n} part, sentence {i}, goes on, and on, as told." for i in range(12)) for n in ("first", "second")]
+    page = "<body>" + "".join(f"<div><div><p>{p}</p></div></div>" for p in parts) + "<div><div>short foot of the page, with some ninety characters in it, that no article would have</div></div></body>"
+    assert html.main_text(page) == " ".join(parts)
+
+
 def test_html_deep_and_broken():
     """Deep nesting and tags that never end take time in proportion, and no recursion."""
     import time
@@ -628,3 +649,36 @@ def test_license_edges(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
     same = df.withColumn("doc_id", F.lit(None).cast("long"))
     assert licenses.scan(same).count() == len(texts)
+
+
+def fewest(pieces, size):
+    """The least number of sequences, by trying all."""
+    pieces = sorted(pieces, reverse=True)
+
+    def fits(rooms, k):
+        if k == len(pieces):
+            return True
+        return any(fits((*rooms[:i], r - pieces[k], *rooms[i + 1 :]), k + 1) for i, r in enumerate(rooms) if r >= pieces[k] and r not in rooms[:i])
+
+    n = -(-sum(pieces) // size)
+    while not fits((size,) * n, 0):
+        n += 1
+    return n
+
+
+def test_packing_against_the_optimum():
+    r, more = random.Random(12), 0
+    for _ in range(80):
+        pieces = [r.randrange(1, 21) for _ in range(r.randrange(1, 10))]
+        need = {x: pieces.count(x) for x in set(pieces)}
+        chosen, rest = packing.plan(need, 20)
+        more += sum(n for _, n in chosen + rest) - fewest(pieces, 20)
+    assert 0 <= more <= 3
+
+
+def test_packing_never_takes_more_than_best_fit():
+    r = random.Random(2)
+    need = {x: r.randrange(20, 400) for x in range(1, 1025, 3)}
+    chosen, rest = packing.plan(need)
+    total = sum(n for _, n in chosen + rest)
+    assert total > 10_000 and total <= sum(n for _, n in packing.best_fit(need))
