@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmlens.functions import text as T
@@ -14,22 +15,34 @@ from firmlens.sources.shared import stored
 
 SIGNATURE_NAMES = 10
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NODE_SCHEMA = "node int, parent int, last int, tag string, classes array<string>, attrs map<string,string>, text string"
+NODE = pa.struct([
+    ("node", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("start", pa.int32()), ("end", pa.int32()),
+])
+NODE_SCHEMA = "node: int, parent: int, last: int, tag: string, classes: array<string>, attrs: map<string,string>, start: int, end: int"
+#: Sources are broadcast up to so many.
+BROADCAST_SOURCES = 10_000
+_SPACES = {c: " " for c in range(0x3001) if chr(c).isspace()}
 
 
 class _Nodes(HTMLParser):
-    """Elements in page order: number, parent, last number inside, tag, classes, attributes, text of all inside."""
+    """Elements in page order: number, parent, last number inside, tag, classes, attributes, and where their text begins and ends in the page's.
+
+    Any text is kept once, whatever depth it stands at.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows: list[dict] = []
+        self.rows: list[list] = []
         self.open: list[int] = []
+        self.text: list[str] = []
+        self.size = 0
 
     def handle_starttag(self, tag, attrs):
         have = {k: v or "" for k, v in attrs}
-        self.rows.append({"node": len(self.rows), "parent": self.open[-1] if self.open else None, "last": len(self.rows), "tag": tag, "classes": have.get("class", "").split(), "attrs": have, "text": []})
+        n = len(self.rows)
+        self.rows.append([n, self.open[-1] if self.open else None, n, tag, have.get("class", "").split(), list(have.items()), self.size, self.size])
         if tag not in VOID:
-            self.open.append(len(self.rows) - 1)
+            self.open.append(n)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -38,56 +51,79 @@ class _Nodes(HTMLParser):
 
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, -1, -1):
-            if self.rows[self.open[i]]["tag"] == tag:
-                for n in self.open[i:]:
-                    self.rows[n]["last"] = len(self.rows) - 1
-                del self.open[i:]
+            if self.rows[self.open[i]][3] == tag:
+                self._end(i)
                 return
 
     def handle_data(self, data):
-        for n in self.open:
-            self.rows[n]["text"].append(data)
+        self.text.append(data)
+        self.size += len(data)
 
-    def done(self) -> list[dict]:
-        for n in self.open:
-            self.rows[n]["last"] = len(self.rows) - 1
-        return [r | {"text": " ".join("".join(r["text"]).split())} for r in self.rows]
+    def _end(self, i: int) -> None:
+        for n in self.open[i:]:
+            self.rows[n][2], self.rows[n][7] = len(self.rows) - 1, self.size
+        del self.open[i:]
 
+    def done(self) -> tuple[str, list[list]]:
+        self._end(0)
+        return "".join(self.text).translate(_SPACES), self.rows
 
-def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "body", wanted: tuple[str, ...] | None = None) -> DataFrame:
-    """(key, node, parent, last, tag, classes, attrs, text): a row per element.
 
-    The one Python boundary: the standard parser, page by page in Arrow batches. `last`
-    makes "inside" a range of node numbers. `wanted` keeps only these tags.
+def html_pages(pages: DataFrame, html: str = "body") -> DataFrame:
+    """`pages` with `text` and `nodes` instead of the markup: a row per page, each element once, in page order.
+
+    The one Python boundary: the standard parser, page by page in Arrow batches. Node k is
+    the array's place k, and `last` makes "inside" a slice of the array; `start` and `end`
+    are a node's stretch of the page's text.
     """
-    kind = pages.schema[key].dataType.simpleString()
+    rest = [c for c in pages.columns if c not in (html, "text", "nodes")]
+    names = [f.name for f in NODE]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                texts, nodes = [], []
+                for body in some.column(html):
+                    parser = _Nodes()
+                    parser.feed(body.as_py() or "")
+                    parser.close()
+                    text, rows = parser.done()
+                    texts.append(text)
+                    nodes.append(rows)
+                flat = list(zip(*(r for rows in nodes for r in rows), strict=True)) or [[] for _ in names]
+                struct = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, NODE, strict=True)], fields=list(NODE))
+                ends = pa.array([0, *accumulate(map(len, nodes))], pa.int32())
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in rest), pa.array(texts, pa.string()), pa.ListArray.from_arrays(ends, struct)], names=[*rest, "text", "nodes"])
+
+    kinds = dict(pages.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "text string", f"nodes array<struct<{NODE_SCHEMA}>>"])
+    return pages.select(*rest, html).mapInArrow(run, schema)
+
+
+def _text(n: str) -> str:
+    """SQL of the text of all inside node n, white space squashed; null if there is none or no node."""
+    return f"nullif(trim(regexp_replace(substring(text, {n}.start + 1, {n}.`end` - {n}.start), ' +', ' ')), '')"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            for k, body in zip(df[key], df[html], strict=True):
-                parser = _Nodes()
-                parser.feed(body or "")
-                parser.close()
-                rows = [{key: k} | r for r in parser.done() if wanted is None or r["tag"] in wanted]
-                if rows:
-                    out = pd.DataFrame(rows)
-                    yield out.assign(parent=out["parent"].astype("Int32"))
 
-    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, {NODE_SCHEMA}")
+def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "body", wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """(key, node, parent, last, tag, classes, attrs, text): a row per element; `wanted` keeps only these tags."""
+    found = html_pages(pages.select(key, html), html)
+    if wanted is not None:
+        found = found.withColumn("nodes", F.filter("nodes", lambda x: x["tag"].isin(*wanted)))
+    slim = found.withColumn("nodes", F.expr(f"transform(nodes, n -> struct(n.node, n.parent, n.last, n.tag, n.classes, n.attrs, coalesce({_text('n')}, '') as text))"))
+    return slim.select(key, F.explode("nodes").alias("n")).select(key, *(F.col(f"n.{c}").alias(c) for c in ("node", "parent", "last", "tag", "classes", "attrs", "text")))
 
 
-def selected(nodes: DataFrame, selector: Column) -> DataFrame:
-    """Nodes that a `tag` or `tag.class` selector column names."""
-    tag, cls = F.substring_index(selector, ".", 1), F.when(selector.contains("."), F.substring_index(selector, ".", -1))
-    return nodes.where(((tag == "") | (F.col("tag") == tag)) & (cls.isNull() | F.array_contains("classes", cls)))
+def _fits(n: str, selector: str) -> str:
+    """SQL of whether a `tag` or `tag.class` selector names node n."""
+    tag = f"substring_index({selector}, '.', 1)"
+    return f"(({tag} = '' or {n}.tag = {tag}) and (not contains({selector}, '.') or array_contains({n}.classes, substring_index({selector}, '.', -1))))"
 
 
-def _first_inside(items: DataFrame, nodes: DataFrame, selector: str, name: str, values: dict[str, Column]) -> DataFrame:
-    """`items` with a struct `name` of the first node inside that the item's selector column names."""
-    inner = nodes.select(F.col("page_id").alias("_p"), F.col("node").alias("_n"), "tag", "classes", "attrs", "text")
-    j = items.select("page_id", "node", "last", selector).join(inner, (F.col("page_id") == F.col("_p")) & (F.col("_n") > F.col("node")) & (F.col("_n") <= F.col("last")))
-    hit = selected(j, F.col(selector)).groupBy("page_id", "node").agg(F.min_by(F.struct(*(v.alias(k) for k, v in values.items())), "_n").alias(name))
-    return items.join(hit, ["page_id", "node"], "left")
+def _first_inside(it: str, selector: str) -> str:
+    """SQL of the first node inside node `it` that the selector names, or null."""
+    return f"get(filter(slice(nodes, {it}.node + 2, {it}.last - {it}.node), x -> {_fits('x', selector)}), 0)"
 
 
 def list_entries(pages: DataFrame, sources: DataFrame) -> DataFrame:
@@ -96,47 +132,45 @@ def list_entries(pages: DataFrame, sources: DataFrame) -> DataFrame:
     pages: (page_id, source_key, page_no, url, status, body); sources: key, mode and
     selectors. structured reads name and site, detail a name and a detail link, outbound
     any outside link that may be a company's. Names fall back from selector to attribute,
-    title or text, image, and domain.
+    title or text, image, and domain. A page is parsed once and its entries are found in
+    its own row, where what an element holds is a slice of the nodes: nothing is joined.
     """
     src = sources.select(F.col("key").alias("source_key"), "mode", "item_selector", "name_selector", "name_attr", "website_selector", "sector_selector", "sector_attr", "detail_selector")
-    good = pages.where(F.col("status").between(200, 299))
-    nodes = html_nodes(good)
-    listed = good.select("page_id", "source_key", "page_no", "url").join(F.broadcast(src), "source_key")  # one row per configured source
-    n = nodes.join(listed, "page_id")
-    at = lambda k: T.clean(F.col("attrs")[k])
-    value = {"text": T.clean(F.col("text")), "title": at("title"), "href": at("href"), "attrs": F.col("attrs")}
-    items = selected(n.where("mode != 'outbound'"), F.coalesce("item_selector", F.lit("body")))
-    items = _first_inside(items.withColumn("_link", F.when(F.col("mode") == "detail", F.col("detail_selector")).otherwise(F.col("website_selector"))), nodes, "_link", "a", value)
-    items = _first_inside(items, nodes, "name_selector", "n", {"text": value["text"]})
-    items = _first_inside(items, nodes, "sector_selector", "s", {"text": value["text"], "attrs": F.col("attrs")})
-    items = _first_inside(items.withColumn("_img", F.lit("img")), nodes, "_img", "i", {"alt": at("alt")})
-    link, host = T.resolve_url(F.col("url"), F.col("a.href")), T.host_of(F.col("url"))
-    site = F.when(T.is_company_site(link, host), link)
-    by_attr = F.when(F.col("name_attr").isNotNull(), T.clean(F.col("a.attrs")[F.col("name_attr")]))
-    name = F.when(F.col("mode") == "detail", F.coalesce("a.title", "a.text")).otherwise(F.coalesce("n.text", by_attr, "a.title", "a.text", "i.alt", T.url_host(site)))
-    sector = F.coalesce(F.when(F.col("sector_attr").isNotNull(), T.clean(F.col("s.attrs")[F.col("sector_attr")])), "s.text")
-    entries = items.select(
-        "source_key", "page_no", F.col("node").alias("pos"), T.squash_ws(name).alias("name"), F.when(F.col("mode") != "detail", site).alias("website"), sector.alias("sector"),
-        F.when(F.col("mode") == "detail", link).alias("detail_url"), F.col("url").alias("listed_url"), "mode", F.col("a.href").alias("_href"),
-    ).where("name is not null and (mode != 'detail' or _href is not null)")
-    columns = ["source_key", "page_no", "pos", "name", "website", "sector", "detail_url", "listed_url"]
-    return entries.select(columns).unionByName(outbound_entries(n.where("mode = 'outbound'"), nodes).select(columns))
-
-
-def outbound_entries(n: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Outside links of pages, the first of each domain and page; container selectors limit where they may stand."""
-    boxes = selected(n, F.coalesce("item_selector", F.lit("html"))).select(F.col("page_id").alias("_bp"), F.col("node").alias("_b"), F.col("last").alias("_e"))
-    a = n.where("tag = 'a'")
-    inside = a.join(boxes, (F.col("page_id") == F.col("_bp")) & F.col("node").between(F.col("_b"), F.col("_e")), "left_semi").unionByName(a.where("item_selector is null")).dropDuplicates(["page_id", "node"])
-    img = _first_inside(inside.withColumn("_img", F.lit("img")), nodes, "_img", "i", {"alt": F.coalesce(T.clean(F.col("attrs")["alt"]), T.clean(F.col("attrs")["title"]))})
-    link = T.resolve_url(F.col("url"), F.trim(F.col("attrs")["href"]))
-    df = img.withColumns({"website": link, "domain": T.url_host(link)}).where(T.is_company_site(link, T.host_of(F.col("url"))) & F.col("domain").isNotNull())
-    own = F.coalesce(T.clean(F.col("attrs")["title"]), T.clean(F.col("text")))
+    src = stored(src, "sources")
+    good = pages.where(F.col("status").between(200, 299)).select("page_id", "source_key", "page_no", "url", "body")
+    parsed = html_pages(good).join(F.broadcast(src) if src.count() <= BROADCAST_SOURCES else src.hint("shuffle_merge"), "source_key")
+    link = "if(mode = 'detail', detail_selector, website_selector)"
+    at = lambda n, k: f"nullif(trim({n}.attrs[{k}]), '')"
+    items = f"""transform(filter(nodes, it -> mode != 'outbound' and {_fits('it', "coalesce(item_selector, 'body')")}), it -> struct(it.node as pos,
+        {_first_inside('it', link)} as a, {_first_inside('it', 'name_selector')} as n, {_first_inside('it', 'sector_selector')} as s, {_first_inside('it', "'img'")} as i))"""
+    # Of nested boxes the outer ones hold all that the inner ones do.
+    boxes = f"""aggregate(filter(nodes, b -> {_fits('b', "item_selector")}), cast(array() as array<struct<node: int, last: int>>),
+        (out, b) -> if(size(out) = 0 or element_at(out, -1).last < b.node, array_append(out, struct(b.node as node, b.last as last)), out))"""
+    links = f"""if(mode = 'outbound', transform(filter(nodes, x -> x.tag = 'a' and (item_selector is null or exists(boxes, b -> x.node between b.node and b.last))), a -> struct(a.node as pos, a, {_first_inside('a', "'img'")} as i)), array())"""
+    found = parsed.withColumn("items", F.expr(items)).withColumn("boxes", F.expr(f"if(mode = 'outbound' and item_selector is not null, {boxes}, array())")).withColumn("links", F.expr(links))
+    slim = f"""concat(
+        transform(items, e -> struct(e.pos as pos, {_text('e.n')} as own, {_text('e.a')} as said, {at('e.a', "'title'")} as title, {at('e.a', "'href'")} as href, nullif(trim(e.a.attrs[name_attr]), '') as attr,
+            {at('e.i', "'alt'")} as alt, coalesce(nullif(trim(e.s.attrs[sector_attr]), ''), {_text('e.s')}) as sector)),
+        transform(links, e -> struct(e.pos as pos, cast(null as string) as own, {_text('e.a')} as said, {at('e.a', "'title'")} as title, trim(e.a.attrs['href']) as href, cast(null as string) as attr,
+            coalesce({at('e.i', "'alt'")}, {at('e.i', "'title'")}) as alt, cast(null as string) as sector)))"""
+    rows = found.select("page_id", "source_key", "page_no", "url", "mode", F.expr(slim).alias("e")).select("page_id", "source_key", "page_no", "url", "mode", F.explode("e").alias("e")).select("*", "e.*")
+    # Each step is a column of its own, and no filter stands before the write, which would be pushed below it with all its parts.
+    mode, site = F.col("mode"), F.col("site")
+    rows = rows.withColumn("link", T.resolve_url(F.col("url"), F.col("href"))).withColumn("site", F.when(T.is_company_site(F.col("link"), T.host_of(F.col("url"))), F.col("link"))).withColumn("domain", T.url_host(site))
     no_url = lambda c: F.when(c.rlike(T.URL_TEXT), None).otherwise(c)
-    df = df.withColumn("name", F.trim(F.coalesce(no_url(own), no_url(F.col("i.alt")), "domain"))).where(F.length("name").between(2, 120))
-    rn = F.row_number().over(Window.partitionBy("page_id", "domain").orderBy("node"))
-    null = F.lit(None).cast("string")
-    return df.withColumn("_rn", rn).where("_rn = 1").select("source_key", "page_no", F.col("node").alias("pos"), "name", "website", null.alias("sector"), null.alias("detail_url"), F.col("url").alias("listed_url"))
+    name = (
+        F.when(mode == "detail", F.coalesce("title", "said"))
+        .when(mode == "outbound", F.coalesce(no_url(F.coalesce("title", "said")), no_url(F.col("alt")), "domain"))
+        .otherwise(F.coalesce("own", "attr", "title", "said", "alt", "domain"))
+    )
+    entries = rows.select(
+        "page_id", "source_key", "page_no", "pos", "mode", "domain", T.squash_ws(name).alias("name"), F.when(mode != "detail", site).alias("website"), "sector", F.when(mode == "detail", F.col("link")).alias("detail_url"), F.col("url").alias("listed_url")
+    )
+    entries = stored(entries, "entries").where("name is not null and (mode != 'detail' or detail_url is not null)")
+    columns = ["source_key", "page_no", "pos", "name", "website", "sector", "detail_url", "listed_url"]
+    out = entries.where("mode = 'outbound'").where("website is not null and domain is not null and length(name) between 2 and 120")
+    first = out.withColumn("_rn", F.row_number().over(Window.partitionBy("page_id", "domain").orderBy("pos"))).where("_rn = 1")
+    return entries.where("mode != 'outbound'").select(columns).unionByName(first.select(columns))
 
 
 def before_stop(pages: DataFrame, entries: DataFrame) -> DataFrame:
@@ -146,10 +180,10 @@ def before_stop(pages: DataFrame, entries: DataFrame) -> DataFrame:
     """
     sig = entries.groupBy("source_key", "page_no").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]), 1, SIGNATURE_NAMES).alias("sig"))
     w = Window.partitionBy("source_key").orderBy("page_no")
-    p = pages.select("source_key", "page_no", "status").join(sig, ["source_key", "page_no"], "left")
+    p = pages.select("source_key", "page_no", "status").join(sig.hint("shuffle_merge"), ["source_key", "page_no"], "left")
     stop = ~F.col("status").between(200, 299) | F.col("sig").isNull() | F.coalesce(F.col("sig") == F.lag("sig").over(w), F.lit(False))
     p = p.withColumn("_stop", stop.cast("int")).withColumn("_stopped", F.max("_stop").over(w)).where("_stopped = 0")
-    return entries.join(p.select("source_key", "page_no"), ["source_key", "page_no"], "left_semi")
+    return entries.join(p.select("source_key", "page_no").hint("shuffle_merge"), ["source_key", "page_no"], "left_semi")
 
 
 def first_entries(entries: DataFrame) -> DataFrame:
@@ -177,11 +211,13 @@ def resolve_detail_sites(entries: DataFrame, pages: DataFrame) -> DataFrame:
 def discover_listings(pages: DataFrame, sources: DataFrame, detail_pages: DataFrame | None = None) -> DataFrame:
     """Listing entries of all enabled sources: entries, page stop, first-wins, detail sites; with the source's city."""
     on = sources.where("enabled")
-    own = pages.join(on.select(F.col("key").alias("source_key")), "source_key", "left_semi")
+    keys = stored(on.select(F.col("key").alias("source_key"), "city"), "source_keys")
+    side = F.broadcast(keys) if keys.count() <= BROADCAST_SOURCES else keys.hint("shuffle_merge")
+    own = pages.join(side, "source_key", "left_semi")
     found = first_entries(before_stop(own, list_entries(own, on)))
     if detail_pages is not None:
         found = resolve_detail_sites(found, detail_pages)
-    return found.join(F.broadcast(on.select(F.col("key").alias("source_key"), "city")), "source_key", "left")
+    return found.join(side, "source_key", "left")
 
 
 def run_summary(entries: DataFrame, outcomes: DataFrame) -> DataFrame:

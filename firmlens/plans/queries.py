@@ -244,6 +244,36 @@ def discovered_listings(spark: SparkSession, d: str) -> DataFrame:
     return D.discover_listings(pages, sources)
 
 
+#: Menus as listings: links that begin with an ASCII letter lead to a firm's site. Hosts are sources, by the length of their name in one of three modes; the pages of a host are numbered.
+LISTED = r"""m AS (SELECT page_id, url, regexp_replace(html, 'href="/([A-Za-z])[^"]*"', 'href="https://\1.firm' || (page_id % 50) || '.com/"', 'g') AS html FROM pages),
+  anchors AS (SELECT page_id, url, generate_subscripts(a, 1) - 1 AS k, regexp_extract(unnest(a), 'href="([^"]*)"', 1) AS href, replace(regexp_replace(unnest(a), '<[^>]*>', '', 'g'), '&amp;', '&') AS text FROM (SELECT page_id, url, regexp_extract_all(html, '<a href[^>]*>.*?</a>') AS a FROM m))"""
+
+
+@query(rf"""WITH {LISTED}, p AS (SELECT page_id, url, {BARE} AS source_key, row_number() OVER (PARTITION BY {BARE} ORDER BY page_id) AS page_no FROM pages),
+  e AS (SELECT p.*, len(source_key) % 3 AS mode, k, trim(regexp_replace(text, '\s+', ' ', 'g')) AS said, CASE WHEN href LIKE 'https://_.firm%' THEN href END AS site,
+    CASE WHEN href LIKE 'https://_.firm%' THEN href ELSE regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href END AS link FROM anchors JOIN p USING (page_id, url)),
+  f AS (SELECT page_id, source_key, page_no, url AS listed_url, CASE WHEN mode = 2 THEN 10 + 2 * k ELSE 9 + 2 * k END AS pos, mode, said AS name, CASE WHEN mode <> 1 THEN site END AS website, CASE WHEN mode = 1 THEN link END AS detail_url,
+    lower(regexp_extract(site, '://([^/]*)', 1)) AS host FROM e WHERE mode <> 2 OR (site IS NOT NULL AND length(said) BETWEEN 2 AND 120)),
+  d AS (SELECT * FROM f WHERE mode <> 2 UNION ALL SELECT * FROM f WHERE mode = 2 QUALIFY row_number() OVER (PARTITION BY page_id, host ORDER BY pos) = 1),
+  g AS (SELECT source_key, page_no, list_slice(list(name ORDER BY pos, name), 1, 10) AS sig FROM d WHERE name <> '' GROUP BY ALL),
+  s AS (SELECT p.source_key, p.page_no, CASE WHEN sig IS NULL OR sig = lag(sig) OVER (PARTITION BY p.source_key ORDER BY p.page_no) THEN 1 ELSE 0 END AS stop FROM p LEFT JOIN g USING (source_key, page_no)),
+  t AS (SELECT *, max(stop) OVER (PARTITION BY source_key ORDER BY page_no) AS stopped FROM s),
+  u AS (SELECT d.* FROM d JOIN t USING (source_key, page_no) WHERE stopped = 0 AND name <> '' QUALIFY row_number() OVER (PARTITION BY source_key, CASE WHEN website IS NULL THEN lower(name) ELSE host END ORDER BY page_no, pos) = 1)
+SELECT source_key, page_no, pos, name, website, detail_url, listed_url, 'Ankara' AS city FROM u""")
+def discovered_by_mode(spark: SparkSession, d: str) -> DataFrame:
+    """Listings of all three modes, each page parsed once; page stop, first of each site, city."""
+    site = F.expr("regexp_replace(html, 'href=\"/([A-Za-z])[^\"]*\"', concat('href=\"https://$1.firm', page_id % 50, '.com/\"'))")
+    no = F.row_number().over(Window.partitionBy("source_key").orderBy("page_id"))
+    pages = table(spark, d, "pages").withColumn("source_key", T.url_host(F.col("url"))).select("page_id", "source_key", no.alias("page_no"), "url", F.lit(200).alias("status"), site.alias("body"))
+    null, mode = F.lit(None).cast("string"), F.length("key") % 3
+    keys = pages.select(F.col("source_key").alias("key")).distinct()
+    sources = keys.select(
+        "key", F.when(mode == 0, "structured").when(mode == 1, "detail").otherwise("outbound").alias("mode"), F.when(mode == 2, "ul").otherwise("li").alias("item_selector"), null.alias("name_selector"), null.alias("name_attr"),
+        F.lit("a").alias("website_selector"), null.alias("sector_selector"), null.alias("sector_attr"), F.lit("a").alias("detail_selector"), F.lit(True).alias("enabled"), F.lit("Ankara").alias("city"),
+    )
+    return D.discover_listings(pages, sources).drop("sector")
+
+
 @query()
 def ats_signatures(spark: SparkSession, d: str) -> DataFrame:
     """Hosts as board slugs behind each provider's address, found again by signature."""
