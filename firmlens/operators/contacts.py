@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from firmlens.functions import text as T
 from firmlens.operators import links as L
+from firmlens.sources.shared import stored
 
 CONTACT_COLUMNS = "company_id long, name string, role string, email string, phone string, contact_type string, source_url string, extraction_method string, confidence double"
 
@@ -32,20 +33,19 @@ def harvest_contacts(companies: DataFrame, pages: DataFrame, sitemaps: DataFrame
     """(company_id, email, phone, contact_type, source_url, extraction_method) of the candidate pages.
 
     companies: (company_id, domain, website, careers_url); pages: (url, status, body,
-    blocked_by_robots). Candidates: home, known careers page, keyword links (else the
+    blocked_by_robots), a row per url, or a page store. Candidates: home, known careers page, keyword links (else the
     sitemap's), two-hop links of hubs, fixed paths; the first `limit` are read.
     """
-    ok = pages.where(L.fetched(F.col("status"), F.col("body")) & ~F.coalesce("blocked_by_robots", F.lit(False)))
-    home = L.home_pages(companies, pages).where("outcome = 'ok'")
-    hits = L.keyword_links(home.select("company_id", "domain", "url", "body"), L.CONTACT_KEYWORDS).select("company_id", "url", "pos")
+    home = stored(L.home_pages(companies, pages).where("outcome = 'ok'"), "homes")
+    hits = stored(L.keyword_links(home.select("company_id", "domain", "url", "body"), L.CONTACT_KEYWORDS).select("company_id", "url", "pos"), "links")
     if sitemaps is not None:
         hits = L.with_fallback(hits, L.sitemap_urls(sitemaps, L.CONTACT_KEYWORDS))
     alive = home.select("company_id", "domain")
-    deeper = L.two_hop_links(hits.join(alive, "company_id"), ok, L.CONTACT_KEYWORDS)
+    deeper = L.two_hop_links(hits.join(alive.hint("shuffle_merge"), "company_id"), pages, L.CONTACT_KEYWORDS)
     zero = F.lit(0).alias("pos")
-    known = companies.where("careers_url is not null").join(alive.select("company_id"), "company_id", "left_semi").select("company_id", F.col("careers_url").alias("url"), zero)
+    known = companies.where("careers_url is not null").join(alive.select("company_id").hint("shuffle_merge"), "company_id", "left_semi").select("company_id", F.col("careers_url").alias("url"), zero)
     pages_of = L.ranked_candidates([home.select("company_id", "url", zero), known, hits, deeper, L.probe_paths(alive, L.CONTACT_PATHS)], limit)
-    read = pages_of.join(ok.select("url", "body"), "url").join(alive, "company_id")
+    read = L.with_bodies(stored(pages_of.join(alive.hint("shuffle_merge"), "company_id"), "candidates"), pages)
     found = first_per_email(page_contacts(read.select("company_id", "domain", "rn", "url", "body")))
     return found.select("company_id", "email", "phone", T.email_class(F.col("email")).alias("contact_type"), "source_url", F.lit("regex").alias("extraction_method"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmlens.functions import text as T
+from firmlens.sources.pages import BROADCAST_URLS, outcomes, with_bodies
+from firmlens.sources.shared import stored
 
 #: Keywords, folded.
 CAREER_KEYWORDS = ("kariyer", "career", "jobs", "job", "is ilan", "acik pozisyon", "insan kaynak", "join us", "work with us", "bize katil", "aramiza katil", "staj", "we are hiring", "is basvuru")
@@ -82,7 +84,7 @@ def sitemap_urls(pages: DataFrame, keywords: Sequence[str], limit: int = SITEMAP
 
 def with_fallback(hits: DataFrame, fallback: DataFrame) -> DataFrame:
     """`hits`, and for companies without any the rows of `fallback`."""
-    return hits.select("company_id", "url", "pos").unionByName(fallback.join(hits.select("company_id").distinct(), "company_id", "left_anti").select("company_id", "url", "pos"))
+    return hits.select("company_id", "url", "pos").unionByName(fallback.join(hits.select("company_id").distinct().hint("shuffle_merge"), "company_id", "left_anti").select("company_id", "url", "pos"))
 
 
 def ranked_hubs(links: DataFrame, hubs: int = HUBS) -> DataFrame:
@@ -95,11 +97,11 @@ def ranked_hubs(links: DataFrame, hubs: int = HUBS) -> DataFrame:
 def two_hop_links(links: DataFrame, pages: DataFrame, keywords: Sequence[str], hubs: int = HUBS) -> DataFrame:
     """(company_id, url, pos): links found on the hub pages, after hub rank and place.
 
-    `pages` is (url, body) of readable pages; `links` is (company_id, domain, url, pos).
+    `pages` is as for `home_pages`; `links` is (company_id, domain, url, pos).
     """
-    top = ranked_hubs(links, hubs)
-    opened = top.select("company_id", "domain", "url", "hub").join(pages.select("url", "body"), "url")
-    deeper = keyword_links(opened.drop("hub"), keywords).join(top.select("company_id", F.col("url").alias("from_url"), "hub"), ["company_id", "from_url"])
+    top = stored(ranked_hubs(links, hubs).select("company_id", "domain", "url", "hub"), "hubs")
+    opened = with_bodies(top, pages)
+    deeper = keyword_links(opened.drop("hub"), keywords).join(top.select("company_id", F.col("url").alias("from_url"), "hub").hint("shuffle_merge"), ["company_id", "from_url"])
     return deeper.groupBy("company_id", "url").agg(F.min(F.col("hub") * 1_000_000 + F.col("pos")).alias("pos"))
 
 
@@ -122,14 +124,19 @@ def ranked_candidates(parts: Sequence[DataFrame], limit: int) -> DataFrame:
 def home_pages(companies: DataFrame, pages: DataFrame, careers: bool = False) -> DataFrame:
     """(company_id, domain, url, body, outcome): the first readable of website, or https://domain/, and https://www.domain/.
 
-    `pages` is (url, status, body, blocked_by_robots). A robots block ends the search;
-    for careers so does 403 or 429.
+    `pages` is (url, status, body, blocked_by_robots), a row per url, or a page store. A
+    robots block ends the search; for careers so does 403 or 429. The choice is made by
+    outcomes alone; then the chosen bodies are fetched. `body` is null where the outcome is not ok.
     """
     c = companies.select("company_id", "domain", F.coalesce("website", F.concat(F.lit("https://"), "domain", F.lit("/"))).alias("u1"), F.concat(F.lit("https://www."), "domain", F.lit("/")).alias("u2"))
-    p = pages.select("url", "body", fetch_outcome(F.col("blocked_by_robots"), F.col("status"), F.col("body")).alias("outcome"))
+    asked = stored(c.select(F.explode(F.array("u1", "u2")).alias("url")).where("url is not null").distinct(), "home_urls")
+    side = F.broadcast(asked) if asked.count() <= BROADCAST_URLS else asked.hint("shuffle_merge")
+    known = stored(outcomes(pages).join(side, "url", "left_semi").groupBy("url").agg(F.min("outcome").alias("outcome")), "home_outcomes")
     for i in ("1", "2"):
-        c = c.join(p.select(F.col("url").alias(f"u{i}"), F.col("body").alias(f"b{i}"), F.col("outcome").alias(f"o{i}")), f"u{i}", "left")
+        c = c.join(known.select(F.col("url").alias(f"u{i}"), F.col("outcome").alias(f"o{i}")).hint("shuffle_merge"), f"u{i}", "left")
     ends = F.col("o1").isin("ok", "blocked", *(["protected"] if careers else []))
     first = F.coalesce(ends, F.lit(False))
     pick = lambda n: F.when(first, F.col(f"{n}1")).otherwise(F.col(f"{n}2"))
-    return c.select("company_id", "domain", pick("u").alias("url"), pick("b").alias("body"), F.coalesce(pick("o"), F.lit("error")).alias("outcome"))
+    chosen = stored(c.select("company_id", "domain", pick("u").alias("url"), F.coalesce(pick("o"), F.lit("error")).alias("outcome")), "homes")
+    bodies = with_bodies(chosen.where("outcome = 'ok'").select("url").distinct(), pages)
+    return chosen.join(bodies.hint("shuffle_merge"), "url", "left").select("company_id", "domain", "url", "body", "outcome")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from firmlens.functions import text as T
 from firmlens.operators import links as L
+from firmlens.sources.shared import stored
 
 #: Fixed values, provider by provider in order of precedence: signature patterns, API address, posting address.
 PROVIDERS: dict[str, dict] = {
@@ -149,7 +150,7 @@ def snapshot(parsed: DataFrame) -> DataFrame:
 def verify_ats(found: DataFrame, parsed: DataFrame) -> DataFrame:
     """`found` (company_id, provider, slug) with n_jobs: null where the payload is missing or wrong, 0 for an empty board."""
     counts = parsed.groupBy("company_id", "provider", "slug").agg(F.max("valid").alias("_valid"), F.count("title").alias("_n"))
-    joined = found.join(counts, ["company_id", "provider", "slug"], "left")
+    joined = found.join(counts.hint("shuffle_merge"), ["company_id", "provider", "slug"], "left")
     return joined.withColumn("n_jobs", F.when(F.col("_valid"), F.col("_n"))).drop("_valid", "_n")
 
 
@@ -196,22 +197,21 @@ def detect_careers(companies: DataFrame, pages: DataFrame, payloads: DataFrame,
     Careers page: the first readable candidate. Signature: the home page's, else that of
     the first candidate with one; it counts only if its payload is valid.
     """
-    home = L.home_pages(companies, pages, careers=True)
+    home = stored(L.home_pages(companies, pages, careers=True), "homes")
     alive = home.where("outcome = 'ok'")
     external = L.known_career_host(F.col("link"), signatures(F.col("link")).isNotNull())
     hits = L.keyword_links(alive.select("company_id", "domain", "url", "body"), L.CAREER_KEYWORDS, external).select("company_id", "url", "pos")
     if sitemaps is not None:
         hits = L.with_fallback(hits, L.sitemap_urls(sitemaps, L.CAREER_KEYWORDS))
     ranked = L.ranked_candidates([hits, L.probe_paths(alive, L.CAREER_PATHS)], limit)
-    ok = pages.where(L.fetched(F.col("status"), F.col("body")) & ~F.coalesce("blocked_by_robots", F.lit(False)))
-    read = ranked.join(ok.select("url", "body"), "url").unionByName(alive.select("company_id", "url", F.lit(0).alias("rn"), "body"))
-    signed = read.select("company_id", "url", "rn", signatures(F.col("body")).alias("s"))
+    read = L.with_bodies(stored(ranked, "candidates"), pages).select("company_id", "url", "rn", "body").unionByName(alive.select("company_id", "url", F.lit(0).alias("rn"), "body"))
+    signed = stored(read.select("company_id", "url", "rn", signatures(F.col("body")).alias("s")), "signatures")
     facts = signed.groupBy("company_id").agg(
         F.min_by("url", F.when(F.col("rn") > 0, F.col("rn"))).alias("careers_url"), F.min_by("s", F.when(F.col("s").isNotNull(), F.col("rn"))).alias("s"), F.count("*").alias("pages_ok")
     )
     found = facts.where("s is not null").select("company_id", "s.provider", "s.slug")
     checked = verify_ats(found, parse_all(payloads))
-    df = home.select("company_id", "outcome").join(facts.drop("s"), "company_id", "left").join(checked, "company_id", "left")
+    df = home.select("company_id", "outcome").join(facts.drop("s").hint("shuffle_merge"), "company_id", "left").join(checked.hint("shuffle_merge"), "company_id", "left")
     df = df.withColumns({"ats_provider": F.when(F.col("n_jobs").isNotNull(), F.col("provider")), "ats_slug": F.when(F.col("n_jobs").isNotNull(), F.col("slug"))})
     note = F.when(F.col("provider").isNotNull() & F.col("n_jobs").isNull(), F.concat("provider", F.lit(":"), "slug", F.lit(" doğrulanamadı"))).when(F.col("outcome") != "ok", F.col("outcome"))
     return df.select("company_id", "careers_url", "ats_provider", "ats_slug", detect_status().alias("detect_status"), note.alias("detect_note"), F.coalesce("pages_ok", F.lit(0)).alias("pages_ok"))

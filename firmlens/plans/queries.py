@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,7 +20,8 @@ from firmlens.operators import postings as J
 from firmlens.operators import resolve as E
 from firmlens.plans import standin as S
 from firmlens.plans.standin import WITH, table
-from firmlens.sources.shared import stored
+from firmlens.sources.pages import read_page_store, write_page_store
+from firmlens.sources.shared import shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -284,6 +286,64 @@ def ats_signatures(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", "provider", "slug", s["provider"].alias("found_provider"), s["slug"].alias("found_slug"))
 
 
+#: Sites of hosts: the first five pages of a host stand at fixed paths, with links, addresses and boards of their own.
+SITES_SQL = f"""site AS (SELECT page_id, {BARE} AS domain, {OUTCOME} AS outcome, row_number() OVER (PARTITION BY {BARE} ORDER BY page_id) AS rn FROM pages),
+  home AS (SELECT * FROM site WHERE rn = 1)"""
+
+
+def _sites(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Companies, and a page store of their sites: home, contact, hub, a page behind the hub, and one at a probed path."""
+    log = _log(spark, d).withColumn("domain", T.url_host(F.col("url")))
+    log = log.withColumn("rn", F.row_number().over(Window.partitionBy("domain").orderBy("page_id")))
+    id_ = F.col("page_id").cast("string")
+    at = lambda path: F.concat(F.lit("https://"), "domain", F.lit(path))
+    board = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<a href='https://boards.greenhouse.io/firm"), id_, F.lit("'>b</a>"))).otherwise("")
+    lever = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<a href='https://jobs.lever.co/firm"), id_, F.lit("'>b</a>"))).otherwise("")
+    mail = lambda *parts: F.concat(*(F.lit(x) if x not in ("page_id", "domain") else id_ if x == "page_id" else F.col(x) for x in parts))
+    extra = (
+        F.when(F.col("rn") == 1, F.concat(F.lit("<a href='/kurumsal'>Biz</a> <a href='/iletisim'>Bize yazın</a> <a href='/kariyer'>x</a>"), board))
+        .when(F.col("rn") == 2, F.concat(mail("<p>Tel: 0212 555 44 33 info", "page_id", "@", "domain", " x@other.de</p>"), lever))
+        .when(F.col("rn") == 3, mail("<a href='/kurumsal/ekip'>e</a> <a href='mailto:ik@", "domain", "'>y</a> yaz@", "domain"))
+        .when(F.col("rn") == 4, mail("<p>ad.soyad", "page_id", "@mail.", "domain", " ik@", "domain", "</p>")).when(F.col("rn") == 5, mail("info", "page_id", "@", "domain")).otherwise("")
+    )
+    path = F.when(F.col("rn") == 1, at("/")).when(F.col("rn") == 2, at("/iletisim")).when(F.col("rn") == 3, at("/kurumsal")).when(F.col("rn") == 4, at("/kurumsal/ekip")).when(F.col("rn") == 5, at("/about"))
+    own = F.translate("body", "@0123456789", "")  # the pages' own addresses and numbers are no case of this
+    pages = log.select(F.coalesce(path, "url").alias("url"), "status", F.concat(own, extra).alias("body"), "blocked_by_robots", "fetched_at")
+    folder = f"{shared_dir(spark)}/firmlens/page-store-{uuid.uuid4().hex}"
+    write_page_store(pages, folder)
+    first = log.where("rn = 1")
+    null = F.lit(None).cast("string")
+    return first.select(F.col("page_id").alias("company_id"), "domain", null.alias("website"), null.alias("careers_url")), read_page_store(spark, folder)
+
+
+@query(f"""WITH {SITES_SQL}, up AS (SELECT * FROM home WHERE outcome = 'ok'),
+  p AS (SELECT u.page_id AS company_id, u.domain, s.page_id, s.rn, CASE s.rn WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 5 ELSE 6 END AS place FROM up u JOIN site s ON s.domain = u.domain AND s.rn <= 5 AND s.outcome = 'ok'),
+  q AS (SELECT * FROM p WHERE rn <> 4 OR EXISTS (SELECT 1 FROM p h WHERE h.company_id = p.company_id AND h.rn = 3)),
+  m AS (SELECT *, 'info' || page_id || '@' || domain AS email, 0 AS pos FROM q WHERE rn IN (2, 5) UNION ALL SELECT *, 'ik@' || domain, 0 FROM q WHERE rn = 3 UNION ALL SELECT *, 'yaz@' || domain, 1 FROM q WHERE rn = 3
+    UNION ALL SELECT *, 'ad.soyad' || page_id || '@mail.' || domain, 0 FROM q WHERE rn = 4 UNION ALL SELECT *, 'ik@' || domain, 1 FROM q WHERE rn = 4),
+  f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY company_id, email ORDER BY place, pos) = 1)
+SELECT company_id, email, CASE WHEN rn = 2 THEN '0212 555 44 33' END AS phone, {EMAIL_CLASS} AS contact_type, 'https://' || domain || CASE rn WHEN 2 THEN '/iletisim' WHEN 3 THEN '/kurumsal' WHEN 4 THEN '/kurumsal/ekip' ELSE '/about' END AS source_url FROM f""")
+def harvested_contacts(spark: SparkSession, d: str) -> DataFrame:
+    """D17, D8, F3, D10, C17, F1, D9, E18 over a page store."""
+    companies, store = _sites(spark, d)
+    return K.harvest_contacts(companies, store).select("company_id", "email", "phone", "contact_type", "source_url")
+
+
+@query(f"""WITH {SITES_SQL}, w AS (SELECT h.page_id AS company_id, h.domain, h.outcome, h.outcome = 'ok' AND h.page_id % 3 = 0 AS board FROM home h),
+  k AS (SELECT w.*, CASE WHEN board AND company_id % 4 <> 1 THEN 'greenhouse' END AS ats_provider FROM w)
+SELECT company_id, CASE WHEN ats_provider IS NOT NULL THEN 'firm' || company_id END AS ats_slug, ats_provider,
+  CASE WHEN ats_provider IS NOT NULL THEN 'ats' WHEN outcome = 'blocked' THEN 'blocked' WHEN outcome = 'protected' THEN 'protected' WHEN outcome <> 'ok' THEN 'error' ELSE 'none' END AS detect_status,
+  CASE WHEN board AND ats_provider IS NULL THEN 'greenhouse:firm' || company_id || ' doğrulanamadı' WHEN outcome <> 'ok' AND outcome <> 'retryable' AND outcome <> 'error' THEN outcome WHEN outcome <> 'ok' THEN 'error' END AS detect_note,
+  CASE WHEN outcome = 'ok' THEN 1 ELSE 0 END AS pages_ok FROM k""")
+def detected_careers(spark: SparkSession, d: str) -> DataFrame:
+    """Home pages' boards against payloads of which some are wrong, and the status of each company."""
+    companies, store = _sites(spark, d)
+    slug = F.concat(F.lit("firm"), F.col("company_id").cast("string"))
+    body = F.when(F.col("company_id") % 4 == 1, "<html>").when(F.col("company_id") % 4 == 2, '{"jobs": []}').otherwise('{"jobs":[{"id":1,"title":"T"}]}')
+    payloads = companies.select("company_id", F.lit("greenhouse").alias("provider"), slug.alias("slug"), body.alias("body"))
+    return J.detect_careers(companies, store, payloads).drop("careers_url")
+
+
 # --- documents, labels, conversations ------------------------------------------------------------
 
 

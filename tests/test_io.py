@@ -79,3 +79,22 @@ def test_new_postings(spark, tmp_path):
     assert sorted((r.title, r.is_active) for r in io.load_table(spark, str(tmp_path), "jobs").collect()) == [("Dev", False), ("Ops", False)]
     with pytest.raises(ValueError, match="already"):
         io.save_table(first, str(tmp_path), "jobs", 2)
+
+
+def test_page_store(spark, tmp_path):
+    """One row a url, the newest copy; choosing reads no body; a fetch reads only its buckets and moves what is asked."""
+    from firmlens.sources import pages as store
+
+    rows = [(f"https://a{i}.com/", 200, f"body {i}", False, i) for i in range(200)] + [("https://a1.com/", 404, "new", False, 500), ("https://a2.com/", 200, "newer", False, 501), ("https://a2.com/", 200, "newer", False, 501), ("https://a3.com/", 200, None, True, 502), ("u", None, None, None, None)]
+    df = spark.createDataFrame([(u, st, b, x, t) for u, st, b, x, t in rows], "url string, status int, body string, blocked_by_robots boolean, t int").withColumn("fetched_at", F.timestamp_seconds("t"))
+    store.write_page_store(df, str(tmp_path / "store"))
+    kept = store.read_page_store(spark, str(tmp_path / "store"))
+    got = {r.url: (r.outcome, r.body) for r in kept.collect()}
+    assert len(got) == kept.count() == 201 and got["https://a1.com/"] == ("error", None) and got["https://a2.com/"] == ("ok", "newer") and got["https://a3.com/"] == ("blocked", None) and got["u"] == ("error", None)
+    plan = store.outcomes(kept)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<url:string,outcome:string>" in plan
+    asked = spark.createDataFrame([(1, "https://a2.com/"), (2, "https://a2.com/"), (3, "https://a9.com/"), (4, "none"), (5, "https://a1.com/")], "k long, url string")
+    for of in (kept, df.dropDuplicates(["url"])):
+        assert {(r.k, r.url) for r in store.with_bodies(asked, of).collect()} >= {(1, "https://a2.com/"), (2, "https://a2.com/"), (3, "https://a9.com/")}
+    assert sorted((r.k, r.body) for r in store.with_bodies(asked, kept).collect()) == [(1, "newer"), (2, "newer"), (3, "body 9")]
+    assert store.with_bodies(asked.limit(0), kept).count() == 0
