@@ -403,3 +403,36 @@ def test_subsequence_length(spark):
 
     got = spark.createDataFrame(rows, "x string, y string").select("x", "y", E.lcs_length(F.col("x"), F.col("y")).alias("n")).collect()
     assert all(g.n == lcs(g.x, g.y) for g in got)
+
+
+def test_robots_and_slots_against_all_pairs(spark):
+    """A hot origin over several ranges, and rules of many lengths, some of which begin others."""
+    import random
+
+    r = random.Random(3)
+    path = lambda: "/" + "/".join(r.choice(["a", "ab", "é", "x y"]) for _ in range(r.randrange(4)))
+    urls = sorted({f"https://{'hot' if r.random() < 0.6 else f'h{r.randrange(9)}'}.com{path()}{r.choice(['', '?q=1', '#f'])}{i if r.random() < 0.7 else ''}" for i in range(400)} | {"https://h1.com", "no url"})
+    rules = [(f"https://{h}.com", path()) for h in ("hot", "h1", "h2", "h3") for _ in range(3)] + [("https://h4.com", ""), ("https://h5.com", "/")]
+    log = spark.createDataFrame([], "url string, status int, body string, blocked_by_robots boolean, fetched_at timestamp")
+    df, rf = spark.createDataFrame([(u,) for u in urls], "url string"), spark.createDataFrame(rules, "origin string, path string")
+    plan = R.plan_frontier(df, log, rf, F.to_timestamp(F.lit("2024-01-10")))
+    assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = {x.url: (x.decision, x.slot_no, x.offset_s) for x in plan.collect()}
+    want, slots = {}, {}
+    for u in urls:
+        o = u[: u.index("/", 8)] if u.count("/") > 2 else u
+        p = u[len(o) :].split("#")[0] or "/"
+        if any(o == ro and rp and p.startswith(rp) for ro, rp in rules):
+            want[u] = ("disallowed", None, None)
+        else:
+            o = "" if u == "no url" else o
+            slots[o] = slots.get(o, 0) + 1
+            want[u] = ("fetch", slots[o], slots[o] - 1.0)
+    assert got == want and sum(x[0] == "disallowed" for x in got.values()) > 20
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        many = R.ranked_within(spark.range(1000).select((F.col("id") % 2 == 0).cast("string").alias("g"), F.col("id").alias("o")).repartition(3), "g", "o", "n")
+        assert all(x.n == x.o // 2 + 1 for x in many.collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
