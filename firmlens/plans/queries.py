@@ -276,7 +276,9 @@ def discovered_by_mode(spark: SparkSession, d: str) -> DataFrame:
     return D.discover_listings(pages, sources).drop("sector")
 
 
-@query()
+@query(f"""WITH p AS (SELECT page_id, replace(regexp_replace({BARE}, '\\.example\\.[a-z]+$', ''), '.', '-') AS slug,
+    (['greenhouse', 'lever', 'ashby', 'workable', 'recruitee', 'smartrecruiters', 'breezy', 'personio'])[page_id % 8 + 1] AS provider FROM pages)
+SELECT page_id, provider, slug, provider AS found_provider, CASE provider WHEN 'workable' THEN 'apply' ELSE slug END AS found_slug FROM p""")
 def ats_signatures(spark: SparkSession, d: str) -> DataFrame:
     """Hosts as board slugs behind each provider's address, found again by signature."""
     names = list(J.PROVIDERS)
@@ -355,11 +357,11 @@ def benchmark_evidence(spark: SparkSession, d: str) -> DataFrame:
     return P.passages_held(b, table(spark, d, "documents").select("doc_id", "text")).groupBy("item_id").agg(F.min("doc_id").alias("source_doc"), F.count("*").alias("n_docs"))
 
 
-@query("""WITH q AS (SELECT doc_id, substr(text, 5, CASE WHEN doc_id % 10 = 0 THEN 6 ELSE 40 END) || CASE WHEN doc_id % 7 = 0 THEN 'zzqq' ELSE '' END AS quote, text FROM documents WHERE length(text) > 60)
+@query("""WITH q AS (SELECT doc_id, substr(coalesce(text, ''), 5, CASE WHEN doc_id % 10 = 0 THEN 6 ELSE 40 END) || CASE WHEN doc_id % 7 = 0 THEN 'zzqq' ELSE '' END AS quote, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, CASE WHEN length(trim(quote)) < 8 THEN 'quote too short' WHEN NOT contains(text, trim(quote)) THEN 'quote not found' END AS reason FROM q""")
 def evidence_check(spark: SparkSession, d: str) -> DataFrame:
     """Quotes of documents checked against their own text."""
-    docs = table(spark, d, "documents").where(F.length("text") > 60).withColumn("company_id", F.col("doc_id"))
+    docs = table(spark, d, "documents").withColumn("company_id", F.col("doc_id"))
     quote = F.concat(F.substr("text", F.lit(5), F.when(F.col("doc_id") % 10 == 0, 6).otherwise(40)), F.when(F.col("doc_id") % 7 == 0, "zzqq").otherwise(""))
     people = docs.select("company_id", F.lit(0).alias("person_no"), quote.alias("evidence_quote"))
     pages = docs.select("company_id", F.lit(0).alias("pos"), F.lit("u").alias("url"), "text")
@@ -402,6 +404,45 @@ def second_tier_labels(spark: SparkSession, d: str) -> DataFrame:
     return B.merge_tiers(first, second, B.needs_second_tier(first)).withColumnRenamed("company_id", "doc_id")
 
 
+@query("""WITH r AS (SELECT doc_id, quality, toxic, CASE quality WHEN 1 THEN 0.8 ELSE 0.5 END AS confidence FROM labels),
+  x AS (SELECT *, confidence < 0.6 AND doc_id % 2 = 0 AS second FROM r)
+SELECT doc_id, 'domain' AS dimension, 'ai_ml' AS label, 0.8::DOUBLE AS confidence, 'small' AS model FROM x WHERE NOT second AND quality = 1
+UNION ALL SELECT doc_id, 'domain', CASE toxic WHEN 1 THEN 'oyun' ELSE 'fintech' END, confidence::DOUBLE, 'small' FROM x WHERE NOT second
+UNION ALL SELECT doc_id, 'domain', 'quantum_derin_tek', 0.9::DOUBLE, 'large' FROM x WHERE second UNION ALL SELECT doc_id, 'stack', 'go', 0.9::DOUBLE, 'large' FROM x WHERE second""")
+def labelled_companies(spark: SparkSession, d: str) -> DataFrame:
+    """Result lines of two tiers, earlier lines of which are replaced; validated, merged, and saved as labels."""
+    t = table(spark, d, "labels")
+    null = F.lit(None).cast("string")
+    first = t.select(
+        F.col("doc_id").alias("company_id"), F.lit(2).alias("seq"), F.array(F.when(F.col("quality") == 1, "ai_ml").otherwise("invented"), F.when(F.col("toxic") == 1, "oyun").otherwise("fintech")).alias("domain"), null.alias("size_bucket"),
+        null.alias("sector"), F.array().cast("array<string>").alias("stack"), F.when(F.col("quality") == 1, 0.8).otherwise(0.5).alias("confidence"), F.lit("u").alias("page_url"), F.lit("small").alias("model"),
+    )
+    earlier = first.withColumns({"seq": F.lit(1), "domain": F.array(F.lit("robotik_otonom")), "confidence": F.lit(0.99)})
+    second = first.where("company_id % 2 = 0").withColumns({"domain": F.array(F.lit("quantum_derin_tek"), F.lit("none of these")), "stack": F.array(F.lit(" go"), F.lit(" ")), "confidence": F.lit(0.9), "model": F.lit("large")})
+    state = spark.createDataFrame([], "company_id long, dimension string, label string, confidence double, evidence_url string, model string, as_of timestamp")
+    companies = t.select(F.col("doc_id").alias("id"), null.alias("size_bucket"), null.alias("sector"), F.lit(None).cast("timestamp").alias("classify_checked_at"))
+    labels, _, _ = B.label_companies(first.unionByName(earlier), state, companies, _at(), second)
+    return labels.select(F.col("company_id").alias("doc_id"), "dimension", "label", "confidence", "model")
+
+
+@query("""WITH q AS (SELECT doc_id, coalesce(text, '') AS t, trim(substr(coalesce(text, ''), 5, 40) || CASE WHEN doc_id % 7 = 0 THEN 'zzqq' ELSE '' END) AS a, trim(substr(coalesce(text, ''), 1, 20)) AS b FROM documents),
+  r AS (SELECT *, length(a) >= 8 AND contains(t, a) AS first, length(b) >= 8 AND contains(t, b) AS second FROM q)
+SELECT doc_id, 'P' || doc_id AS name, CASE WHEN doc_id % 3 = 0 THEN 'ik@x' || doc_id || '.com' END AS email, 'executive' AS contact_type, 'https://d/' || doc_id AS source_url FROM r WHERE first
+UNION ALL SELECT doc_id, 'Q' || doc_id, NULL, 'hr', 'https://d/' || doc_id FROM r WHERE NOT first AND doc_id % 2 = 0 AND second""")
+def verified_people(spark: SparkSession, d: str) -> DataFrame:
+    """People of every document with a quote as evidence; failed ones take the second tier's; what holds is saved."""
+    docs = table(spark, d, "documents").withColumn("company_id", F.col("doc_id"))
+    id_ = F.col("doc_id").cast("string")
+    person = lambda name, email, kind, quote: F.array(F.struct(F.concat(F.lit(name), id_).alias("name"), F.lit("r").alias("role"), email.alias("email"), F.lit(kind).alias("contact_type"), quote.alias("evidence_quote"), F.lit(0.8).alias("confidence")))
+    quote = F.concat(F.substr("text", F.lit(5), F.lit(40)), F.when(F.col("doc_id") % 7 == 0, "zzqq").otherwise(""))
+    mail = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" IK@x"), id_, F.lit(".com ")))
+    one = docs.select("company_id", F.lit(1).alias("seq"), person("P", mail, "executive", quote).alias("people"))
+    two = docs.where("doc_id % 2 = 0").select("company_id", F.lit(1).alias("seq"), person("Q", F.lit(None).cast("string"), "hr", F.substr("text", F.lit(1), F.lit(20))).alias("people"))
+    pages = docs.select("company_id", F.lit(0).alias("pos"), F.concat(F.lit("https://d/"), id_).alias("url"), "text")
+    saved, _ = P.verify_people(one, pages, spark.createDataFrame([], K.CONTACT_COLUMNS), two)
+    return saved.select(F.col("company_id").alias("doc_id"), "name", "email", "contact_type", "source_url")
+
+
 # --- catalogue -------------------------------------------------------------------------------------
 
 
@@ -683,6 +724,41 @@ def synced_postings(spark: SparkSession, d: str) -> DataFrame:
     return out.select("fingerprint", "company_id", "is_active", day("first_seen"), day("last_seen"))
 
 
+@query("""WITH e AS (SELECT event_id, event_id % 8 AS p, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, 'T ' || event_type AS title FROM events)
+SELECT event_id, (['greenhouse', 'lever', 'ashby', 'workable', 'recruitee', 'smartrecruiters', 'breezy', 'personio'])[p + 1] AS provider, k AS external_id, title,
+  (['Izmir', 'Remote, TR', 'Ankara', 'Ankara, TR', 'L', 'Ankara, tr', 'Izmir', 'O'])[p + 1] AS location,
+  CASE p WHEN 2 THEN 'a' WHEN 3 THEN 'https://apply.workable.com/s/j/' || k || '/' WHEN 4 THEN 'c' WHEN 5 THEN 'https://jobs.smartrecruiters.com/s/' || k WHEN 7 THEN 'https://s.jobs.personio.de/job/' || k ELSE 'h' END AS url,
+  CASE p WHEN 1 THEN '2023-11-14 22:13:20' ELSE 'd' END AS posted_at, CASE p WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN true WHEN 4 THEN false WHEN 5 THEN true END AS remote, true AS valid FROM e""")
+def provider_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Events as payloads of the eight providers, each in its own shape, parsed to one table."""
+    e = table(spark, d, "events").withColumns({"p": (F.col("event_id") % 8).cast("int"), "k": F.get_json_object("props", "$.k"), "t": F.concat(F.lit("T "), "event_type")})
+    shapes = [
+        '{"jobs":[{"id":%k,"title":" %t ","location":{"name":"Izmir"},"absolute_url":"h","updated_at":"d"}]}', '[{"id":"%k","text":"%t","categories":{"location":"Remote, TR"},"hostedUrl":"h","createdAt":1700000000000}]',
+        '{"jobs":[{"id":"%k","title":"%t","location":"Ankara","jobUrl":"","applyUrl":"a","publishedAt":"d","isRemote":true}]}', '{"jobs":[{"shortcode":"%k","title":"%t","city":"Ankara","country":"TR","url":"","published_on":"d","telecommuting":true}]}',
+        '{"offers":[{"id":%k,"title":"%t","location":"L","careers_url":"c","published_at":"d","remote":false}]}', '{"content":[{"id":"%k","name":"%t","location":{"city":"Ankara","country":"tr","remote":true},"releasedDate":"d"}]}',
+        '[{"id":"%k","name":"%t","location":{"city":"Izmir"},"url":"h","published_date":"d"}]', "<workzag-jobs><position><id>%k</id><name>%t</name><office>O</office><createdAt>d</createdAt></position></workzag-jobs>",
+    ]
+    body = F.replace(F.replace(F.get(F.array(*map(F.lit, shapes)), F.col("p")), F.lit("%k"), F.col("k")), F.lit("%t"), F.col("t"))
+    provider = F.get(F.array(*map(F.lit, J.PROVIDERS)), F.col("p"))
+    payloads = e.select(F.col("event_id").alias("company_id"), provider.alias("provider"), F.lit("s").alias("slug"), body.alias("body"))
+    return J.parse_all(payloads).select(F.col("company_id").alias("event_id"), "provider", "external_id", "title", "location", "url", "posted_at", "remote", "valid")
+
+
+@query("""WITH k AS (SELECT min(p_partkey) AS id FROM part GROUP BY p_name, p_brand), w AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'https://u' || id || '.com' WHEN id % 2 = 0 THEN 'https://www.w' || id || '.com' END AS site FROM k)
+SELECT id, site AS website, CASE WHEN id % 3 = 0 THEN 'p' || id || '.com' WHEN id % 5 = 0 THEN 'u' || id || '.com' WHEN id % 2 = 0 THEN 'w' || id || '.com' END AS domain FROM w""")
+def enriched_websites(spark: SparkSession, d: str) -> DataFrame:
+    """Sites from info payloads fill companies by normalised name; other shapes give none."""
+    state, _ = _firms(spark, d)
+    companies = state.withColumn("website", F.lit(None).cast("string"))
+    id_ = F.col("id").cast("string")
+    body = (
+        F.when(F.col("id") % 5 == 0, F.concat(F.lit('{"company":{"title":"x","website":"https://no.com","website_url":"https://u'), id_, F.lit('.com"}}')))
+        .when(F.col("id") % 2 == 0, F.concat(F.lit('{"company":{"website_url":"","website":"https://www.w'), id_, F.lit('.com"}}'))).otherwise("[1]")
+    )
+    rows = state.select(F.col("id").alias("row_id"), F.concat(F.upper("name"), F.lit(" A.Ş.")).alias("title"))
+    return D.enrich_websites(companies, rows, state.select(F.col("id").alias("row_id"), body.alias("body"))).select("id", "website", "domain")
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 4 < 2 THEN CAST(json_extract(props, '$.k') AS VARCHAR) END AS external_id, CASE WHEN event_id % 4 = 0 THEN 'Title ' || event_type WHEN event_id % 4 = 1 THEN 'T' END AS title, event_id % 4 <> 3 AS valid FROM events""")
 def parsed_payloads(spark: SparkSession, d: str) -> DataFrame:
     """A4: event props as board payloads: two postings' shapes, an empty board and a broken body."""
