@@ -43,9 +43,20 @@ def read_pages(spark: SparkSession, path: str, format: str = "parquet") -> DataF
     return spark.read.schema(PAGES).format(format).load(path)
 
 
-def read_seeds(spark: SparkSession, glob: str) -> DataFrame:
-    """Seed rows of all JSON files that fit; the source key is the file's name without ending, blank names go."""
-    rows = spark.read.schema(SEEDS).json(glob).select("*", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("source_key"))
+def read_seeds(spark: SparkSession, glob: str, format: str = "json") -> DataFrame:
+    """Seed rows of all files that fit, JSON lines or CSV with a header; blank names go.
+
+    A row's source key is its own where it has one, else its file's name without ending.
+    Columns that a CSV file leaves out are null; files of one glob share their header.
+    """
+    columns = [c.split()[0] for c in SEEDS.split(", ")]
+    if format == "csv":
+        found = spark.read.option("header", True).csv(glob)
+        found = found.select(*(F.col(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in [*columns, "source_key"]), "_metadata.file_name")
+    else:
+        found = spark.read.schema(f"{SEEDS}, source_key string").json(glob).select(*columns, "source_key", "_metadata.file_name")
+    stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
+    rows = found.select(*columns, F.coalesce(F.nullif(F.trim("source_key"), F.lit("")), stem).alias("source_key"))
     return rows.withColumn("name", F.trim("name")).where("name != ''")
 
 

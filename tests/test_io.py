@@ -17,6 +17,10 @@ def test_seeds(spark, tmp_path):
     (tmp_path / "ankara.json").write_text('{"name":"Beta"}\n')
     got = sorted((r.source_key, r.name) for r in io.read_seeds(spark, f"{tmp_path}/*.json").collect())
     assert got == [("ankara", "Beta"), ("istanbul", "Acme")]
+    (tmp_path / "own.json").write_text('{"name": "Gama", "source_key": "list"}\n{"name": "Delta", "source_key": " "}\n')
+    assert sorted((r.source_key, r.name) for r in io.read_seeds(spark, f"{tmp_path}/own.json").collect()) == [("list", "Gama"), ("own", "Delta")]
+    (tmp_path / "izmir.csv").write_text("name,website\n Epsilon ,e.com\n ,x.com\n")
+    assert [tuple(r) for r in io.read_seeds(spark, f"{tmp_path}/*.csv", "csv").select("source_key", "name", "website", "city").collect()] == [("izmir", "Epsilon", "e.com", None)]
 
 
 def test_results(spark, tmp_path):
