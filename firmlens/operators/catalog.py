@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.functions.text import fold
+from firmlens.operators.paging import by, page_after
+from firmlens.sources.shared import stored
 
 USER_STATUSES = ("listemde", "yazdim", "cevap_geldi", "ilgilenmiyorum")
 #: Sector facets shown.
@@ -56,22 +58,22 @@ def filter_companies(
     return df
 
 
-def sort_keys(order: str) -> list[Column]:
-    """name, jobs, newest or contacts; ties go by id."""
-    c = F.col
-    keys = {
-        "name": [c("name_norm").asc()],
-        "jobs": [c("open_jobs_count").desc(), c("name_norm").asc()],
-        "newest": [c("first_seen").desc(), c("id").desc()],
-        "contacts": [c("hr_email_count").desc(), c("email_count").desc(), c("name_norm").asc()],
-    }[order]
-    return keys if order == "newest" else [*keys, c("id").asc()]
+#: Sorts of the list as (column, ascending); ties go by id.
+SORTS = {
+    "name": [("name_norm", True), ("id", True)],
+    "jobs": [("open_jobs_count", False), ("name_norm", True), ("id", True)],
+    "newest": [("first_seen", False), ("id", False)],
+    "contacts": [("hr_email_count", False), ("email_count", False), ("name_norm", True), ("id", True)],
+}
 
 
 def page(df: DataFrame, order: str = "name", number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
-    """One page of a sorted list; sizes are clipped to 1..MAX_PAGE_SIZE. The limit is the feature."""
+    """One page of a sorted list by number; sizes are clipped to 1..MAX_PAGE_SIZE. The limit is the feature.
+
+    The rows before it pass one task: deep pages are for `paging.page_after` and `paging.page_at`.
+    """
     size = max(1, min(size, MAX_PAGE_SIZE))
-    return df.orderBy(*sort_keys(order)).offset((max(number, 1) - 1) * size).limit(size)
+    return df.orderBy(*by(SORTS[order])).offset((max(number, 1) - 1) * size).limit(size)
 
 
 def page_count(df: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
@@ -115,9 +117,13 @@ def list_items(companies: DataFrame, labels: DataFrame, links: DataFrame, source
     return with_columns(df, LIST_COLUMNS).select(*LIST_COLUMNS)
 
 
-def catalog_list(companies: DataFrame, labels: DataFrame, links: DataFrame, sources: DataFrame, order: str = "name", number: int = 1, size: int = PAGE_SIZE, **filters) -> DataFrame:
-    """One page of filtered companies, decorated after the page is cut."""
-    return list_items(page(filter_companies(companies, labels, links, **filters), order, number, size), labels, links, sources)
+def catalog_list(companies: DataFrame, labels: DataFrame, links: DataFrame, sources: DataFrame, order: str = "name", number: int = 1, size: int = PAGE_SIZE, cursor: Sequence | None = None, **filters) -> DataFrame:
+    """One page of filtered companies, by number or behind a cursor (values of the sort's columns), decorated after the page is cut."""
+    found = filter_companies(companies, labels, links, **filters)
+    cut = page(found, order, number, size) if cursor is None else page_after(found, SORTS[order], cursor, max(1, min(size, MAX_PAGE_SIZE)))
+    cut = stored(cut, "page")
+    ids = F.broadcast(cut.select(F.col("id").alias("company_id")))  # MAX_PAGE_SIZE rows at most
+    return list_items(cut, labels.join(ids, "company_id", "left_semi"), links.join(ids, "company_id", "left_semi"), sources)
 
 
 def contact_rank(kind: Column) -> Column:
@@ -137,7 +143,7 @@ def catalog_detail(ids: DataFrame, companies: DataFrame, labels: DataFrame, link
     open_ = some(jobs).where("is_active").groupBy("company_id").agg(
         F.array_sort(F.collect_list(F.struct((~F.col("is_internship")).cast("int").alias("rank"), "title", "location", "url"))).alias("jobs")
     )
-    items = list_items(companies.join(ids.select("id"), "id", "left_semi"), labels, links, sources)
+    items = list_items(companies.join(ids.select("id"), "id", "left_semi"), some(labels), some(links), sources)
     for part in (refs, people, open_):
         items = items.join(part.withColumnRenamed("company_id", "id"), "id", "left")
     return items

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,14 +13,17 @@ from firmlens.functions import text as T
 from firmlens.operators import catalog as C
 from firmlens.operators import contacts as K
 from firmlens.operators import discovery as D
+from firmlens.operators import distinct as N
 from firmlens.operators import frontier as R
 from firmlens.operators import labels as B
 from firmlens.operators import links as L
+from firmlens.operators import paging as G
 from firmlens.operators import people as P
 from firmlens.operators import postings as J
 from firmlens.operators import resolve as E
 from firmlens.plans import standin as S
 from firmlens.plans.standin import WITH, table
+from firmlens.sources import bucketed
 from firmlens.sources.pages import read_page_store, write_page_store
 from firmlens.sources.shared import shared_dir, stored
 
@@ -46,6 +50,10 @@ BARE = f"regexp_replace(lower({HOST}), '^www\\.', '')"
 DOMAIN = "CASE WHEN len(string_split(h, '.')) <= 2 THEN h ELSE array_to_string(string_split(h, '.')[-3:], '.') END"
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/firmlens/{name}-{uuid.uuid4().hex}"
+
+
 # --- pages: hosts, keys, text, links ------------------------------------------------------------
 
 
@@ -483,6 +491,49 @@ for _order, _by in {"name": "name_norm, id", "jobs": "open_jobs_count DESC, name
     query(WITH + PAGE_SQL.replace("{order}", _by))(_list(_order))
 
 
+ORDERS_SQL = {"name": "name_norm, id", "jobs": "open_jobs_count DESC, name_norm, id", "newest": "first_seen DESC NULLS LAST, id DESC", "contacts": "hr_email_count DESC, email_count DESC, name_norm, id"}
+
+
+@query(WITH + " UNION ALL ".join(f"SELECT '{k}' AS sort, n // 50 + 1 AS page, n % 50 AS place, id FROM (SELECT id, row_number() OVER (ORDER BY {by}) - 1 AS n FROM companies)" for k, by in ORDERS_SQL.items()))
+def catalog_deep_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page of each sort, from stored orders in which a page's place is known without the rows before it."""
+    companies, root = S.companies(spark, d).select("id", "name_norm", "open_jobs_count", "first_seen", "hr_email_count", "email_count"), _folder(spark, "orders")
+    companies = stored(companies, "companies")
+    at, parts = F.col(G.POSITION), []
+    for sort, keys in C.SORTS.items():
+        G.write_order(companies.select(*(c for c, _ in keys)), keys, f"{root}/{sort}")
+        ordered = G.read_order(spark, f"{root}/{sort}")
+        parts.append(ordered.select(F.lit(sort).alias("sort"), (F.floor(at / C.PAGE_SIZE) + 1).alias("page"), (at % C.PAGE_SIZE).alias("place"), "id"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(WITH + " UNION ALL ".join(f"SELECT '{k}' AS sort, * FROM (SELECT id, name FROM companies WHERE has_internship ORDER BY {by} LIMIT 20 OFFSET 20)" for k, by in ORDERS_SQL.items()))
+def catalog_after_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """The page behind the last row of the first page, for each sort; its number of rows is the feature."""
+    companies, labels, links, sources = _all(spark, d)
+    companies, parts = stored(companies, "companies"), []
+    for sort, keys in C.SORTS.items():
+        first = G.page_after(C.filter_companies(companies, has_internship=True), keys, None, 20)
+        found = C.catalog_list(companies, labels, links, sources, sort, size=20, cursor=G.cursor_of(first, keys), has_internship=True)
+        parts.append(found.select(F.lit(sort).alias("sort"), "id", "name"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(WITH + """SELECT 'company' AS kind, CAST(company_id AS VARCHAR) AS key, count(DISTINCT email) AS n, count(DISTINCT CASE WHEN contact_type = 'hr' THEN email END) AS n_hr FROM contacts GROUP BY company_id
+  UNION ALL SELECT 'source', source_key, count(DISTINCT company_id), NULL FROM links GROUP BY source_key""")
+def kept_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct addresses of companies and companies of sources, kept up over three batches that overlap."""
+    root = _folder(spark, "distinct")
+    contacts = S.contacts(spark, d).select("company_id", "email", (F.col("contact_type") == "hr").alias("hr"))
+    links = S.links(spark, d).select("source_key", "company_id")
+    for version, part in enumerate(("company_id % 2 = 0", "company_id % 3 = 0", "company_id % 2 != 0"), 1):
+        N.add_values(contacts.where(part), root, "emails", version, "company_id", "email", ("hr",), buckets=16)
+        N.add_values(links.where(part), root, "listed", version, "source_key", "company_id", buckets=16)
+    mails, listed = N.value_counts(spark, root, "emails", "company_id"), N.value_counts(spark, root, "listed", "source_key")
+    a = mails.select(F.lit("company").alias("kind"), F.col("company_id").cast("string").alias("key"), "n", F.col("n_hr"))
+    return a.unionByName(listed.select(F.lit("source").alias("kind"), F.col("source_key").alias("key"), "n", F.lit(None).cast("long").alias("n_hr")))
+
+
 @query(WITH + "SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 50.0) AS BIGINT)) AS pages FROM companies WHERE domain IS NOT NULL")
 def catalog_pages(spark: SparkSession, d: str) -> DataFrame:
     """E8."""
@@ -724,6 +775,24 @@ def synced_postings(spark: SparkSession, d: str) -> DataFrame:
     return out.select("fingerprint", "company_id", "is_active", day("first_seen"), day("last_seen"))
 
 
+@query(SNAPSHOT_SQL + """ SELECT fingerprint, company_id, n OR company_id % 3 = 0 AS is_active, CASE WHEN o THEN '2024-01-16' ELSE '2024-02-01' END AS first_seen, CASE WHEN n THEN '2024-02-01' ELSE '2024-01-16' END AS last_seen FROM f""")
+def bucketed_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The job table in buckets of companies; the snapshot arrives in three batches of companies, each of which rewrites their buckets only."""
+    old, new = _snapshots(spark, d)
+    at = lambda x: F.to_timestamp(F.lit(x))
+    root = _folder(spark, "bucketed")
+    bucketed.create(old.withColumns({"first_seen": at("2024-01-16"), "last_seen": at("2024-01-16"), "is_active": F.lit(True)}), root, "jobs", ["company_id"], 32)
+    new = stored(new, "snapshot")
+    checked = stored(table(spark, d, "events").select(F.col("user_id").alias("company_id")).distinct(), "checked")
+    for version in (2, 3, 4):
+        part = F.pmod("company_id", F.lit(3)) == version - 2
+        # Unreachable boards list what is new and close nothing.
+        reached = checked.where(part & (F.pmod("company_id", F.lit(3)) != 0))
+        bucketed.merge(checked.where(part), root, "jobs", version, lambda state, _, part=part, reached=reached: J.sync_jobs(state, new.where(part), reached, at("2024-02-01")))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return bucketed.read(spark, root, "jobs").select("fingerprint", "company_id", "is_active", day("first_seen"), day("last_seen"))
+
+
 @query("""WITH e AS (SELECT event_id, event_id % 8 AS p, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, 'T ' || event_type AS title FROM events)
 SELECT event_id, (['greenhouse', 'lever', 'ashby', 'workable', 'recruitee', 'smartrecruiters', 'breezy', 'personio'])[p + 1] AS provider, k AS external_id, title,
   (['Izmir', 'Remote, TR', 'Ankara', 'Ankara, TR', 'L', 'Ankara, tr', 'Izmir', 'O'])[p + 1] AS location,

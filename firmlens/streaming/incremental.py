@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from firmlens.functions import text as T
 from firmlens.operators.links import fetched
 from firmlens.operators.postings import sync_jobs
+from firmlens.sources import bucketed
 from firmlens.sources.io import PAGES, load_table, save_table, versions
 
 
@@ -29,17 +30,23 @@ def sync_new_postings(spark: SparkSession, source: str, root: str, checkpoint: s
     A row without fingerprint says that a company's board was read and is empty, so its
     postings close; companies without any row were not read and keep theirs. The batch id
     names the version: a repeated batch whose version the pointer has changes nothing, and one
-    that broke off before that is done again.
+    that broke off before that is done again. Where the table is in buckets of company_id, only
+    those of the batch's companies are read and written.
     """
 
+    def synced(state: DataFrame, batch: DataFrame) -> DataFrame:
+        at = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) if batch.isEmpty() else batch.agg(F.max("run_ts")).first()[0]
+        return sync_jobs(state, batch.where("fingerprint is not null").drop("run_ts"), batch.select("company_id"), F.lit(at))
+
     def apply(batch: DataFrame, batch_id: int) -> None:
         version = batch_id + 2
         if not versions(spark, root, "jobs").where(F.col("version") == version).isEmpty():
             return
-        state = load_table(spark, root, "jobs")
-        at = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) if batch.isEmpty() else batch.agg(F.max("run_ts")).first()[0]
-        new = sync_jobs(state, batch.where("fingerprint is not null").drop("run_ts"), batch.select("company_id"), F.lit(at))
-        save_table(new, root, "jobs", version)
+        if in_buckets:
+            bucketed.merge(batch, root, "jobs", version, synced)
+        else:
+            save_table(synced(load_table(spark, root, "jobs"), batch), root, "jobs", version)
 
+    in_buckets = bucketed.is_bucketed(spark, root, "jobs")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

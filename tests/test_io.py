@@ -102,3 +102,77 @@ def test_page_store(spark, tmp_path):
         assert {(r.k, r.url) for r in store.with_bodies(asked, of).collect()} >= {(1, "https://a2.com/"), (2, "https://a2.com/"), (3, "https://a9.com/")}
     assert sorted((r.k, r.body) for r in store.with_bodies(asked, kept).collect()) == [(1, "newer"), (2, "newer"), (3, "body 9")]
     assert store.with_bodies(asked.limit(0), kept).count() == 0
+
+
+def _files(root, name):
+    return {str(p.relative_to(root)) for p in (root / name).rglob("*.parquet")}
+
+
+def test_buckets_rewrite_only_what_changes(spark, tmp_path):
+    """A batch writes the buckets of its keys and leaves all other files; old versions stay readable."""
+    from firmlens.sources import bucketed as B
+
+    root = str(tmp_path)
+    df = spark.range(1000).select("id", F.lit("old").alias("v"))
+    B.create(df, root, "t", ["id"], 64)
+    before = _files(tmp_path, "t")
+    assert len(B.manifest(spark, root, "t").folders) == 64
+    batch = spark.createDataFrame([(5, "new"), (2000, "new")], "id long, v string")
+    put = lambda old, new: old.join(new.select("id"), "id", "left_anti").unionByName(new, allowMissingColumns=True)
+    changed = B.merge(batch, root, "t", 2, put)
+    after = _files(tmp_path, "t")
+    assert len(changed) == 2 and before <= after and len(after - before) == 2
+    assert B.changed_in(B.manifest(spark, root, "t"), 2) == changed
+    now = {r.id: r.v for r in B.read(spark, root, "t").collect()}
+    assert len(now) == 1001 and now[5] == now[2000] == "new" and now[6] == "old"
+    assert B.read(spark, root, "t", version=1).where("v = 'new'").count() == 0 and B.read(spark, root, "t", version=1).count() == 1000
+    assert {5, 2000} <= {r.id for r in B.read(spark, root, "t", buckets=changed).collect()} < set(now)
+    # Emptied buckets leave the manifest; new columns are null in older buckets; keys may be null.
+    B.merge(batch.select("id"), root, "t", 3, lambda old, new: old.join(new, "id", "left_anti"))
+    assert B.read(spark, root, "t").where("id in (5, 2000)").isEmpty()
+    wide = spark.createDataFrame([(None, "n", 1)], "id long, v string, w int")
+    B.merge(wide, root, "t", 4, lambda old, new: old.unionByName(new, allowMissingColumns=True))
+    assert B.read(spark, root, "t").where("w is null").count() == 999 and B.read(spark, root, "t").where("id is null").first().w == 1
+    # A repeated version is refused, and so are rows of buckets that the batch does not touch; both leave the table as it is.
+    with pytest.raises(ValueError, match="already"):
+        B.merge(batch, root, "t", 4, put)
+    with pytest.raises(ValueError, match="does not touch"):
+        B.merge(batch, root, "t", 5, lambda old, new: df.withColumn("w", F.lit(None).cast("int")))
+    assert B.read(spark, root, "t").count() == 1000 and not B.has_version(spark, root, "t", 5)
+    with pytest.raises(ValueError, match="no version"):
+        B.manifest(spark, root, "none")
+
+
+def test_buckets_of_nothing(spark, tmp_path):
+    from firmlens.sources import bucketed as B
+
+    empty = spark.createDataFrame([], "k string, x array<struct<a: int>>")
+    B.create(empty, str(tmp_path), "t", ["k"], 4)
+    assert B.read(spark, str(tmp_path), "t").count() == 0 and B.read(spark, str(tmp_path), "t").schema == empty.schema
+    assert B.merge(empty, str(tmp_path), "t", 2, lambda old, new: old.unionByName(new)) == []
+    one = spark.createDataFrame([("a", [(1,)])], empty.schema)
+    B.merge(one, str(tmp_path), "t", 3, lambda old, new: old.unionByName(new))
+    assert B.read(spark, str(tmp_path), "t").first().x[0].a == 1
+
+
+def test_new_postings_in_buckets(spark, tmp_path):
+    """The stream's batches rewrite the buckets of their companies only, with the rows that a plain table has."""
+    from firmlens.sources import bucketed as B
+
+    raw = "company_id long, external_id string, title string, location string, url string, posted_at string, remote boolean, valid boolean, provider string, slug string"
+    snap = lambda rows: J.snapshot(spark.createDataFrame([(c, t, t, None, None, None, None, True, "p", "s") for c, t in rows], raw)).withColumn("run_ts", F.to_timestamp(F.lit("2024-01-01")))
+    first = snap([(c, "Dev") for c in range(50)])
+    state = first.drop("run_ts").withColumns({"first_seen": F.to_timestamp(F.lit("2023-01-01")), "last_seen": F.to_timestamp(F.lit("2023-01-01")), "is_active": F.lit(True)})
+    state = J.sync_jobs(state, first.drop("run_ts").limit(0), first.select("company_id").limit(0), F.to_timestamp(F.lit("2023-01-01")))
+    B.create(state, f"{tmp_path}/b", "jobs", ["company_id"], 32)
+    io.save_table(state, f"{tmp_path}/p", "jobs", 1)
+    before, src = _files(tmp_path / "b", "jobs"), f"{tmp_path}/in"
+    for part in (snap([(3, "Ops")]), snap([(3, "Ops"), (4, "Dev")])):
+        part.coalesce(1).write.mode("append").parquet(src)
+        for kind in "bp":
+            S.sync_new_postings(spark, src, f"{tmp_path}/{kind}", f"{tmp_path}/cp-{kind}", part.schema)
+    rows = lambda df: sorted((r.company_id, r.title, r.is_active, str(r.last_seen)) for r in df.collect())
+    got = rows(B.read(spark, f"{tmp_path}/b", "jobs"))
+    assert got == rows(io.load_table(spark, f"{tmp_path}/p", "jobs")) and len(got) == 51
+    assert {(t, a) for c, t, a, _ in got if c == 3} == {("Dev", False), ("Ops", True)}
+    assert len(_files(tmp_path / "b", "jobs") - before) <= 3
