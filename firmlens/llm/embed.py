@@ -105,14 +105,16 @@ def near(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
     Links join vectors of equal, non-null label and equal dimension whose cosine is at
     least `threshold`. Null, empty and zero vectors and those with null or non-finite
     components have no links and are their own component. Equal vectors link with each
-    other. Ids must be unique.
+    other. Every row is a vector, also where ids repeat or are null; a component
+    without an id has a null component_id, and a row without one is not kept.
     """
     e, x = F.col(embedding), F.col(label)
     good = x.isNotNull() & e.isNotNull() & (F.size(e) > 0)
     good &= F.coalesce(F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
     good &= F.coalesce(F.exists(e, lambda v: v != 0), F.lit(False))
     base = vectors.select(F.col(vec_id).alias("id"), x.alias("label"), F.when(good, e).alias("v"))
-    reps = stored(base.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "vectors")
+    # A different vector's number is fixed by writing it.
+    reps = stored(base.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("rep", F.monotonically_increasing_id()), "vectors")
     rows = reps.count()
     bits, tables = plan(rows, threshold, miss)
 
@@ -192,16 +194,15 @@ def near(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
     found = stored(cells(stay.join(vectors_of.hint("shuffle_merge"), "rep"), exact, "rep long, links long, other long", ["v"]), "links")
     links = found.where("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    classes = stored(
-        reps.join(links.hint("shuffle_merge"), "rep", "left").join(parts.withColumnRenamed("node", "rep").hint("shuffle_merge"), "rep", "left").select(
-            "label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
-        ),
-        "classes",
-    )
+    placed = stored(reps.select("rep", "least").join(parts.withColumnRenamed("node", "rep").hint("shuffle_merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
+    ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    placed = stored(placed.join(ids.hint("shuffle_merge"), "component").select("rep", "component_id"), "components")
+    classes = reps.join(links.hint("shuffle_merge"), "rep", "left").join(placed.hint("shuffle_merge"), "rep")
+    classes = stored(classes.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "classes")
     return (
         base.join(classes.hint("shuffle_merge"), ["label", "v"], "left")
         .select(F.col("id").alias(vec_id), F.col("label").alias(label), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-        .withColumn("kept", F.col(vec_id) == F.col("component_id"))
+        .withColumn("kept", F.coalesce(F.col(vec_id) == F.col("component_id"), F.lit(False)))
     )
 
 

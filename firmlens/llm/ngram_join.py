@@ -262,7 +262,7 @@ def closest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, component: np.ndarr
 
 
 def _pass(docs: DataFrame, fn, schema: str) -> DataFrame:
-    return docs.select("_id", "_text").mapInArrow(fn, schema)
+    return docs.select("_id", "_text", "_hash").mapInArrow(fn, schema)
 
 
 def _sets(words: int):
@@ -272,8 +272,8 @@ def _sets(words: int):
                 part = batch.slice(start, 256)
                 sets = list(shingled(part.column(1), words))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
-                    names=["_id", "n", "set", "sketch"],
+                    [part.column(0), part.column(2), pa.array(list(map(len, sets)), pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
+                    names=["_id", "_hash", "n", "set", "sketch"],
                 )
 
     return run
@@ -416,13 +416,16 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     Documents link when den * |intersection| >= num * |union| of their sets, `bound` being
     (num, den); component_id is the smallest doc_id that links reach. Null, empty and
     word-free texts have no set and are their own component; equal sets link. Sets are told
-    apart by a 64-bit hash and shingles by another. Ids must be unique and not null; other
-    columns are ignored.
+    apart by a 64-bit hash and shingles by another. Every row is a document, also where
+    ids repeat or are null: rows of one id join nothing for that, and a component without
+    an id has a null component_id. Other columns are ignored.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    sets = stored(_pass(docs, _sets(words), "_id long, n long, `set` long, sketch binary"), "sets")
-    firsts = stored(sets.where("`set` is not null").groupBy("set").agg(F.min("_id").alias("rep")), "firsts")
-    own = stored(firsts.hint("shuffle_merge").join(sets.select(F.col("_id").alias("rep"), "n", "sketch").hint("shuffle_merge"), "rep").select("set", "rep", "n", "sketch"), "own")
+    docs = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
+    # A row's number is fixed by writing it; a set's first row is that of its smallest id.
+    sets = stored(_pass(docs, _sets(words), "_id long, _hash long, n long, `set` long, sketch binary").withColumn("_row", F.monotonically_increasing_id()), "sets")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("rep"), "_row", "_hash")).alias("x")
+    firsts = stored(sets.where("`set` is not null").groupBy("set").agg(first).select("set", "x.rep", "x._row", "x._hash"), "firsts")
+    own = stored(firsts.hint("shuffle_merge").join(sets.select("_row", "n", "sketch").hint("shuffle_merge"), "_row").select("set", "rep", "_hash", "n", "sketch"), "own")
 
     rows = _pass(docs, _signed(words, bound, parts, spare), "sig long, `set` long")
     lists = stored(rows.repartition("sig").sortWithinPartitions("sig", "set").mapInArrow(_buckets, "sig long, chunk int, members array<long>"), "lists")
@@ -437,8 +440,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
 
     def checked(pairs: DataFrame) -> DataFrame:
         """The pairs that link, by their texts; only texts of pairs move."""
-        need = stored(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(own.select("set", "rep").hint("shuffle_merge"), "set").select(F.col("rep").alias("_id"), "set"), "need")
-        have = stored(docs.join(need.hint("shuffle_hash"), "_id").select("set", "_text"), "texts")
+        need = stored(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(own.select("set", "rep", "_hash").hint("shuffle_merge"), "set"), "need")
+        same = docs["_id"].eqNullSafe(need["rep"]) & (docs["_hash"] == need["_hash"])
+        have = stored(docs.join(need.hint("shuffle_hash"), same).select("set", "_text").dropDuplicates(["set"]), "texts")  # equal rows repeat
         x, y = have.select(F.col("set").alias("a"), F.col("_text").alias("ta")), have.select(F.col("set").alias("b"), F.col("_text").alias("tb"))
         both = pairs.join(x.hint("shuffle_merge"), "a").join(y.hint("shuffle_merge"), "b").select("a", "b", "ta", "tb")
         return stored(both.mapInArrow(_exact(words, bound), "a long, b long"), "linked")

@@ -93,27 +93,30 @@ def attempt() -> str:
 
 
 def deduplicated(pages: DataFrame, page_id: str = "page_id", html: str = "html", min_bytes: int = 0) -> DataFrame:
-    """(id, digest, refers_to): each capture's digest and the capture that it revisits, or null.
+    """(id, sha1, refers_to): each id and payload once, and the capture that it revisits, or null.
 
-    Only ids and digests move: digests held twice or more are found with map-side
+    A null id never is what others revisit, unless no equal payload has an id; then all
+    are responses. Rows of one id are told apart by their payloads. Only ids and digests move: digests held twice or more are found with map-side
     combining and joined back, where AQE splits a digest that many pages share.
     """
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     ids = stored(pages.select(F.col(page_id).alias("id"), F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("n")), "digests")
     top = ids.where(F.col("n") >= min_bytes).groupBy("sha1").agg(F.max("id").alias("top"), F.count("*").alias("c")).where("c > 1").select("sha1", "top")
     joined = ids.join(top.hint("shuffle_merge"), "sha1", "left")
-    return joined.select("id", F.when(F.col("id") != F.col("top"), F.col("top")).alias("refers_to"))
+    return joined.select("id", "sha1", F.when(~F.col("id").eqNullSafe(F.col("top")), F.col("top")).alias("refers_to")).distinct()
 
 
 def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> tuple[str, DataFrame]:
     """Write archives; returns their folder and (key, id, file, offset, length), a row per page.
 
-    Null payloads are empty, null urls are empty. Ids must be unique and not null. A task
-    that runs again writes a new file; only files that index lines name are ever read.
+    Null payloads are empty, null urls are empty. Every row is a capture, also where ids
+    repeat or are null (a null id's record is named by nothing but its place). A task that runs again writes a new file; only files that index lines name are ever read.
     """
     folder = f"{shared_dir(pages.sparkSession)}/firmlens/warc-{uuid.uuid4().hex}"
     roles = stored(deduplicated(pages, page_id, html, min_bytes), "roles")
-    rows = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), F.col(html).alias("html")).join(roles.hint("shuffle_hash"), "id")
+    rows = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), F.sha1(F.coalesce(F.col(html), F.lit("")).cast("binary")).alias("sha1"))
+    same = rows["id"].eqNullSafe(roles["id"]) & (rows["sha1"] == roles["sha1"])
+    rows = rows.join(roles.hint("shuffle_hash"), same).select(rows["id"], "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, top = store(folder)
