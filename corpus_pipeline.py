@@ -38,10 +38,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest doc_id."""
+    """One document of each group of near copies, that with the smallest doc_id; where that id repeats, its rows stay. Rows without an id stay."""
     groups = ngram_join.join(docs, words=NEAR_WORDS, bound=NEAR_BOUND)
     firsts = groups.where("doc_id = component_id").select("doc_id")
-    return docs.join(firsts.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    named = docs.join(firsts.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    return named.unionByName(docs.where("doc_id is null"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,13 @@ def test_captures_of_one_id(spark):
         (1, "http://a.org/", "revisit", 2), (1, "http://a.org/2", "response", None), (1, "http://a.org/2", "response", None), (None, "http://b.org/", "revisit", 1),
         (None, "http://b.org/", "response", None), (None, "http://c.org/", "response", None), (2, "http://d.org/", "response", None), (None, "", "response", None),
     ])
+
+
+def test_near_duplicates_keeps_rows_without_id(spark):
+    import corpus_pipeline
+
+    a, b = prose(41, 100), prose(42, 100)
+    rows = [(4, a), (2, a), (None, b), (None, a), (7, b), (7, prose(43, 100))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert _sorted(tuple(r) for r in got) == _sorted([rows[1], rows[2], rows[3], rows[4], rows[5]])
