@@ -1,8 +1,9 @@
 """Fuzzy line dedup by MinHash.
 
-1. Equal lines collapse by an aggregation with map-side combining; a line's id is its
-   first occurrence, document and place in one long.
-2. Each distinct line's character shingles are hashed once; the hash space has BINS bins,
+1. Equal lines collapse by an aggregation of their keys (96 bits) with map-side combining;
+   a line's id is its first occurrence, document and place in one long. Texts are neither
+   shuffled nor kept; those of lines that meet others are read from the documents again.
+2. In the same aggregation each line's character shingles are hashed; the hash space has BINS bins,
    and each keeps its smallest hash (one-permutation MinHash). Hashes too large to be a
    bin's smallest are passed over before the minima. Lines with a bin that this may have
    emptied, which are those that repeat themselves and BINS * exp(-PER_BIN) of the others,
@@ -11,7 +12,8 @@
    lines of similarity 0.8 share a band and AGREE bins with a probability of 0.98, nearer
    ones with more.
 4. In a bucket each line is paired with the first line and with the one before it, if
-   AGREE bins agree; a pair counts after an exact Jaccard check of the full shingle sets.
+   AGREE bins agree. Bitmaps of all shingles, made once a line, rule out pairs that are
+   surely below the threshold; the others count after an exact Jaccard check of the full sets.
    Distributed union-find joins the pairs.
 5. Where a bucket of three or more still holds several components, no pair with AGREE
    bins is left unchecked: up to SMALL_BUCKET lines meet each other; the lines of larger
@@ -46,6 +48,8 @@ BANDS = [(0, 1, 2), (0, 3, 4), (1, 5, 6), (3, 5, 7), (2, 8, 9), (4, 8, 10), (6,
 AGREE = 6
 #: Bits a bin in a sketch.
 _BITS = 5
+#: Words of 64 bits in a line's bitmap (a power of two).
+WORDS = 16
 #: In buckets up to this many lines all pairs are compared.
 SMALL_BUCKET = 256
 #: Keys are broadcast up to this many.
@@ -66,24 +70,91 @@ def key(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.hash(line).alias("h2")]
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(id, v0, v1 ...): the smallest shingle hash of each bin, by 31 bits and 1; 0 for a bin without a shingle. `lines` (id, line) must be stored."""
-    first = stored(_minima(lines, True), "minima")
+def signatures(docs: DataFrame, doc_id: str, text: str, min_bytes: int) -> DataFrame:
+    """(id, n, h1, h2, v0, v1 ...): each distinct line's first occurrence, occurrences, key, and the smallest shingle hash of each bin, by 31 bits and 1; 0 for a bin without a shingle.
+
+    Lines are told apart by their keys, so that no text is shuffled or kept.
+    """
+    found = occurrences(docs, doc_id, text, min_bytes)
+    first = stored(_minima(found.select("at", *key(F.col("line")), F.lit(1).alias("n"), "line"), True), "minima")
     open_ = F.expr(f"last >= {BINS * PER_BIN} and ({' or '.join(f'v{i} is null' for i in range(BINS))})")
-    again = stored(first.where(open_).select("id"), "open_lines")
-    found = first.where(~open_).unionByName(_minima(some_of(lines, again, "id"), False))
-    return found.select("id", *(F.coalesce(f"v{i}", F.lit(0)).alias(f"v{i}") for i in range(BINS)))
+    # A line of no document has no place to read it from, and meets no other.
+    again = stored(first.where(open_ & F.col("id").isNotNull()).select("id", "n", "h1", "h2"), "open_lines")
+    whole = stored(_minima(read_lines(docs, doc_id, text, again).where(of_key()).withColumnRenamed("id", "at"), False), "whole")
+    signed = first.where(~open_ | F.col("id").isNull()).unionByName(whole)
+    return signed.select("id", "n", "h1", "h2", *(F.coalesce(f"v{i}", F.lit(0)).alias(f"v{i}") for i in range(BINS)))
+
+
+def read_lines(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
+    """`wanted` (stored: id and more) with `line`, read from the documents; no others are split. Where a doc_id repeats, a place may have several lines."""
+    place = F.struct(F.col("id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int").alias("p"), *wanted.columns)
+    places = wanted.groupBy(F.shiftright("id", _PLACE_BITS).alias("d")).agg(F.collect_list(place).alias("places"))
+    side = F.broadcast(places) if wanted.count() <= BROADCAST_KEYS else places.hint("shuffle_merge")
+    rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).join(side, "d").select("places", F.split("t", "\n").alias("all"))
+    return rows.select("all", F.inline("places")).select(*wanted.columns, F.get("all", F.col("p")).alias("line")).where("line is not null")
+
+
+def of_key() -> Column:
+    """Whether `line` is that of the key beside it."""
+    return F.expr("h1 = xxhash64(line) and h2 = hash(line)")
+
+
+def texts_of(docs: DataFrame, doc_id: str, text: str, signed: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, line): the lines of `ids` (stored)."""
+    lines = stored(read_lines(docs, doc_id, text, ids), "texts")
+    if lines.count() == ids.count():
+        return lines
+    # A doc_id repeats: the key tells which lines are meant.
+    keys = some_of(signed.select("id", "h1", "h2"), ids, "id")
+    named = lines.select("id", *key(F.col("line")), "line").join(keys.hint("shuffle_merge"), ["id", "h1", "h2"], "left_semi")
+    return stored(named.dropDuplicates(["id", "h1", "h2"]).select("id", "line"), "texts")
 
 
 def _minima(lines: DataFrame, pass_over: bool) -> DataFrame:
-    """(id, last, v0, v1 ...): the minima of each line's bins, null for empty ones; `last` is its last shingle's place."""
-    units = lines.select("id", F.encode("line", "UTF-16BE").alias("u")).select("id", "u", F.expr(f"greatest(0, cast(octet_length(u) / 2 as int) - {SHINGLE})").alias("last"))
-    runs = units.select("id", "u", "last", F.explode(F.expr("sequence(0, last)")).alias("i"))
-    hashed = runs.select("id", "last", "i", F.expr(f"xxhash64(substring(u, 2 * i + 1, {2 * SHINGLE}))").alias("h")).select("id", "last", "i", "h", F.shiftrightunsigned("h", 33).alias("v"))
+    """(id, n, h1, h2, last, v0, v1 ...) of `lines` (at, n, h1, h2, line), by key: the minima of each line's bins, null for empty ones; `last` is its last shingle's place.
+
+    Without passing over, `lines` are distinct lines with their `n` (repeated rows add nothing).
+    """
+    hashed = _hashed(lines, "at", "n", "h1", "h2").withColumn("v", F.shiftrightunsigned("h", 33))
     low = F.expr(f"v * (last + 1) < {BINS * PER_BIN << 31}L" if pass_over else "true")
     # The first shingle's row stays, so that each line has one.
-    some = hashed.where(low | (F.col("i") == 0)).select("id", "last", F.expr(f"(h & 65535) % {BINS}").alias("b"), F.when(low, F.col("v") + 1).alias("v"))
-    return some.groupBy("id", "last").agg(*(F.min(F.when(F.col("b") == i, F.col("v"))).alias(f"v{i}") for i in range(BINS)))
+    some = hashed.where(low | (F.col("i") == 0)).select("at", "n", "h1", "h2", "last", "i", F.expr(f"(h & 65535) % {BINS}").alias("b"), F.when(low, F.col("v") + 1).alias("v"))
+    n = F.sum(F.when(F.col("i") == 0, F.col("n")).otherwise(0)) if pass_over else F.max("n")
+    return some.groupBy("h1", "h2", "last").agg(
+        F.min("at").alias("id"), n.cast("long").alias("n"), *(F.min(F.when(F.col("b") == i, F.col("v"))).alias(f"v{i}") for i in range(BINS))
+    )
+
+
+def _hashed(lines: DataFrame, *names: str) -> DataFrame:
+    """(names, last, i, h): a row for each shingle of each line; its place and hash, and the last one's place."""
+    units = lines.select(*names, F.encode("line", "UTF-16BE").alias("u")).select(*names, "u", F.expr(f"greatest(0, cast(octet_length(u) / 2 as int) - {SHINGLE})").alias("last"))
+    runs = units.select(*names, "u", "last", F.explode(F.expr("sequence(0, last)")).alias("i"))
+    return runs.select(*names, "last", "i", F.expr(f"xxhash64(substring(u, 2 * i + 1, {2 * SHINGLE}))").alias("h"))
+
+
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """(id, size, w0, w1 ...) of `texts` (id, line): the bits that a line's shingles set among 64 * WORDS, and no fewer than its shingles."""
+    hashed = _hashed(texts.select("id", key(F.col("line"))[0], "line"), "id", "h1")
+    bits = hashed.select("id", "h1", "last", F.expr(f"shiftrightunsigned(h, 6) & {WORDS - 1}").alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("w") == i, F.col("bit"))), F.lit(0)).alias(f"w{i}") for i in range(WORDS)]
+    return bits.groupBy("id", "h1", "last").agg(*words).select("id", (F.col("last") + 1).alias("size"), *(f"w{i}" for i in range(WORDS)))
+
+
+def may_reach(x: str, y: str, threshold: float) -> Column:
+    """Whether two lines' bitmaps leave it open that they are similar; columns end in x and y. No similar pair fails.
+
+    Each bit that one line alone sets is a shingle that it alone has, and sets of n and m
+    shingles reach t only with at most (n + m)(1 - t) / (1 + t) such shingles.
+    """
+    alone = " + ".join(f"bit_count(w{i}{x} ^ w{i}{y})" for i in range(WORDS))
+    return F.expr(f"{alone} <= (size{x} + size{y}) * {(1 - threshold) / (1 + threshold)!r}D + 1e-6D")
+
+
+def sieved(pairs: DataFrame, maps: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that may be similar by their bitmaps."""
+    a, b = (maps.select(*(F.col(c).alias(c + v) for c in maps.columns)) for v in "xy")
+    both = pairs.join(b.hint("shuffle_merge"), F.col("b") == F.col("idy")).join(a.hint("shuffle_merge"), F.col("a") == F.col("idx"))
+    return both.where(may_reach("x", "y", threshold)).select("a", "b").distinct()
 
 
 def agree(s: str, t: str) -> str:
@@ -103,9 +174,12 @@ def met(signed: DataFrame) -> DataFrame:
     """
     keys = [F.when(F.expr("least({0}) >= 0 and greatest({0}) > 0".format(", ".join(f"v{i}" for i in band))), F.xxhash64(F.lit(n), *(F.col(f"v{i}") for i in band))) for n, band in enumerate(BANDS)]
     sketch = F.expr(" | ".join(f"shiftleft(v{i} & {(1 << _BITS) - 1}, {_BITS * i})" for i in range(BINS)))
-    rows = signed.select("id", sketch.alias("s"), F.explode(F.array(*keys)).alias("bucket")).where("bucket is not null")
+    rows = signed.where("id is not null").select("id", sketch.alias("s"), F.explode(F.array(*keys)).alias("bucket")).where("bucket is not null").repartition("bucket")
+    # Most buckets hold one line: they go before the sort. One exchange serves both sides: both use all columns, and no semi join replaces it.
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y"), F.expr("bit_xor(s)").alias("s"))
+    meet = sizes.where(F.expr(f"n > 2 or n = 2 and x != y and {agree('s', '0L')}")).select("bucket")
     w = Window.partitionBy("bucket").orderBy("id")
-    each = rows.select(
+    each = rows.join(meet.hint("shuffle_hash"), "bucket").select(
         "bucket", "id", "s", F.first(F.struct("id", "s")).over(w).alias("first"), F.lag(F.struct("id", "s")).over(w).alias("before"), F.lead("id").over(w).alias("next")
     ).where("before is not null")
     near = [F.when(F.expr(agree("s", f"{o}.s")), F.col(f"{o}.id")) for o in ("first", "before")]
@@ -122,10 +196,11 @@ def crowds(met_: DataFrame, same: DataFrame) -> DataFrame:
     return of.join(mixed.hint("shuffle_merge"), "bucket")
 
 
-def all_pairs(crowd: DataFrame) -> DataFrame:
-    """(a, b): all pairs of different components in a bucket that agree in AGREE bins."""
-    x, y = (crowd.select("bucket", *(F.col(k).alias(k + v) for k in ("id", "s", "c"))) for v in "xy")
-    fits = (x["bucket"] == y["bucket"]) & F.expr("idx > idy and cx != cy") & F.expr(agree("sx", "sy"))
+def all_pairs(crowd: DataFrame, maps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all pairs of different components in a bucket that agree in AGREE bins and may be similar by their bitmaps."""
+    mapped = crowd.join(maps.hint("shuffle_merge"), "id")
+    x, y = (mapped.select("bucket", *(F.col(k).alias(k + v) for k in ("id", "s", "c", *maps.columns[1:]))) for v in "xy")
+    fits = (x["bucket"] == y["bucket"]) & F.expr("idx > idy and cx != cy") & F.expr(agree("sx", "sy")) & may_reach("x", "y", threshold)
     return x.hint("shuffle_merge").join(y, fits).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
 
 
@@ -160,15 +235,19 @@ def _hashes(line: str) -> Column:
     The bytes are bound by an outer lambda once, so that the inner one does not copy them for each shingle.
     """
     return F.expr(
-        f"transform(array(encode({line}, 'UTF-16BE')), u -> transform(sequence(0, greatest(0, cast(octet_length(u) / 2 as int) - {SHINGLE})), "
-        f"i -> xxhash64(substring(u, 2 * i + 1, {2 * SHINGLE}))))[0]"
+        f"transform(array(encode({line}, 'UTF-16BE')), u -> transform(sequence(1, greatest(1, octet_length(u) - {2 * SHINGLE - 1}), 2), "
+        f"i -> xxhash64(substring(u, i, {2 * SHINGLE}))))[0]"
     )
 
 
+def beside(side: DataFrame) -> DataFrame:
+    """`side` (stored) with its join's strategy: broadcast up to a checked count, else by shuffle."""
+    return F.broadcast(side) if side.count() <= BROADCAST_KEYS else side.hint("shuffle_merge")
+
+
 def some_of(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """`rows` whose key is in `keys` (stored, one column): by broadcast up to a checked count, else by shuffle."""
-    side = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("shuffle_merge")
-    return rows.join(side, key, "left_semi")
+    return rows.join(beside(keys), key, "left_semi")
 
 
 def similar(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
@@ -186,23 +265,25 @@ def similar(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
 
 def dropped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(doc_id, places): for each document that loses lines, their places from 0."""
-    found = occurrences(docs, doc_id, text, min_bytes)
-    lines = stored(found.groupBy("line").agg(F.min("at").alias("id"), F.count("*").alias("n")), "lines")
-    met_ = stored(met(signatures(lines)), "met")
-    pairs = stored(met_.select(F.col("id").alias("a"), F.explode("others").alias("b")).distinct(), "pairs")
+    signed = signatures(docs, doc_id, text, min_bytes)
+    met_ = stored(met(signed), "met")
+    ids = stored(met_.select(F.explode(F.expr("array_compact(concat(array(id, first.id), others))")).alias("id")).distinct(), "ids")
+    lines = texts_of(docs, doc_id, text, signed, ids)
+    maps = stored(bitmaps(lines), "bitmaps")
+    pairs = stored(sieved(met_.select(F.col("id").alias("a"), F.explode("others").alias("b")).distinct(), maps, threshold), "pairs")
     links = stored(similar(pairs, lines, threshold), "same")
     same = stored(connected_components(links), "components").withColumnRenamed("node", "id")
     crowd = stored(crowds(met_, same), "crowd")
     if not crowd.isEmpty():
         large = stored(crowd.where(F.col("n") > SMALL_BUCKET).select("id", "c").distinct(), "open")
-        more = all_pairs(crowd.where(F.col("n") <= SMALL_BUCKET))
-        more = more if large.isEmpty() else more.unionByName(rare_pairs(large, lines, threshold)).distinct()
+        more = all_pairs(crowd.where(F.col("n") <= SMALL_BUCKET), maps, threshold)
+        more = more if large.isEmpty() else more.unionByName(sieved(rare_pairs(large, lines, threshold), maps, threshold)).distinct()
         more = stored(similar(stored(more, "pairs"), lines, threshold), "same")
         same = extended(same.withColumnRenamed("id", "node"), more).withColumnRenamed("node", "id")
     # Lines that occur once and resemble none lose nothing; the others, by key.
-    named = lines.select("id", "n", *key(F.col("line"))).join(same.hint("shuffle_merge"), "id", "left")
+    named = signed.select("id", "n", "h1", "h2").join(beside(same), "id", "left")
     repeated = stored(named.where("n > 1 or component is not null").select("h1", "h2", F.coalesce("component", "id").alias("keep")), "repeated")
-    gone = found.select("at", *key(F.col("line"))).join(repeated.hint("shuffle_merge"), ["h1", "h2"]).where("at != keep")
+    gone = occurrences(docs, doc_id, text, min_bytes).select("at", *key(F.col("line"))).join(beside(repeated), ["h1", "h2"]).where("at != keep")
     return gone.select(F.shiftright("at", _PLACE_BITS).alias("_fl_doc"), F.col("at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int").alias("p")).groupBy("_fl_doc").agg(
         F.collect_set("p").alias("_fl_places")
     )

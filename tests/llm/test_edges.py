@@ -167,6 +167,35 @@ def test_lines_of_families(spark):
     assert len(rows) - len(want) > 300 and want <= got and len(got - want) <= 0.05 * (len(rows) - len(want))
 
 
+def test_lines_few_exact_checks(spark, monkeypatch):
+    """Bitmaps rule out most pairs of one template before the exact check, and none that is similar; no text of a line that meets none is stored."""
+    r = random.Random(11)
+    rows, common = [], prose(5, 22).split()
+    for _ in range(40):
+        rows.append(" ".join(common + [f"w{r.randrange(10**6)}" for _ in range(10)]))
+    rows += [x + "y" for x in rows[:8]] + [prose(1000 + k, 30) for k in range(60)]
+    sets = [{s[k : k + lines.SHINGLE] for k in range(len(s) - lines.SHINGLE + 1)} for s in rows]
+    maps = lines.bitmaps(spark.createDataFrame(list(enumerate(rows)), "id long, line string")).localCheckpoint()
+    every = spark.range(len(rows)).selectExpr("id as a").crossJoin(spark.range(len(rows)).selectExpr("id as b")).where("a > b")
+    left = {(x.a, x.b) for x in lines.sieved(every, maps, lines.THRESHOLD).collect()}
+    similar = {(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= lines.THRESHOLD * len(sets[a] | sets[b])}
+    assert similar <= left and len(left) < 0.1 * len(rows) ** 2 / 2
+    checked, kept, check, store = [], {}, lines.similar, lines.stored
+    monkeypatch.setattr(lines, "similar", lambda pairs, *a: checked.append(pairs.count()) or check(pairs, *a))
+    monkeypatch.setattr(lines, "stored", lambda df, name: kept.setdefault(name, store(df, name)) if "line" in df.columns else store(df, name))
+    got = {x.doc_id for x in lines.dedup(docs(spark, rows)).collect() if not x.n_removed}
+    assert got == kept_lines(rows) and sum(checked) <= 40
+    assert set(kept) == {"texts"} and kept["texts"].count() <= 48
+
+
+def test_lines_of_repeated_ids(spark):
+    """Rows with one doc_id have different lines at one place: each is compared as itself."""
+    a, b, c = prose(1, 30), prose(2, 30), prose(3, 30)
+    df = spark.createDataFrame([(1, a), (1, b), (2, b + "y"), (3, c), (4, c + "y"), (5, a + "y")], "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_removed) for x in lines.dedup(df).collect())
+    assert got == [(1, 0), (1, 0), (2, 1), (3, 0), (4, 1), (5, 1)]
+
+
 def test_hot_line_and_bucket(spark):
     """One line with a third of all places, and near copies of it."""
     base = prose(77, 30)
