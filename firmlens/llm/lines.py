@@ -136,7 +136,7 @@ def bitmaps(texts: DataFrame) -> DataFrame:
     """(id, size, w0, w1 ...) of `texts` (id, line): the bits that a line's shingles set among 64 * WORDS, and no fewer than its shingles."""
     hashed = _hashed(texts.select("id", key(F.col("line"))[0], "line"), "id", "h1")
     bits = hashed.select("id", "h1", "last", F.expr(f"shiftrightunsigned(h, 6) & {WORDS - 1}").alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
-    words = [F.coalesce(F.bit_or(F.when(F.col("w") == i, F.col("bit"))), F.lit(0)).alias(f"w{i}") for i in range(WORDS)]
+    words = [F.expr(f"bit_or(if(w = {i}, bit, 0L))").alias(f"w{i}") for i in range(WORDS)]
     return bits.groupBy("id", "h1", "last").agg(*words).select("id", (F.col("last") + 1).alias("size"), *(f"w{i}" for i in range(WORDS)))
 
 
@@ -254,9 +254,10 @@ def similar(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """The pairs (stored) whose shingle sets have at least this Jaccard similarity."""
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     texts = stored(some_of(lines.select("id", "line"), ids, "id"), "texts")
-    x, y = (texts.select(F.col("id").alias(k), F.col("line").alias(f"t{k}")) for k in "ab")
-    both = pairs.join(y.hint("shuffle_merge"), "b").join(x.hint("shuffle_merge"), "a")
-    sets = both.select("a", "b", F.array_distinct(_hashes("ta")).alias("ha"), F.array_distinct(_hashes("tb")).alias("hb"))
+    # Dealt out before they are made, the sets of `a` are made once a line and not shuffled.
+    x = texts.repartition("id").select(F.col("id").alias("a"), F.array_distinct(_hashes("line")).alias("ha"))
+    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("tb")).hint("shuffle_merge"), "b").join(x.hint("shuffle_merge"), "a")
+    sets = both.select("a", "b", "ha", F.array_distinct(_hashes("tb")).alias("hb"))
     # |A and B| >= t |A or B| if and only if |A| + |B| >= (1 + t) |A or B|: one union a pair.
     # A generator's rows, since Spark would else move the condition below and make each set anew for each mention.
     sizes = sets.select("a", "b", F.inline(F.array(F.struct((F.size("ha") + F.size("hb")).alias("n"), F.size(F.array_union("ha", "hb")).alias("union")))))
