@@ -188,6 +188,16 @@ def test_lines_few_exact_checks(spark, monkeypatch):
     assert set(kept) == {"texts"} and kept["texts"].count() <= 48
 
 
+def test_line_signatures_in_few_columns(spark, monkeypatch):
+    """Minima are stored two in a column, and come back as they were."""
+    rows, columns, store = [prose(k, 30) for k in range(6)] + ["abcdefgh " * 40], {}, lines.stored
+    monkeypatch.setattr(lines, "stored", lambda df, name: columns.setdefault(name, df.columns) and store(df, name))
+    got = {x.id >> 24: x.asDict() for x in lines.signatures(docs(spark, rows), "doc_id", "text", 20).collect()}
+    found = lines._hashed(spark.createDataFrame(list(enumerate(rows)), "id long, line string"), "id").selectExpr("id", f"(h & 65535) % {lines.BINS} as b", "shiftrightunsigned(h, 33) + 1 as v")
+    want = {(x.id, x.b): x.v for x in found.groupBy("id", "b").agg(F.min("v").alias("v")).collect()}
+    assert all(got[i][f"v{b}"] == want.get((i, b), 0) for i in range(7) for b in range(lines.BINS)) and len(columns["minima"]) <= 5 + lines.BINS // 2
+
+
 def test_lines_of_repeated_ids(spark):
     """Rows with one doc_id have different lines at one place: each is compared as itself."""
     a, b, c = prose(1, 30), prose(2, 30), prose(3, 30)
